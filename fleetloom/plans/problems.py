@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.operators import exactly_once as once
-from fleetloom.operators import late_periods, stops
-from fleetloom.session import load
+from fleetloom.operators import intervals, late_periods, quantiles, spatial, stops
+from fleetloom.session import load, staged
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,32 +51,106 @@ def p3_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.trips(load(spark, sf_dir, "gps_event"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_ranges, p3_found, p3_stops, p3_trips)}
+def _breach_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values to be measured, one for each event: van_id, day, v. An event without id stands for itself."""
+    event = F.coalesce("event_id", F.concat(F.lit("row "), F.col("id")))
+    seen = F.struct(F.col("detected_at").isNull(), F.col("detected_at"), F.col("id"), F.col("van_id"), F.col("breach_seconds"))
+    return (
+        load(spark, sf_dir, "sla_breaches")
+        .where("breach_seconds > 0 and breach_seconds < 2147483647")
+        .groupBy(event.alias("event"))
+        .agg(F.min(seen).alias("first"))
+        .select("first.van_id", F.to_date("first.detected_at").alias("day"), F.col("first.breach_seconds").alias("v"))
+    )
+
+
+P4_LIMITS = {50: 150, 90: 450, 99: 1500}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vans and percentiles of breach seconds above their limit."""
+    values = staged(_breach_seconds(spark, sf_dir).where("van_id is not null").select("van_id", "v"), "breach-seconds")
+    sketched = quantiles.merged(quantiles.sketches(values, "van_id", "v"), "van_id")
+    return quantiles.above(sketched, values, "van_id", "v", P4_LIMITS, least=20)
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each van, out of sketches of partitions: estimates with bounded error."""
+    sketched = quantiles.merged(quantiles.sketches(_breach_seconds(spark, sf_dir), "van_id", "v"), "van_id")
+    return quantiles.percentiles(sketched, "van_id", [50, 90, 95, 99, 99.9])
+
+
+def p4_counts_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of single days, merged over the days: how many values each van's sketch stands for."""
+    keyed = _breach_seconds(spark, sf_dir).where("van_id is not null and day is not null")
+    daily = quantiles.merged(
+        quantiles.sketches(keyed.select(F.concat_ws("|", "day", "van_id").alias("van_day"), "v"), "van_day", "v"), "van_day"
+    ).select(F.split("van_day", "[|]", 2)[1].alias("van_id"), "n", "sketch")
+    return quantiles.merged(daily, "van_id").select("van_id", "n")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active zones that contain each ping."""
+    pings = load(spark, sf_dir, "gps_event").select("record_id", F.col("location.longitude").alias("x"), F.col("location.latitude").alias("y"))
+    zones = load(spark, sf_dir, "geofence_zones").where("active").select(F.col("id").alias("zone_id"), "geometry")
+    return spatial.regions_of_points(pings, zones, point_id="record_id", x="x", y="y", region_id="zone_id", geometry="geometry")
+
+
+def p5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each delivery, how many others were within 150 m, and how far the nearest was."""
+    rows = load(spark, sf_dir, "delivery_logs").select("id", F.col("location.longitude").alias("x"), F.col("location.latitude").alias("y"))
+    return spatial.near_counts(rows, point_id="id", x="x", y="y", metres=150.0).withColumn("nearest_m", F.round("nearest_m", 3))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of more than 30 minutes and less than 6 hours between a van's busy periods."""
+    spans = intervals.valid_intervals(load(spark, sf_dir, "delivery_logs"), "van_id", "actual_arrival", "actual_departure", 12 * 3600)
+    length = F.col("gap_end_us") - F.col("gap_start_us")
+    return (
+        intervals.gaps(spans, "van_id")
+        .where((length > 1800 * 1_000_000) & (length < 21_600 * 1_000_000))
+        .select("van_id", F.floor(F.col("gap_start_us") / 1000).alias("gap_start"), F.floor(F.col("gap_end_us") / 1000).alias("gap_end"))
+    )
+
+
+def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Busy periods of each van, in epoch microseconds."""
+    spans = intervals.valid_intervals(load(spark, sf_dir, "delivery_logs"), "van_id", "actual_arrival", "actual_departure", 12 * 3600)
+    return intervals.periods(spans, "van_id").select("van_id", F.col("s").alias("period_start"), F.col("e").alias("period_end"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_periods, p2_found, p2_ranges, p3_found, p3_stops, p3_trips, p4_found, p4_percentiles, p4_counts_by_day,
+        p5_found, p5_near, p6_found, p6_periods,
+    )
+}
 
 # Messages of gps_event: every row with the least row of its chain of copies.
 _MESSAGES = """
-WITH RECURSIVE bare AS (
+WITH RECURSIVE bare AS MATERIALIZED (
   SELECT *, translate(lower(event_id), '{}- ' || chr(9) || chr(10) || chr(13), '') AS b FROM gps_event
-), ids AS (
+), ids AS MATERIALIZED (
   SELECT record_id, van_id, sequence_number AS seq, device_timestamp AS dev, ingestion_timestamp AS ing, speed_kmh, battery_pct,
          CASE WHEN starts_with(b, 'urn:uuid:') THEN substr(b, 10) ELSE b END AS u FROM bare
-), k AS (
+), k AS MATERIALIZED (
   SELECT record_id, 'u' || u AS key FROM ids WHERE regexp_full_match(u, '[0-9a-f]{32}') AND u <> repeat('0', 32)
   UNION ALL
   SELECT record_id, 's' || van_id || '/' || seq || '/' || epoch_us(dev) FROM ids
   WHERE van_id IS NOT NULL AND seq IS NOT NULL AND dev IS NOT NULL
-), g AS (SELECT key, min(record_id) AS hub FROM k GROUP BY key HAVING count(*) > 1),
-e AS (SELECT DISTINCT k.record_id AS a, g.hub AS b FROM k JOIN g ON k.key = g.key WHERE k.record_id <> g.hub),
-both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+), g AS MATERIALIZED (SELECT key, min(record_id) AS hub FROM k GROUP BY key HAVING count(*) > 1),
+e AS MATERIALIZED (SELECT DISTINCT k.record_id AS a, g.hub AS b FROM k JOIN g ON k.key = g.key WHERE k.record_id <> g.hub),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (
   SELECT a, b FROM both_ways
   UNION
   SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a
-), whole AS (SELECT a, b FROM reach UNION SELECT a, a FROM both_ways),
-lost AS (
-  SELECT DISTINCT w.a AS record_id FROM whole w JOIN ids x ON x.record_id = w.a JOIN ids y ON y.record_id = w.b
-  WHERE (coalesce(y.ing, TIMESTAMP '9999-01-01'), y.record_id) < (coalesce(x.ing, TIMESTAMP '9999-01-01'), x.record_id)
-)
+), whole AS MATERIALIZED (SELECT a, b FROM reach UNION SELECT a, a FROM both_ways),
+ranked AS MATERIALIZED (
+  SELECT w.a, min({'ing': coalesce(y.ing, TIMESTAMP '9999-01-01'), 'id': y.record_id}) AS first
+  FROM whole w JOIN ids y ON y.record_id = w.b GROUP BY w.a
+), lost AS MATERIALIZED (SELECT a AS record_id FROM ranked WHERE first.id <> a)
 """
 
 _ARRIVED = (
@@ -89,6 +163,23 @@ _ARRIVED = (
 """
 )
 
+_VALUES = """
+WITH v AS (
+  SELECT DISTINCT ON (coalesce(event_id, 'row ' || id)) van_id, CAST(detected_at AS DATE) AS day, breach_seconds AS v FROM sla_breaches
+  WHERE breach_seconds > 0 AND breach_seconds < 2147483647
+  ORDER BY coalesce(event_id, 'row ' || id), detected_at NULLS LAST, id
+)
+"""
+
+_PERIODS = """
+WITH i AS (
+  SELECT DISTINCT van_id, epoch_us(actual_arrival) AS s, epoch_us(actual_departure) AS e FROM delivery_logs
+  WHERE van_id IS NOT NULL AND actual_departure >= actual_arrival AND epoch_us(actual_departure) - epoch_us(actual_arrival) <= 43200000000
+), r AS (SELECT *, max(e) OVER (PARTITION BY van_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < s THEN 1 ELSE 0 END) OVER (PARTITION BY van_id ORDER BY s, e) AS no FROM r),
+p AS (SELECT van_id, no, min(s) AS period_start, max(e) AS period_end FROM n GROUP BY 1, 2)
+"""
+
 SQL = {
     "p1_found": _ARRIVED
     + """
@@ -109,4 +200,25 @@ WITH n AS (
   WHERE van_id IS NOT NULL AND sequence_number IS NOT NULL AND device_timestamp IS NOT NULL
 ), i AS (SELECT *, s - row_number() OVER (PARTITION BY van_id, block ORDER BY s) AS island FROM n)
 SELECT van_id, min(s) AS lo, max(s) AS hi FROM i GROUP BY van_id, block, island""",
+    "p4_found": _VALUES
+    + """, c AS (SELECT van_id, v, row_number() OVER (PARTITION BY van_id ORDER BY v) AS rank, count(*) OVER (PARTITION BY van_id) AS n
+  FROM v WHERE van_id IS NOT NULL)
+SELECT DISTINCT van_id, CAST(l.pct AS BIGINT) AS pct FROM c JOIN (VALUES (50, 150), (90, 450), (99, 1500)) AS l(pct, most) ON true
+WHERE n >= 20 AND rank = CAST(ceil(l.pct * n / 100.0) AS BIGINT) AND v > l.most""",
+    "p4_counts_by_day": _VALUES + "SELECT van_id, count(*) AS n FROM v WHERE van_id IS NOT NULL AND day IS NOT NULL GROUP BY 1",
+    "p5_near": """
+WITH p AS (
+  SELECT id, location.longitude AS x, location.latitude AS y FROM delivery_logs
+  WHERE location.longitude BETWEEN -180 AND 180 AND location.latitude BETWEEN -90 AND 90
+), d AS (
+  SELECT a.id, 2 * 6371000.0 * asin(sqrt(least(1.0, sin(radians(b.y - a.y) / 2) ** 2
+         + cos(radians(a.y)) * cos(radians(b.y)) * sin(radians(b.x - a.x) / 2) ** 2))) AS m
+  FROM p a JOIN p b ON a.id <> b.id AND b.y BETWEEN a.y - 0.002 AND a.y + 0.002 AND b.x BETWEEN a.x - 0.01 AND a.x + 0.01
+)
+SELECT p.id, count(d.m) AS near, round(min(d.m), 3) AS nearest_m FROM p LEFT JOIN d ON d.id = p.id AND d.m <= 150 GROUP BY p.id""",
+    "p6_found": _PERIODS
+    + """, g AS (SELECT van_id, lag(period_end) OVER (PARTITION BY van_id ORDER BY no) AS a, period_start AS b FROM p)
+SELECT van_id, CAST(floor(a / 1000.0) AS BIGINT) AS gap_start, CAST(floor(b / 1000.0) AS BIGINT) AS gap_end FROM g
+WHERE b - a > 1800000000 AND b - a < 21600000000""",
+    "p6_periods": _PERIODS + "SELECT van_id, period_start, period_end FROM p",
 }
