@@ -36,11 +36,12 @@ def pieces_of(text: str, most: int = LONG) -> Iterator[str]:
 def with_tokens(documents: DataFrame, text: str = "text", name: str = "tokens", vocabulary_file: str = TOKENIZER) -> DataFrame:
     """The rows with their number of tokens, without the text; 0 for a null or empty text.
 
+    A column that is called ``name`` already is replaced.
     The vocabulary, under a megabyte whatever the corpus, is read once and sent to the executors.
     """
     with open(vocabulary_file, "rb") as file:
         shipped = documents.sparkSession.sparkContext.broadcast(file.read())
-    others = [c for c in documents.columns if c != text]
+    others = [c for c in documents.columns if c not in (text, name)]
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(shipped.value)
