@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.session import staged
+
 SECTION = 32  # k: larger is more exact; the error falls as 1 / k
 LEAST_SECTION = 4.0
 
@@ -168,7 +170,8 @@ def sketches(values: DataFrame, key: str, value: str, section: int = SECTION) ->
         for frame in frames:
             for k, part in frame.groupby(key, sort=False)[value]:
                 held.setdefault(k, RelativeSketch(section)).update(part.to_numpy(float))
-        yield pd.DataFrame({key: list(held), "n": [s.count for s in held.values()], "sketch": [s.to_bytes() for s in held.values()]})
+        if held:
+            yield pd.DataFrame({key: list(held), "n": [s.count for s in held.values()], "sketch": [s.to_bytes() for s in held.values()]})
 
     rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias(value))
     return rows.mapInPandas(build, SKETCHES.format(key=key))
@@ -192,7 +195,8 @@ def merged(parts: DataFrame, key: str, fan_in: int = 64) -> DataFrame:
                     if sketch is not None:
                         out.append((now, sketch.count, sketch.to_bytes()))
                     now, sketch = k, RelativeSketch.from_bytes(data)
-            yield pd.DataFrame(out, columns=[key, "n", "sketch"])
+            if out:
+                yield pd.DataFrame(out, columns=[key, "n", "sketch"])
         if sketch is not None:
             yield pd.DataFrame([(now, sketch.count, sketch.to_bytes())], columns=[key, "n", "sketch"])
 
@@ -233,18 +237,16 @@ def above(sketched: DataFrame, values: DataFrame, key: str, value: str, limits:
                         need = -(-pct * int(n) // 100)
                         rank, off = sketch.rank(limit)
                         rows.append((k, pct, float(limit), need, None if rank - off < need <= rank + off else rank < need))
-            yield pd.DataFrame(rows, columns=[key, "pct", "limit", "need", "above"]).astype({"above": object})
-
-    verdicts = sketched.mapInPandas(judge, f"{key} string, pct bigint, limit double, need bigint, above boolean")
-    from fleetloom.session import staged
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "pct", "limit", "need", "above"]).astype({"above": object})
 
-    verdicts = staged(verdicts, "verdicts")
+    verdicts = staged(sketched.mapInPandas(judge, f"{key} string, pct bigint, limit double, need bigint, above boolean"), "verdicts")
     open_ = verdicts.where("above is null").drop("above")
     # an inner join with three small rows per open key; the counts are combined before the shuffle
     counted = (
-        values.join(open_, key)
+        values.select(key, F.col(value).alias("_value")).join(open_, key)
         .groupBy(key, "pct", "need")
-        .agg(F.count_if(F.col(value) <= F.col("limit")).alias("at_most"))
+        .agg(F.count_if(F.col("_value") <= F.col("limit")).alias("at_most"))
         .where("at_most < need")
     )
     return verdicts.where("above").select(key, "pct").union(counted.select(key, "pct"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.operators.geometry import BoxTree, QuadTree, in_polygon, parse_polygons
+from fleetloom.session import staged
 
 SAMPLE_ROWS = 20_000  # points that shape the quadtree; which pairs are found doesn't depend on them
 BROADCAST_BYTES = 8_000_000  # text of regions up to this size is sent to all tasks
@@ -172,10 +173,8 @@ def near_counts(points: DataFrame, *, point_id: str, x: str, y: str, metres: flo
     row and aren't counted. Distances are great-circle; pairs across the 180th meridian
     aren't looked for.
     """
-    from fleetloom.session import staged
-
     px, py = F.col(x), F.col(y)
-    pts = points.where(F.col(point_id).isNotNull() & _on_globe(px, py)).select(F.col(point_id), px.cast("double").alias("x"), py.cast("double").alias("y"))
+    pts = points.where(F.col(point_id).isNotNull() & _on_globe(px, py)).select(F.col(point_id).alias("pid"), px.cast("double").alias("x"), py.cast("double").alias("y"))
     places = staged(pts.groupBy("x", "y").agg(F.count("*").alias("n")), "places")
     tree, n = quadtree(places, "x", "y", leaf_rows=20_000)
     shipped = Shipped(points.sparkSession, (tree, _salts(tree, n)))
@@ -183,6 +182,8 @@ def near_counts(points: DataFrame, *, point_id: str, x: str, y: str, metres: flo
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, ways = shipped.value
         for f in frames:
+            if f.empty:
+                continue
             boxes = _reach(f["x"].to_numpy(), f["y"].to_numpy(), metres)
             home = own.leaf(f["x"].to_numpy(), f["y"].to_numpy())
             inner = own.boxes[home]
@@ -217,7 +218,7 @@ def near_counts(points: DataFrame, *, point_id: str, x: str, y: str, metres: flo
     # a place is near itself: of its own n points, n - 1 are others
     found = found.join(places, ["x", "y"])
     return pts.join(found, ["x", "y"]).select(
-        point_id, (F.col("all_near") - 1).alias("near"), F.when(F.col("n") > 1, F.lit(0.0)).otherwise(F.col("apart_m")).alias("nearest_m")
+        F.col("pid").alias(point_id), (F.col("all_near") - 1).alias("near"), F.when(F.col("n") > 1, F.lit(0.0)).otherwise(F.col("apart_m")).alias("nearest_m")
     )
 
 

@@ -211,4 +211,7 @@ FROM live_vans v LEFT JOIN (SELECT van_id, count(*) AS n, avg(CAST(breach_second
 WHERE v.sla_risk IN ('WARNING', 'CRITICAL')""",
     "free_sql": "SELECT severity, count(*) AS n FROM sla_breaches WHERE breach_seconds > 60 AND cause = 'LATE_ARRIVAL' GROUP BY 1 ORDER BY n DESC LIMIT 5",
     "live_vans": _LIVE + "SELECT * FROM live_vans",
+    "vans_by_risk": _LIVE
+    + """
+SELECT r.sla_risk, count(v.van_id) AS vans FROM (VALUES ('NONE'), ('WARNING'), ('CRITICAL'), ('UNKNOWN')) AS r(sla_risk) LEFT JOIN live_vans v ON v.sla_risk = r.sla_risk GROUP BY 1""",
 }

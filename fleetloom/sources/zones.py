@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetloom.functions.geo import in_zone
 from fleetloom.operators.geometry import parse_polygons
@@ -23,7 +24,7 @@ def parsed_zones(zones: DataFrame, id: str = "id", geometry: str = "geometry") -
             found = [parse_polygons(t) for t in f[geometry]]
             yield f[rest].assign(polygons=[None if p is None else [[[{"x": x, "y": y} for x, y in ring.tolist()] for ring in rings] for rings in p] for p in found])
 
-    schema = zones.select(*rest).schema.add("polygons", POLYGONS)
+    schema = StructType([*zones.select(*rest).schema, *StructType.fromDDL(f"polygons {POLYGONS}")])
     return zones.mapInPandas(parse, schema)
 
 
