@@ -18,7 +18,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     up = F.sin(F.radians(lat2 - lat1) / 2)
     across = F.sin(F.radians(lon2 - lon1) / 2)
     h = up * up + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * across * across
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -51,8 +51,9 @@ def densify(lat1: Column, lon1: Column, lat2: Column, lon2: Column, step_m: floa
 
 def segment_lengths(line: Column) -> Column:
     """Lengths in metres of the segments of a polyline; empty for fewer than two points."""
-    pairs = F.arrays_zip(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))).alias("a"), F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))).alias("b"))
-    return F.transform(pairs, lambda p: haversine_m(p["0"][0], p["0"][1], p["1"][0], p["1"][1]))
+    n = F.greatest(F.size(line) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.transform(pairs, lambda p: haversine_m(p["a"][0], p["a"][1], p["b"][0], p["b"][1]))
 
 
 def cumulative_m(line: Column) -> Column:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def json_or_string(payload: Column) -> Column:
     """A valid JSON text unchanged, anything else as a JSON string; blank as the empty one; null for null."""
     quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.to_json(F.struct(payload.alias("v"))), r'^\{"v":"', ""), r'"\}$', ""), F.lit('"'))
-    return F.when(F.trim(payload) == "", F.lit('""')).when(F.try_parse_json(payload).isNotNull(), payload).when(payload.isNotNull(), quoted)
+    # the parser stops after the first value: only what is whole in a list and in an object is one value
+    listed = F.concat(F.lit("["), payload, F.lit("]"))
+    one = F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}"))).isNotNull()
+    return F.when(F.trim(payload) == "", F.lit('""')).when(one, payload).when(payload.isNotNull(), quoted)
 
 
 def truncated(text: Column, most: int) -> Column:

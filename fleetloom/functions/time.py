@@ -61,6 +61,6 @@ def free_flow_mps(speed_kmh: Column, factor: Column, base_kmh: Column, time_scal
 
 
 def average_kmh(km: Column, minutes: Column, time_scale: Column) -> Column:
-    """Speed over the ground at real pace, at most 999.99; null for no time."""
+    """Speed over the ground at real pace, at most 999.99; that too where distance or time is missing or no time passed."""
     hours = minutes / 60 * F.coalesce(time_scale, F.lit(1.0))
     return F.least(F.lit(999.99), km / F.nullif(hours, F.lit(0.0)))

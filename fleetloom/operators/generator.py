@@ -93,6 +93,11 @@ def through_network(rng: np.random.Generator, pings: pd.DataFrame, net: Network
     return out.sort_values("at", kind="stable", ignore_index=True)
 
 
+def _times(seconds: pd.Series) -> pd.Series:
+    """Epoch seconds as times to the microsecond."""
+    return pd.to_datetime((seconds * 1e6).round().astype("int64"), unit="us", utc=True)
+
+
 PINGS = "van_id string, sequence_number bigint, device_timestamp timestamp, ingestion_timestamp timestamp, latitude double, longitude double, status string, current_stop_index int, route_id string"
 
 
@@ -107,7 +112,7 @@ def fleet(spark: SparkSession, vans: int, stops: int = 8, seed: int = 1, start:
                 line, vertices = route(rng, stops)
                 p = through_network(rng, drive(rng, line, vertices, begin + float(rng.uniform(0, 600)), every_s=5.0))
                 yield pd.DataFrame({
-                    "van_id": f"van-{k:03d}", "sequence_number": p["seq"], "device_timestamp": pd.to_datetime(p["t"], unit="s", utc=True), "ingestion_timestamp": pd.to_datetime(p["at"], unit="s", utc=True),
+                    "van_id": f"van-{k:03d}", "sequence_number": p["seq"], "device_timestamp": _times(p["t"]), "ingestion_timestamp": _times(p["at"]),
                     "latitude": p["lat"], "longitude": p["lon"], "status": p["status"], "current_stop_index": p["leg"].astype("int32"), "route_id": f"route-{k:03d}",
                 })
 

@@ -71,7 +71,7 @@ def finished_routes(routes: DataFrame, logs: DataFrame, pings: DataFrame) -> Dat
     """Routes that have ended, with duration, distance driven and average speed: what completion writes.
 
     The duration starts at the actual, else the planned start. The speed is at real pace and at most
-    999.99; null where no time passed.
+    999.99, which is also given where no time passed or no distance is known.
     """
     from fleetloom.functions.time import average_kmh, minutes_between
 

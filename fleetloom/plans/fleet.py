@@ -167,7 +167,10 @@ def dispatch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = parsed_zones(load(spark, sf_dir, "geofence_zones").select("id", "geometry")).where("polygons is not null")
     ring = F.get(F.get("polygons", F.lit(0)), F.lit(0))
     mid = lambda c: (F.array_min(F.transform(ring, lambda p: p[c])) + F.array_max(F.transform(ring, lambda p: p[c]))) / 2
-    live = views.live_vans(spark, sf_dir).where("status in ('EN_ROUTE', 'DELIVERING')")
+    active = _gps(spark, sf_dir).where("van_id is not null and status in ('EN_ROUTE', 'DELIVERING') and ingestion_timestamp >= device_timestamp and location is not null")
+    last = active.groupBy("van_id").agg(F.max_by(F.struct("route_id", "status", "location", "speed_kmh", "current_stop_index", "device_timestamp"), F.struct("device_timestamp", "record_id")).alias("p"))
+    live = last.select("van_id", "p.route_id", "p.status", F.col("p.location.latitude").alias("lat"), F.col("p.location.longitude").alias("lon"), "p.speed_kmh", F.col("p.current_stop_index").alias("current_stop"),
+                       F.floor(micros("p.device_timestamp") / F.lit(1000)).alias("updated_epoch_ms"))
     now = F.col("updated_epoch_ms") / 1000
     orders = boxes.select(F.col("id").alias("order_id"), mid("y").alias("lat"), mid("x").alias("lon"))
     newest = live.agg(F.max(now).alias("now_s"))
@@ -207,7 +210,7 @@ _TRACK = f"""
 WITH l AS (
   SELECT route_id, location AS b, lag(location) OVER (PARTITION BY route_id ORDER BY device_timestamp, record_id) AS a FROM gps_event
   WHERE route_id IS NOT NULL AND device_timestamp IS NOT NULL AND location.latitude IS NOT NULL AND location.longitude IS NOT NULL
-), t AS (SELECT route_id, sum({_HAVERSINE.format(a="a", b="b")}) / 1000 AS track_km, count(*) AS pings FROM l GROUP BY 1 HAVING count(*) > 1)
+), t AS (SELECT route_id, sum({_HAVERSINE.format(a="a", b="b")}) FILTER (a IS NOT NULL) / 1000 AS track_km, count(*) AS pings FROM l GROUP BY 1 HAVING count(*) > 1)
 """
 
 _SAMPLES = """
@@ -258,7 +261,7 @@ ON l.route_id = r.route_id""",
     "finished_routes": _TRACK
     + """
 SELECT r.route_id, CAST(coalesce(c, 0) AS INTEGER) AS completed_stops, CAST(coalesce(f, 0) AS INTEGER) AS failed_stops, round(m, 3) AS minutes, round(track_km, 3) AS track_km,
-       round(CASE WHEN track_km IS NULL OR m = 0 THEN CASE WHEN m IS NULL OR track_km IS NULL OR m = 0 THEN 999.99 END ELSE least(999.99, track_km / (m / 60)) END, 3) AS avg_speed_kmh
+       round(least(999.99, track_km / nullif(m / 60, 0)), 3) AS avg_speed_kmh
 FROM (SELECT *, (epoch_us(actual_end) - epoch_us(coalesce(actual_start, planned_start))) / 6e7 AS m FROM completed_routes WHERE actual_end IS NOT NULL) r
 LEFT JOIN (SELECT route_id, count(*) FILTER (delivery_status = 'COMPLETED') AS c, count(*) FILTER (delivery_status = 'FAILED') AS f FROM delivery_logs GROUP BY 1) l ON l.route_id = r.route_id
 LEFT JOIN t ON t.route_id = r.route_id""",
