@@ -42,7 +42,8 @@ class SubjectRules:
     vocabulary: int = 20_000  # most frequent terms kept for each language
     least_documents: int = 3  # that a term must occur in
     power_passes: int = 3
-    labelled_documents: int = 5_000  # at most so many labelled documents seed the centroids
+    labelled_documents: int = 5_000  # at most so many labelled documents seed the centroids,
+    labelled_sentences: int = 200  # each with at most so many of its sentences, evenly spaced
     seed_rounds: int = 10
     corpus_rounds: int = 3
     edge_share: float = 0.004  # a first or last line that so many documents share isn't body
@@ -286,7 +287,7 @@ def _means(v: np.ndarray, chosen: np.ndarray, n: int, before: np.ndarray | None
 
 
 def _sentence_centre(docs: DataFrame, model: SubjectModel, rules: SubjectRules, assigned: bool) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sums over all sentences of the corpus: of every vector, or by subject of those assigned to it."""
+    """Weighted sums over all sentences of the corpus: of every vector, or by subject of those assigned to it."""
     shipped, n = _Shipped(docs.sparkSession, model), len(model.subjects) if assigned else 1
     least = rules.cosine + 0.1
 
@@ -294,15 +295,16 @@ def _sentence_centre(docs: DataFrame, model: SubjectModel, rules: SubjectRules,
         own, total = shipped.value, {}
         for f in frames:
             for language, part in f.groupby("language", sort=False):
-                v, _ = own.embed(language, part)
+                v, of = own.embed(language, part)
                 keep = np.linalg.norm(v, axis=1) > 0
+                weight = 1 / part["lengths"].str.len().to_numpy()[of]  # a document counts once, however long
                 group = np.zeros(len(v), int)
                 if assigned:
                     group, cosine = own.assign(language, v)
                     keep &= cosine >= least
                     v = _unit(v - own.centre[language]) if language in own.centre else v
                 sums = np.zeros((n, v.shape[1] + 1))
-                np.add.at(sums, group[keep], np.column_stack([v[keep], np.ones(keep.sum())]))
+                np.add.at(sums, group[keep], np.column_stack([v[keep], np.ones(keep.sum())]) * weight[keep, None])
                 total[language] = total.get(language, 0) + sums
         yield pd.DataFrame([(k, s.tobytes()) for k, s in total.items()], columns=["language", "sums"])
 
@@ -328,12 +330,12 @@ def fit(texts: DataFrame, subjects: DataFrame, labels: DataFrame, rules: Subject
     names = sorted(r.subject for r in subjects.select("subject").distinct().collect() if r.subject is not None)
     model = SubjectModel(names, {k: v[1] for k, v in terms.items()}, singular_vectors(docs, terms, rules))
     for language, (s, n) in _sentence_centre(docs, model, rules, assigned=False).items():
-        model.centre[language] = s[0] / max(1, n[0])
+        model.centre[language] = s[0] / max(1e-12, n[0])
 
     number = {s: k for k, s in enumerate(names)}
     marked = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("marks"))
     sample = docs.join(marked, "doc_id").orderBy(F.xxhash64("doc_id")).limit(rules.labelled_documents)
-    shipped = _Shipped(docs.sparkSession, model)
+    shipped, most = _Shipped(docs.sparkSession, model), rules.labelled_sentences
 
     def embedded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shipped.value
@@ -343,8 +345,12 @@ def fit(texts: DataFrame, subjects: DataFrame, labels: DataFrame, rules: Subject
                     v, of = own.embed(language, part)
                     v = _unit(v - own.centre[language]).astype("<f4")
                     for k, marks in enumerate(part["marks"]):
-                        yield pd.DataFrame([(language, list(marks), v[of == k].tobytes())], columns=["language", "marks", "v"])
+                        mine = v[of == k]
+                        mine = mine[np.unique(np.linspace(0, len(mine) - 1, most).astype(int))] if len(mine) > most else mine
+                        yield pd.DataFrame([(language, list(marks), mine.tobytes())], columns=["language", "marks", "v"])
 
+    if not names:
+        return model, docs
     seeds = sample.select("language", "terms", "lengths", "marks").mapInPandas(embedded, "language string, marks array<string>, v binary").collect()
     described = {r.subject: r.description for r in subjects.collect()}
     for language in model.centre:
@@ -373,7 +379,7 @@ def fit(texts: DataFrame, subjects: DataFrame, labels: DataFrame, rules: Subject
             good = allowed[np.arange(len(v)), best] & (cosine.max(axis=1) > rules.cosine / 2)
             c = _means(v, np.where(good, best, -1), len(names), c)
         model.centroids[language] = c
-    for _ in range(rules.corpus_rounds):
+    for _ in range(rules.corpus_rounds if names else 0):
         for language, (s, n) in _sentence_centre(docs, model, rules, assigned=True).items():
             if language in model.centroids:
                 moved = n > 0
@@ -387,7 +393,7 @@ def assign(docs: DataFrame, model: SubjectModel, rules: SubjectRules = SubjectRu
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shipped.value
-        for f in frames:
+        for f in frames if own.subjects else []:
             for language, part in f.groupby("language", sort=False):
                 v, of = own.embed(language, part)
                 best, cosine = own.assign(language, v)
