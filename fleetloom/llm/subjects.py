@@ -37,10 +37,11 @@ FUNCTION_WORDS = {
 @dataclass(frozen=True)
 class SubjectRules:
     share: float = 0.2  # of a document's sentences
-    cosine: float = 0.3  # a sentence below this for every subject is of none
-    rank: int = 28  # singular vectors kept for each language
+    cosine: float = 0.13  # a sentence below this for every subject is of none
+    rank: int = 20  # singular vectors kept for each language
     vocabulary: int = 20_000  # most frequent terms kept for each language
-    least_documents: int = 3  # that a term must occur in
+    least_documents: int = 3  # that a term must occur in,
+    least_share: float = 0.0015  # and of all documents: rarer words are mostly misspellings
     power_passes: int = 3
     labelled_documents: int = 5_000  # at most so many labelled documents seed the centroids,
     labelled_sentences: int = 200  # each with at most so many of its sentences, evenly spaced
@@ -147,8 +148,9 @@ def bodies(documents: DataFrame, rules: SubjectRules) -> DataFrame:
 def vocabulary(texts: DataFrame, rules: SubjectRules) -> dict[str, tuple[dict[str, int], np.ndarray]]:
     """For each language the terms' numbers and their inverse document frequencies, counted over all documents."""
     words = texts.select("language", F.explode(F.array_distinct(F.flatten(F.transform("sentences", lambda s: F.split(s, " "))))).alias("term"))
-    counted = words.groupBy("language", "term").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_documents)
+    counted = words.groupBy("language", "term").agg(F.count("*").alias("n"))
     total = {r.language: r.n for r in texts.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    counted = counted.where(F.col("n") >= max(rules.least_documents, rules.least_share * sum(total.values())))
     out = {}
     for language, n in total.items():
         top = counted.where(F.col("language") == language).orderBy(F.desc("n"), "term").limit(rules.vocabulary).collect()
