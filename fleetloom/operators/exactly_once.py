@@ -101,9 +101,14 @@ def seen_ranges(rows: DataFrame, rounds: int) -> list[DataFrame]:
 
 
 def _groups(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of groups of more than one row that are equal in ``keys``, with the group's first row as ``root``."""
-    firsts = rows.groupBy(*keys).agg(F.min("node").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(firsts, list(keys)).select("node", "root")
+    """Rows of groups of more than one row that are equal in ``keys``, with the group's first row as ``root``.
+
+    Counting comes first, as it needs neither sorting nor the rows' order; only rows that have a copy go on.
+    """
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    copied = staged(rows.join(several, list(keys), "left_semi"), "copied")
+    firsts = copied.groupBy(*keys).agg(F.min("node").alias("root"))
+    return copied.join(firsts, list(keys)).select("node", "root")
 
 
 def duplicates(log: DataFrame, rounds: int = 3) -> DataFrame:
