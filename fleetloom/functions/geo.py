@@ -147,3 +147,21 @@ def in_zone(polygons: Column, x: Column, y: Column) -> Column:
 def speed_factor(factor: Column) -> Column:
     """A zone's speed factor; 1 where there is no zone."""
     return F.coalesce(factor.cast("double"), F.lit(1.0))
+
+
+def in_area(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
+    """Within a box, its edges included; null coordinates aren't."""
+    return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
+
+
+def register(spark) -> None:
+    """The distances as SQL functions: haversine_m and haversine_km of (lat1, lon1, lat2, lon2), and bearing_deg.
+
+    They are expressions that the optimizer sees through, not calls into Python.
+    """
+    h = "pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)"
+    metres = f"{2 * EARTH_RADIUS_M} * asin(sqrt(CASE WHEN {h} > 1 THEN 1 ELSE {h} END))"
+    north = "cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))"
+    bearing = f"pmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), {north})) + 360, 360D)"
+    for name, body in (("haversine_m", metres), ("haversine_km", f"({metres}) / 1000"), ("bearing_deg", bearing)):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN {body}")

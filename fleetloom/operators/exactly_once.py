@@ -32,9 +32,14 @@ def uuid_key(col: Column | str) -> Column:
     Case, white space, hyphens, braces and the prefix ``urn:uuid:`` don't matter. A text that
     isn't 32 hexadecimal digits then denotes nothing.
     """
-    bare = F.translate(F.lower(col), "{}- \t\r\n", "")
+    text = F.col(col) if isinstance(col, str) else col
+    # nearly all ids are in the common form, which takes one replacement to read
+    plain = F.replace(text, F.lit("-"))
+    common = (F.octet_length(text) == 36) & (F.octet_length(plain) == 32)
+    bare = F.translate(F.lower(text), "{}- \t\r\n", "")
     bare = F.when(bare.startswith("urn:uuid:"), F.substring(bare, 10, 100)).otherwise(bare)
-    return F.when(bare.rlike("^[0-9a-f]{32}$") & (bare != "0" * 32), F.unhex(bare))
+    key = F.unhex(F.when(common, plain).when(F.length(bare) == 32, bare))
+    return F.when(F.octet_length(key) == 16, F.nullif(key, F.unhex(F.lit("0" * 32))))
 
 
 def message_rows(log: DataFrame) -> DataFrame:
@@ -101,14 +106,9 @@ def seen_ranges(rows: DataFrame, rounds: int) -> list[DataFrame]:
 
 
 def _groups(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of groups of more than one row that are equal in ``keys``, with the group's first row as ``root``.
-
-    Counting comes first, as it needs neither sorting nor the rows' order; only rows that have a copy go on.
-    """
-    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    copied = staged(rows.join(several, list(keys), "left_semi"), "copied")
-    firsts = copied.groupBy(*keys).agg(F.min("node").alias("root"))
-    return copied.join(firsts, list(keys)).select("node", "root")
+    """Rows of groups of more than one row that are equal in ``keys``, with the group's first row as ``root``."""
+    firsts = rows.groupBy(*keys).agg(F.min("node").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(firsts, list(keys)).select("node", "root")
 
 
 def duplicates(log: DataFrame, rounds: int = 3) -> DataFrame:

@@ -13,6 +13,32 @@ from pyspark.sql import functions as F
 from fleetloom.operators.state.eta import Route, haversine
 
 
+def leg_ends(line: Route, metres: np.ndarray, points: np.ndarray, snap: int = 15) -> np.ndarray:
+    """Vertices where the legs of a routed line end: by length, then the nearest vertex to the stop within ``snap``; rising."""
+    out, low = [], 0
+    for end, (lat, lon) in zip(np.cumsum(metres), points):
+        k = int(np.clip(np.searchsorted(line.cum, end), 0, len(line.cum) - 1))
+        a, b = max(low, k - snap), max(low, min(len(line.cum) - 1, k + snap))
+        near = np.arange(a, b + 1)
+        low = int(near[haversine(line.lat[near], line.lon[near], lat, lon).argmin()])
+        out.append(low)
+    return np.array(out)
+
+
+def with_stop(line: Route, vertices: np.ndarray, along_m: float, k: int, lat: float, lon: float) -> tuple[Route, np.ndarray]:
+    """A route with a stop put in before stop ``k``: what is driven already stays, the rest leads on from there.
+
+    Stops before ``k`` keep their place, so the way never turns back to them.
+    """
+    done = int(np.searchsorted(line.cum, along_m, side="right"))
+    keep = max(done, int(vertices[k - 1]) + 1 if k else 0)
+    rest = vertices[k:]
+    at = np.vstack([[line.lat[keep - 1], line.lon[keep - 1]], [lat, lon], np.column_stack([line.lat[rest], line.lon[rest]]), [line.lat[-1], line.lon[-1]]])
+    new_lat, new_lon, new = straight_route(at[:, 0], at[:, 1])
+    whole = Route(np.concatenate([line.lat[:keep], new_lat[1:]]), np.concatenate([line.lon[:keep], new_lon[1:]]))
+    return whole, np.concatenate([vertices[:k], keep - 1 + new[1:-1]])
+
+
 @dataclass(frozen=True)
 class Network:
     """What the link does to pings: copies, jitter, a slow path, dead zones with a backlog."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions.geo import bearing_deg, haversine_km
 from fleetloom.functions.time import lag_ms
 from fleetloom.operators import deliveries, dispatch, health, sequences, spatial, tables
+from fleetloom.operators.prefix import running_max
 from fleetloom.plans import views
 from fleetloom.schemas import RISK
 from fleetloom.session import load, micros
@@ -23,6 +24,13 @@ def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.window_verdicts(_gps(spark, sf_dir)).select("record_id", "verdict")
 
 
+def dedup_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sliding window made of the log: pings by verdict, and each verdict's share."""
+    counts = sequences.window_verdicts(_gps(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("pings"))
+    whole = counts.agg(F.sum("pings").alias("n"))
+    return counts.join(F.broadcast(whole)).select("verdict", "pings", F.round(F.col("pings") * 100 / F.col("n"), 3).alias("percent"))
+
+
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of a window of 4,096 on the events table as a stream: copies every 14th, arrivals out of order.
 
@@ -32,12 +40,11 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.when(F.col("event_id") % 997 == 1, 300_000).otherwise(0)
     base = load(spark, sf_dir, "events").select(F.col("user_id").alias("van_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 50 + (k * 97) % 9000 + late).alias("at_ms"))
     rows = base.unionByName(base.where("seq % 14 = 0").withColumn("at_ms", F.col("at_ms") + 250))
-    order = Window.partitionBy("van_id").orderBy("at_ms", "seq")
-    highest = F.max("seq").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = running_max(rows, "van_id", "at_ms", F.col("seq"), "highest", 60_000, "seq")  # in blocks of a minute
     again = F.row_number().over(Window.partitionBy("van_id", "seq").orderBy("at_ms"))
     behind = F.col("highest") - F.col("seq")
     verdict = F.when(F.col("highest").isNull() | (behind < 0), "new").when(behind >= 4096, "too_old").when(F.col("again") > 1, "duplicate").otherwise("new")
-    return rows.select("*", highest.alias("highest"), again.alias("again")).select("van_id", "seq", "at_ms", verdict.alias("verdict"))
+    return rows.select("*", again.alias("again")).select("van_id", "seq", "at_ms", verdict.alias("verdict"))
 
 
 def late_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +206,7 @@ def nation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        window_dedup, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, eta_errors, track_lengths, route_counters,
+        window_dedup, dedup_counters, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, eta_errors, track_lengths, route_counters,
         finished_routes, newest_routes, leg_geometry, zones_by_type, retained_breaches, routes_without_deliveries, pipeline_health, counter_growth, dispatch_orders, nation_ranking,
     )
 }

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_staged_paths: list[str] = []
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """All times mean UTC; Python workers exchange Arrow batches."""
@@ -48,7 +50,9 @@ def _forget(path: str) -> None:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _staged_paths.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str, *partitions: str) -> DataFrame:
@@ -63,3 +67,12 @@ def staged(df: DataFrame, name: str, *partitions: str) -> DataFrame:
 def micros(col: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp with or without zone (taken as UTC)."""
     return F.unix_micros((F.col(col) if isinstance(col, str) else col).cast("timestamp"))
+
+
+def forget_staged(spark: SparkSession) -> int:
+    """Delete the tables that this application staged; how many. Results that still read them must be written first."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _staged_paths:
+        path = jvm.org.apache.hadoop.fs.Path(_staged_paths.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -3,14 +3,8 @@ from pyspark.sql import functions as F
 from fleetloom.functions import geo, text, time
 
 
-def value(spark, column, **cols):
-    names = list(cols)
-    df = spark.createDataFrame([tuple(cols.values())] if cols else [(1,)], ", ".join(f"{n} {_type(v)}" for n, v in cols.items()) if cols else "one int")
-    return df.select(column.alias("v")).first().v if names or True else None
-
-
-def _type(v):
-    return {int: "bigint", float: "double", str: "string", bool: "boolean"}.get(type(v), "string")
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
 
 
 def test_distances_and_bearings(spark):
@@ -79,3 +73,12 @@ def test_payloads_are_json_in_any_case(spark):
     got = [r.v for r in df.select(text.json_or_string(F.col("p")).alias("v")).collect()]
     assert got[0] == '{"a": 1}' and got[5] is None
     assert [json.loads(g) for g in got[1:5]] == ["{broken", 'say "hi"\\', "", "1 2"]
+
+
+def test_areas_and_sql_functions(spark):
+    inside = lambda lat, lon: value(spark, geo.in_area(F.lit(lat).cast("double"), F.lit(lon).cast("double"), 52.0, 4.0, 53.0, 5.0))
+    assert [inside(*p) for p in [(52.0, 5.0), (51.9, 4.5), (52.5, None)]] == [True, False, False]
+    geo.register(spark)
+    row = spark.sql("SELECT haversine_m(52.1D, 4.9D, 52.2D, 4.8D) AS m, haversine_km(52.1D, 4.9D, 52.2D, NULL) AS k, bearing_deg(52.1D, 4.9D, 52.2D, 4.8D) AS b").first()
+    lit = [F.lit(x) for x in (52.1, 4.9, 52.2, 4.8)]
+    assert abs(row.m - value(spark, geo.haversine_m(*lit))) < 1e-6 and row.k is None and abs(row.b - value(spark, geo.bearing_deg(*lit))) < 1e-9

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetloom.operators.generator import Network, drive, fleet, nearest_first, route, through_network
+from fleetloom.operators.generator import Network, drive, fleet, leg_ends, nearest_first, route, through_network, with_stop
 from fleetloom.operators.intervals import IntervalMap
 from fleetloom.operators.late_periods import PeriodTable, replay
 from fleetloom.operators.sequences import archive_sample, estimates, late_pings, plans_from_logs, sampled, throttled, window_verdicts
@@ -170,3 +170,13 @@ def test_generated_fleets_are_repeatable(spark):
     out = through_network(rng, p, Network(copies=0.2))
     assert set(out["seq"]) == set(range(1, len(p) + 1)) and len(out) > len(p) and (out["at"].diff().dropna() >= 0).all() and p["status"].iloc[-1] == "RETURNED"
     assert list(nearest_first(np.array([3.0, 1.0, 2.0]), np.zeros(3), (0.0, 0.0))) == [1, 2, 0]
+
+
+def test_routes_take_another_stop_and_find_their_leg_ends():
+    rng = np.random.default_rng(2)
+    line, vertices = route(rng, 5)
+    longer, at = with_stop(line, vertices, line.cum[vertices[0]] + 1, 2, 52.37, 4.91)
+    assert len(at) == 6 and (np.diff(at) > 0).all() and list(at[:2]) == list(vertices[:2])
+    assert np.allclose([longer.lat[at[2]], longer.lon[at[2]]], [52.37, 4.91]) and np.allclose(longer.lat[at[3:]], line.lat[vertices[2:]])
+    legs = np.diff(np.concatenate([[0], line.cum[vertices]]))
+    assert list(leg_ends(line, legs * 1.01, np.column_stack([line.lat[vertices], line.lon[vertices]]))) == list(vertices)
