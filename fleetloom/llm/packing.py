@@ -74,24 +74,27 @@ def patterns(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2
 
 
 def _best_column(price: np.ndarray, size: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The most valuable configuration that fits: an unbounded knapsack over the capacity."""
+    """The most valuable configuration that fits: an unbounded knapsack, an item's copies added one at a time."""
     useful = [k for k in range(len(size)) if price[k] > 1e-12 and need[k] > 0]
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = sorted(useful, key=lambda k: size[k])
-    for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        for k in order:
-            if size[k] > c:
+    value = np.zeros(capacity + 1)  # of the best that a capacity holds, space left over or not
+    for k in useful:
+        w, p = int(size[k]), price[k]
+        for _ in range(capacity // w):
+            better = value[:-w] + p
+            if not (better > value[w:] + 1e-12).any():
                 break
-            if (v := value[c - size[k]] + price[k]) > value[c] + 1e-12:
-                value[c], choice[c] = v, k
+            value[w:] = np.maximum(value[w:], better)
     column, c = np.zeros(len(size)), capacity
-    while c > 0:
-        if choice[c] < 0:
+    weights, prices = np.array([int(size[k]) for k in useful], int), np.array([price[k] for k in useful])
+    while c > 0 and value[c] > 1e-9:
+        rest = c - weights
+        fits = np.where(rest >= 0, np.abs(value[np.maximum(rest, 0)] + prices - value[c]), np.inf)
+        k = int(fits.argmin())
+        if fits[k] > 1e-9:
             c -= 1
-        else:
-            column[choice[c]] += 1
-            c -= int(size[choice[c]])
+            continue
+        column[useful[k]] += 1
+        c = int(rest[k])
     return column, float(value[capacity])
 
 
