@@ -26,20 +26,24 @@ NEVER = 2**63 - 1  # arrival of a row without ingestion time: after all others
 RANGES = "van_id string, block bigint, lo bigint, hi bigint, suspects array<bigint>"
 
 
-def uuid_key(col: Column | str) -> Column:
-    """16 bytes of the UUID that a text denotes, however written; null for none or the nil UUID.
+def with_uuid(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the 16 bytes of the UUID that a text denotes, however written; null for none or the nil UUID.
 
     Case, white space, hyphens, braces and the prefix ``urn:uuid:`` don't matter. A text that
-    isn't 32 hexadecimal digits then denotes nothing.
+    isn't 32 hexadecimal digits then denotes nothing. The steps are columns of their own,
+    so that each is worked out once for a row.
     """
-    text = F.col(col) if isinstance(col, str) else col
+    text, plain, bare, key = F.col(column), F.col("_plain"), F.col("_bare"), F.col("_key")
     # nearly all ids are in the common form, which takes one replacement to read
-    plain = F.replace(text, F.lit("-"))
     common = (F.octet_length(text) == 36) & (F.octet_length(plain) == 32)
-    bare = F.translate(F.lower(text), "{}- \t\r\n", "")
-    bare = F.when(bare.startswith("urn:uuid:"), F.substring(bare, 10, 100)).otherwise(bare)
-    key = F.unhex(F.when(common, plain).when(F.length(bare) == 32, bare))
-    return F.when(F.octet_length(key) == 16, F.nullif(key, F.unhex(F.lit("0" * 32))))
+    return (
+        rows.withColumn("_plain", F.replace(text, F.lit("-")))
+        .withColumn("_bare", F.when(common, plain).otherwise(F.translate(F.lower(text), "{}- \t\r\n", "")))
+        .withColumn("_bare", F.when(bare.startswith("urn:uuid:"), F.substring(bare, 10, 100)).otherwise(bare))
+        .withColumn("_key", F.unhex(F.when(F.octet_length(bare) == 32, bare)))
+        .withColumn(name, F.when((F.octet_length(key) == 16) & (key != F.unhex(F.lit("0" * 32))), key))
+        .drop("_plain", "_bare", "_key")
+    )
 
 
 def message_rows(log: DataFrame) -> DataFrame:
@@ -47,14 +51,15 @@ def message_rows(log: DataFrame) -> DataFrame:
 
     Rows without record_id can't be told apart or kept, and are left out.
     """
-    return log.where(F.col("record_id").isNotNull()).select(
+    rows = log.where(F.col("record_id").isNotNull()).select(
         F.struct(F.coalesce(micros("ingestion_timestamp"), F.lit(NEVER)).alias("at"), F.col("record_id").alias("id")).alias("node"),
-        F.col("batch_id"),
-        uuid_key("event_id").alias("uuid"),
-        F.col("van_id"),
+        "batch_id",
+        "van_id",
         F.col("sequence_number").alias("seq"),
         micros("device_timestamp").alias("device_us"),
+        "event_id",
     )
+    return with_uuid(rows, "event_id", "uuid").drop("event_id")
 
 
 def _has_producer_id() -> Column:
@@ -123,7 +128,7 @@ def duplicates(log: DataFrame, rounds: int = 3) -> DataFrame:
     The delivery batches are taken in ``rounds`` groups, each admitted against the ranges that
     the groups before left.
     """
-    rows = message_rows(log)
+    rows = staged(message_rows(log), "messages")  # read several times, and much narrower than the log
     suspects = reduce(DataFrame.union, [s.select("van_id", F.explode("suspects").alias("seq")) for s in seen_ranges(rows, rounds)]).distinct()
     produced = rows.where(_has_producer_id()).select("node", "van_id", "seq", "device_us").join(suspects, ["van_id", "seq"], "left_semi")
     named = rows.where(F.col("uuid").isNotNull()).select("node", "uuid")
