@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.operators.prefix import running_max
-from fleetloom.operators.state.dedup import WindowDedup
+from fleetloom.operators.state.dedup import BloomDedup, WindowDedup
 from fleetloom.operators.state.eta import EtaTracker, Route, Stop
-from fleetloom.operators.state.streams import Throttle
+from fleetloom.operators.state.streams import NewestPlan, Throttle, TokenBuckets
 from fleetloom.session import micros
 
 DAY_US = 86_400_000_000
@@ -57,6 +57,50 @@ def window_verdicts(log: DataFrame, window: int = 4096, reset: int = 1_000_000)
     )
 
 
+def bloom_verdicts(log: DataFrame, expected: int = 100_000, false_rate: float = 0.001) -> DataFrame:
+    """The verdict of a Bloom filter of two generations on every ping in order of arrival: record_id, van_id, repeated.
+
+    Approximate: a few new pings are taken for repeated ones.
+    """
+
+    def step(state: BloomDedup, own: pd.DataFrame) -> pd.DataFrame:
+        van = own["van_id"].iloc[0]
+        return pd.DataFrame({"record_id": own["record_id"], "van_id": own["van_id"], "repeated": [state.is_duplicate(van, n) for n in own["seq"].tolist()]})
+
+    rows = arrivals(log).select("record_id", "van_id", "seq", "at_us")
+    return by_van(rows, ["at_us", "record_id"], lambda: BloomDedup(expected, false_rate), step, "record_id bigint, van_id string, repeated boolean")
+
+
+def accepted_plans(plans: DataFrame) -> DataFrame:
+    """Plans in order of arrival with the verdict whether each replaced its van's held one: van_id, route_id, version, arrival, accepted.
+
+    The last accepted row of a van is its plan. ``plans`` has van_id, route_id, version, created_s and arrival.
+    """
+
+    def step(state: NewestPlan, own: pd.DataFrame) -> pd.DataFrame:
+        taken = [state.put(r, int(v), None if c != c else c) for r, v, c in zip(own["route_id"], own["version"], own["created_s"])]
+        return own[["van_id", "route_id", "version", "arrival"]].assign(accepted=taken)
+
+    rows = plans.where("van_id is not null and route_id is not null").select("van_id", "route_id", F.coalesce("version", F.lit(0)).alias("version"), F.col("created_s").cast("double").alias("created_s"), "arrival")
+    return by_van(rows, ["arrival"], NewestPlan, step, "van_id string, route_id string, version int, arrival bigint, accepted boolean")
+
+
+def admitted_requests(requests: DataFrame, burst: float = 3, per_minute: float = 6, all_per_minute: float = 60) -> DataFrame:
+    """Requests in order of time with the limiter's verdict: client, at_s, passed.
+
+    The bucket for all clients makes this one sequence. It streams through one task; only the buckets of clients that
+    were active within ten minutes are held.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets = TokenBuckets(burst, per_minute, all_per_minute)
+        for f in frames:
+            yield f.assign(passed=[buckets.try_acquire(c, t) for c, t in zip(f["client"], f["at_s"].tolist())])
+
+    rows = requests.where("client is not null and at_s is not null").select("client", F.col("at_s").cast("double").alias("at_s"))
+    return rows.repartition(1).sortWithinPartitions("at_s", "client").mapInPandas(run, "client string, at_s double, passed boolean")
+
+
 def late_pings(log: DataFrame, grace_s: float = 3.0) -> DataFrame:
     """Pings that arrive after a later one of their van was released: record_id, van_id, ts_us, at_us.
 

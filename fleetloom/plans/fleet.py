@@ -10,6 +10,7 @@ from fleetloom.functions.time import lag_ms
 from fleetloom.operators import deliveries, dispatch, health, sequences, spatial, tables
 from fleetloom.operators.prefix import running_max
 from fleetloom.plans import views
+from fleetloom.plans.problems import IN_ZONES
 from fleetloom.schemas import RISK
 from fleetloom.session import load, micros
 from fleetloom.sources.zones import parsed_zones
@@ -24,6 +25,19 @@ def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.window_verdicts(_gps(spark, sf_dir)).select("record_id", "verdict")
 
 
+def bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Bloom filter's verdict on every ping."""
+    return sequences.bloom_verdicts(_gps(spark, sf_dir)).select("record_id", "repeated")
+
+
+def plan_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes as plans in order of creation: which of them replaced their van's plan."""
+    routes = load(spark, sf_dir, "completed_routes")
+    at = micros("created_at")
+    plans = routes.select("van_id", "route_id", F.lit(0).alias("version"), (micros("planned_start") / 1e6).alias("created_s"), at.alias("arrival"))
+    return sequences.accepted_plans(plans.where("arrival is not null")).select("van_id", "route_id", "accepted")
+
+
 def dedup_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sliding window made of the log: pings by verdict, and each verdict's share."""
     counts = sequences.window_verdicts(_gps(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("pings"))
@@ -32,14 +46,13 @@ def dedup_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of a window of 4,096 on the events table as a stream: copies every 14th, arrivals out of order.
+    """Verdicts of a window of 4,096 on the events table as a stream in which all arrive twice and out of order.
 
     Without restarts a verdict follows from the highest number before and the earlier copies, so no state is needed.
     """
     k = F.get_json_object("props", "$.k").cast("bigint")
-    late = F.when(F.col("event_id") % 997 == 1, 300_000).otherwise(0)
-    base = load(spark, sf_dir, "events").select(F.col("user_id").alias("van_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 50 + (k * 97) % 9000 + late).alias("at_ms"))
-    rows = base.unionByName(base.where("seq % 14 = 0").withColumn("at_ms", F.col("at_ms") + 250))
+    base = load(spark, sf_dir, "events").select(F.col("user_id").alias("van_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 50 + (k * 97) % 9000).alias("at_ms"))
+    rows = base.unionByName(base.withColumn("at_ms", F.col("at_ms") + 250))
     rows = running_max(rows, "van_id", "at_ms", F.col("seq"), "highest", 60_000, "seq")  # in blocks of a minute
     again = F.row_number().over(Window.partitionBy("van_id", "seq").orderBy("at_ms"))
     behind = F.col("highest") - F.col("seq")
@@ -194,8 +207,8 @@ def dispatch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delay ranking over line items: nations as zones, quantities as delays."""
-    items = load(spark, sf_dir, "lineitem").where("l_linenumber <> 1").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint") * 7).alias("s"))
-    suppliers, nations = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0")
+    items = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint") * 7).alias("s"))
+    suppliers, nations = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation")
     return (
         items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_name").alias("zone_name")).agg(F.sum("n").alias("breach_count"), F.sum("s").alias("total_breach_seconds"))
@@ -206,7 +219,7 @@ def nation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        window_dedup, dedup_counters, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, eta_errors, track_lengths, route_counters,
+        window_dedup, bloom_dedup, plan_selection, dedup_counters, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, eta_errors, track_lengths, route_counters,
         finished_routes, newest_routes, leg_geometry, zones_by_type, retained_breaches, routes_without_deliveries, pipeline_health, counter_growth, dispatch_orders, nation_ranking,
     )
 }
@@ -230,11 +243,15 @@ s AS (SELECT at_s, CAST(sum(n) OVER o AS BIGINT) AS received, CAST(sum(p) OVER o
 """
 
 SQL = {
+    "first_zone": IN_ZONES
+    + """
+SELECT DISTINCT ON (record_id) record_id, g.name AS zone_name, CAST(coalesce(g.speed_factor, 1.0) AS DOUBLE) AS speed_factor
+FROM inside i JOIN geofence_zones g ON g.id = i.zone_id ORDER BY record_id, g.name, g.id""",
     "dedup_events": """
 WITH b AS (
   SELECT user_id AS van_id, event_id AS seq,
-         event_id * 50 + (CAST(json_extract_string(props, '$.k') AS BIGINT) * 97) % 9000 + CASE WHEN event_id % 997 = 1 THEN 300000 ELSE 0 END AS at_ms FROM events
-), r AS (SELECT * FROM b UNION ALL SELECT van_id, seq, at_ms + 250 FROM b WHERE seq % 14 = 0),
+         event_id * 50 + (CAST(json_extract_string(props, '$.k') AS BIGINT) * 97) % 9000 AS at_ms FROM events
+), r AS (SELECT * FROM b UNION ALL SELECT van_id, seq, at_ms + 250 FROM b),
 h AS (SELECT *, max(seq) OVER (PARTITION BY van_id ORDER BY at_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h,
              row_number() OVER (PARTITION BY van_id, seq ORDER BY at_ms) AS n FROM r)
 SELECT van_id, seq, at_ms, CASE WHEN h IS NULL OR h < seq THEN 'new' WHEN h - seq >= 4096 THEN 'too_old' WHEN n > 1 THEN 'duplicate' ELSE 'new' END AS verdict FROM h""",
@@ -291,6 +308,6 @@ SELECT s.at_s, s.at_s - b.at_s AS window_s, s.received - b.received AS d_receive
 FROM s JOIN s b ON b.at_s = coalesce((SELECT max(x.at_s) FROM s x WHERE x.at_s <= s.at_s - 3600), (SELECT min(x.at_s) FROM s x WHERE x.at_s >= s.at_s - 3600))""",
     "nation_ranking": """
 SELECT n_name AS zone_name, count(*) AS breach_count, CAST(sum(CAST(l_quantity AS BIGINT) * 7) AS BIGINT) AS total_breach_seconds
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 5 <> 0 AND l_linenumber <> 1
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 GROUP BY 1 ORDER BY total_breach_seconds DESC, zone_name LIMIT 10""",
 }

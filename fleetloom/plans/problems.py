@@ -180,6 +180,24 @@ n AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < s THEN 1 ELSE 0 END) OVER
 p AS (SELECT van_id, no, min(s) AS period_start, max(e) AS period_end FROM n GROUP BY 1, 2)
 """
 
+# Geometries of either notation as nested lists, their edges, and the even-odd rule by counting crossings.
+IN_ZONES = r"""
+WITH t AS (SELECT id AS zone_id, trim(geometry) AS g FROM geofence_zones WHERE active AND geometry IS NOT NULL),
+b AS (SELECT *, replace(replace(regexp_replace(substr(g, strpos(g, '(')), '(-?[0-9.]+)\s+(-?[0-9.]+)', '[\1,\2]', 'g'), '(', '['), ')', ']') AS w FROM t),
+j AS (
+  SELECT zone_id, CASE WHEN NOT starts_with(g, '{') THEN CASE WHEN upper(g) LIKE '%MULTIPOLYGON%' THEN w ELSE '[' || w || ']' END
+    WHEN json_valid(g) THEN CASE lower(json_extract_string(g, '$.type')) WHEN 'polygon' THEN '[' || CAST(json_extract(g, '$.coordinates') AS VARCHAR) || ']'
+      WHEN 'multipolygon' THEN CAST(json_extract(g, '$.coordinates') AS VARCHAR) END END AS c FROM b
+), p AS (SELECT zone_id, CAST(from_json(c, '[[[["DOUBLE"]]]]') AS DOUBLE[][][][]) AS ps FROM j WHERE c IS NOT NULL AND json_valid(c)),
+q AS (SELECT zone_id, unnest(range(1, len(ps) + 1)) AS pid, ps FROM p), r AS (SELECT zone_id, pid, ps[pid] AS rs, unnest(range(1, len(ps[pid]) + 1)) AS rid FROM q),
+v AS (SELECT zone_id, pid, rid, rs[rid] AS ring, unnest(range(1, len(rs[rid]) + 1)) AS i FROM r),
+e AS MATERIALIZED (SELECT zone_id, pid, rid, ring[i][1] AS x1, ring[i][2] AS y1, ring[i % len(ring) + 1][1] AS x2, ring[i % len(ring) + 1][2] AS y2 FROM v),
+z AS (SELECT zone_id, min(x1) AS a, max(x1) AS c, min(y1) AS b, max(y1) AS d FROM e GROUP BY 1),
+n AS MATERIALIZED (SELECT record_id, zone_id, location.longitude AS x, location.latitude AS y FROM gps_event JOIN z ON location.longitude BETWEEN a AND c AND location.latitude BETWEEN b AND d),
+h AS (SELECT record_id, zone_id, pid, rid, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS odd FROM n JOIN e USING (zone_id) GROUP BY 1, 2, 3, 4),
+inside AS (SELECT DISTINCT record_id, zone_id FROM (SELECT record_id, zone_id, pid FROM h GROUP BY 1, 2, 3 HAVING bool_or(odd AND rid = 1) AND NOT bool_or(odd AND rid > 1)))
+"""
+
 SQL = {
     "p1_found": _ARRIVED
     + """
@@ -206,6 +224,7 @@ SELECT van_id, min(s) AS lo, max(s) AS hi FROM i GROUP BY van_id, block, island"
 SELECT DISTINCT van_id, CAST(l.pct AS BIGINT) AS pct FROM c JOIN (VALUES (50, 150), (90, 450), (99, 1500)) AS l(pct, most) ON true
 WHERE n >= 20 AND rank = CAST(ceil(l.pct * n / 100.0) AS BIGINT) AND v > l.most""",
     "p4_counts_by_day": _VALUES + "SELECT van_id, count(*) AS n FROM v WHERE van_id IS NOT NULL AND day IS NOT NULL GROUP BY 1",
+    "p5_found": IN_ZONES + "SELECT record_id, zone_id FROM inside",
     "p5_near": """
 WITH p AS (
   SELECT id, location.longitude AS x, location.latitude AS y FROM delivery_logs

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from fleetloom.operators import deliveries
 from fleetloom.operators import tables as ops
@@ -62,3 +63,32 @@ def deliveries_sink(logs: StoredTable, breaches: StoredTable, query: str) -> Sin
         breaches.append(ops.insert_new(breaches.read(), deliveries.breach_rows(batch), "event_id"), (query, number))
 
     return run
+
+
+def observed(df: DataFrame, name: str) -> DataFrame:
+    """The stream with counters of what passes: rows by kind, and the largest lag in seconds, taken along the way."""
+    lag = F.max((F.col("at_us") - F.col("ts_us")) / 1e6).alias("largest_lag_s")
+    return df.observe(name, F.count("*").alias("rows"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("released", "late", "duplicate", "too_old")], lag)
+
+
+class Counters(StreamingQueryListener):
+    """Sums of the observed counters over all micro-batches, and the highest of those called largest."""
+
+    def __init__(self):
+        self.totals: dict[str, dict[str, float]] = {}
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            held = self.totals.setdefault(name, {})
+            for k, v in row.asDict().items():
+                if v is not None:
+                    held[k] = max(held.get(k, v), v) if k.startswith("largest") else held.get(k, 0) + v
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

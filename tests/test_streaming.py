@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetloom.operators.generator import Network, drive, fleet, leg_ends, nearest_first, route, through_network, with_stop
 from fleetloom.operators.intervals import IntervalMap
 from fleetloom.operators.late_periods import PeriodTable, replay
-from fleetloom.operators.sequences import archive_sample, estimates, late_pings, plans_from_logs, sampled, throttled, window_verdicts
+from fleetloom.operators.sequences import accepted_plans, admitted_requests, archive_sample, bloom_verdicts, estimates, late_pings, plans_from_logs, sampled, throttled, window_verdicts
 from fleetloom.operators.state.dedup import NEW, RESET, WindowDedup
 from fleetloom.operators.state.streams import ReorderBuffer, Throttle
 from fleetloom.schemas import GPS_EVENT
@@ -15,7 +15,7 @@ from fleetloom.session import fresh_path
 from fleetloom.sources.tables import StoredTable
 from fleetloom.streaming import intervals as live_intervals
 from fleetloom.streaming.pings import OUTPUT, PingProcessor, keyed_pings, ordered_pings, use_rocksdb
-from fleetloom.streaming.sinks import periods_sink, pings_sink
+from fleetloom.streaming.sinks import Counters, observed, periods_sink, pings_sink
 
 BASE = datetime(2024, 1, 1)
 
@@ -93,7 +93,12 @@ def test_stream_of_pings_equals_the_machines(spark, log):
     keyed = keyed_pings(log)
     where = files_in_order(spark, keyed, "at_us", 3, "pings")
     stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    got = run(spark, ordered_pings(stream, PingProcessor(window=64, reset=1000)), "append", "ordered").collect()
+    counters = Counters()
+    spark.streams.addListener(counters)
+    got = run(spark, observed(ordered_pings(stream, PingProcessor(window=64, reset=1000)), "pings"), "append", "ordered").collect()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(counters)
+    assert counters.totals["pings"]["rows"] == len(got) and counters.totals["pings"]["late"] == sum(r.kind == "late" for r in got)
     want = []
     for van in ("v", "w"):
         d, b = WindowDedup(64, 1000), ReorderBuffer(3_000_000)
@@ -180,3 +185,18 @@ def test_routes_take_another_stop_and_find_their_leg_ends():
     assert np.allclose([longer.lat[at[2]], longer.lon[at[2]]], [52.37, 4.91]) and np.allclose(longer.lat[at[3:]], line.lat[vertices[2:]])
     legs = np.diff(np.concatenate([[0], line.cum[vertices]]))
     assert list(leg_ends(line, legs * 1.01, np.column_stack([line.lat[vertices], line.lon[vertices]]))) == list(vertices)
+
+
+def test_bloom_plans_and_requests_as_sequences(spark, log):
+    got = {r.record_id: r.repeated for r in bloom_verdicts(log, 1000, 0.001).collect()}
+    seen, wrong = set(), 0
+    for r in in_order(log):
+        again = (r.van_id, r.sequence_number) in seen
+        seen.add((r.van_id, r.sequence_number))
+        assert got[r.record_id] or not again
+        wrong += got[r.record_id] and not again
+    assert wrong <= 3
+    plans = spark.createDataFrame([("v", "r1", 1, 10, 1), ("v", "r1", 1, 99, 2), ("v", "r2", None, 5, 3), ("v", "r2", 0, None, 4), ("w", "r9", 0, None, 1), (None, "x", 1, 1, 1)], "van_id string, route_id string, version int, created_s int, arrival bigint")
+    assert [(r.van_id, r.accepted) for r in accepted_plans(plans).orderBy("van_id", "arrival").collect()] == [("v", True), ("v", False), ("v", False), ("v", True), ("w", True)]
+    asked = spark.createDataFrame([("a", t) for t in (0, 1, 2, 3, 12)] + [("b", 3), (None, 1)], "client string, at_s int")
+    assert [(r.client, r.passed) for r in admitted_requests(asked).collect()] == [("a", True), ("a", True), ("a", True), ("a", False), ("b", True), ("a", True)]
