@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetloom.session import staged
@@ -42,11 +42,11 @@ class SubjectRules:
     vocabulary: int = 20_000  # most frequent terms kept for each language
     least_documents: int = 3  # that a term must occur in,
     least_share: float = 0.0015  # and of all documents: rarer words are mostly misspellings
-    power_passes: int = 3
+    power_passes: int = 2
     labelled_documents: int = 5_000  # at most so many labelled documents seed the centroids,
     labelled_sentences: int = 200  # each with at most so many of its sentences, evenly spaced
     seed_rounds: int = 10
-    corpus_rounds: int = 3
+    corpus_rounds: int = 2
     edge_share: float = 0.004  # a first or last line that so many documents share isn't body
     run_on: int = 16  # a sentence of more words has lost its stops and is cut
     cut: int = 8
@@ -151,9 +151,11 @@ def vocabulary(texts: DataFrame, rules: SubjectRules) -> dict[str, tuple[dict[st
     counted = words.groupBy("language", "term").agg(F.count("*").alias("n"))
     total = {r.language: r.n for r in texts.groupBy("language").agg(F.count("*").alias("n")).collect()}
     counted = counted.where(F.col("n") >= max(rules.least_documents, rules.least_share * sum(total.values())))
+    order = Window.partitionBy("language").orderBy(F.desc("n"), "term")  # words that many documents hold: few
+    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.vocabulary).collect()
     out = {}
     for language, n in total.items():
-        top = counted.where(F.col("language") == language).orderBy(F.desc("n"), "term").limit(rules.vocabulary).collect()
+        top = sorted((r for r in ranked if r.language == language), key=lambda r: r.rank)
         out[language] = {r.term: k for k, r in enumerate(top)}, np.log((1 + n) / np.array([max(1, r.n) for r in top], float))
     return out
 
