@@ -52,19 +52,29 @@ def with_counts(routes: DataFrame, logs: DataFrame) -> DataFrame:
     return routes.join(counts, routes["route_id"] == counts["route_id"], "left").select(*[fresh.get(c, routes[c]) for c in routes.columns])
 
 
-def track_lengths(pings: DataFrame, group: str = "route_id", at: str = "device_timestamp") -> DataFrame:
+def track_lengths(pings: DataFrame, group: str = "route_id", at: str = "device_timestamp", block_s: int = 3600) -> DataFrame:
     """Length in km of the line through each group's pings in order of time; groups of a single ping have none.
 
     On the sphere; a spheroid differs by up to half a percent. A null position or time is no point of
-    the line. Pings of equal time are in order of their record.
+    the line. Pings of equal time are in order of their record. The line is measured within blocks of
+    time and between the ends of neighbouring blocks, so that a group with very many pings is
+    many tasks.
     """
     from fleetloom.functions.geo import haversine_m
+    from fleetloom.session import micros
 
-    rows = pings.where(F.col(group).isNotNull() & F.col(at).isNotNull() & F.col("location.latitude").isNotNull() & F.col("location.longitude").isNotNull())
-    w = Window.partitionBy(group).orderBy(at, "record_id")
     lat, lon = F.col("location.latitude"), F.col("location.longitude")
-    steps = rows.select(group, haversine_m(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon).alias("m"))
-    return steps.groupBy(group).agg(F.sum("m").alias("m"), F.count("*").alias("pings")).where("pings > 1").select(group, (F.col("m") / 1000).alias("track_km"), "pings")
+    rows = pings.where(F.col(group).isNotNull() & F.col(at).isNotNull() & lat.isNotNull() & lon.isNotNull()).select(
+        F.col(group).alias("g"), micros(at).alias("us"), F.col("record_id").alias("id"), lat.alias("lat"), lon.alias("lon"), F.floor(micros(at) / F.lit(block_s * 1_000_000)).alias("block")
+    )
+    inner = Window.partitionBy("g", "block").orderBy("us", "id")
+    steps = rows.select("g", "block", "us", "id", "lat", "lon", haversine_m(F.lag("lat").over(inner), F.lag("lon").over(inner), F.col("lat"), F.col("lon")).alias("m"))
+    place, order = F.struct("lat", "lon"), F.struct("us", "id")
+    blocks = steps.groupBy("g", "block").agg(F.sum("m").alias("m"), F.count("*").alias("pings"), F.min_by(place, order).alias("first"), F.max_by(place, order).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("g").orderBy("block"))  # one row per block
+    bridged = blocks.withColumn("before", before).withColumn("bridge", haversine_m(F.col("before.lat"), F.col("before.lon"), F.col("first.lat"), F.col("first.lon")))
+    total = bridged.groupBy("g").agg((F.coalesce(F.sum("m"), F.lit(0.0)) + F.coalesce(F.sum("bridge"), F.lit(0.0))).alias("m"), F.sum("pings").alias("pings"))
+    return total.where("pings > 1").select(F.col("g").alias(group), (F.col("m") / 1000).alias("track_km"), "pings")
 
 
 def finished_routes(routes: DataFrame, logs: DataFrame, pings: DataFrame) -> DataFrame:
