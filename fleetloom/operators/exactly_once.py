@@ -62,7 +62,7 @@ def message_rows(log: DataFrame) -> DataFrame:
     return with_uuid(rows, "event_id", "uuid").drop("event_id")
 
 
-def _has_producer_id() -> Column:
+def has_producer_id() -> Column:
     return F.col("van_id").isNotNull() & F.col("seq").isNotNull() & F.col("device_us").isNotNull()
 
 
@@ -75,7 +75,7 @@ def advance_ranges(batch: DataFrame, ranges: DataFrame | None) -> DataFrame:
     exactly. Every other number of the batch is accepted.
     """
     numbers = (
-        batch.where(_has_producer_id())
+        batch.where(has_producer_id())
         .groupBy("van_id", "seq")
         .agg(F.count("*").alias("n"))  # combined before the shuffle: a hot number is one row per task
         .select("van_id", F.floor(F.col("seq") / F.lit(BLOCK)).alias("block"), F.col("seq").alias("lo"), F.col("seq").alias("hi"), "n")
@@ -130,7 +130,7 @@ def duplicates(log: DataFrame, rounds: int = 3) -> DataFrame:
     """
     rows = staged(message_rows(log), "messages")  # read several times, and much narrower than the log
     suspects = reduce(DataFrame.union, [s.select("van_id", F.explode("suspects").alias("seq")) for s in seen_ranges(rows, rounds)]).distinct()
-    produced = rows.where(_has_producer_id()).select("node", "van_id", "seq", "device_us").join(suspects, ["van_id", "seq"], "left_semi")
+    produced = rows.where(has_producer_id()).select("node", "van_id", "seq", "device_us").join(suspects, ["van_id", "seq"], "left_semi")
     named = rows.where(F.col("uuid").isNotNull()).select("node", "uuid")
     members = _groups(produced, "van_id", "seq", "device_us").union(_groups(named, "uuid"))
     # A row is in at most two groups. Where their first rows differ, the groups are one message.

@@ -107,3 +107,26 @@ def test_components_of_a_path_a_loop_and_nulls(spark):
     got = {(r.a, r.b) for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {(k, 0) for k in range(1, 41)} | {(101, 100), (102, 100)}
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_batches_of_a_stream_keep_what_the_whole_log_keeps(spark):
+    from fleetloom.session import fresh_path
+    from fleetloom.streaming.messages import MessageStore
+
+    rng, rows = random.Random(9), []
+    for k in range(120):
+        uid, van, at = f"{k + 1:08x}-2222-4000-8000-000000000000", rng.choice("vw"), 10 * k
+        first = (len(rows), None, uid, van, k // 3, at, at)
+        rows.append(first)
+        for _ in range(rng.choice([0, 0, 1, 2])):  # copies lack one of the two identifiers, or neither
+            lost = rng.choice(["id", "number", "none"])
+            rows.append((len(rows), None, None if lost == "id" else uid.upper(), None if lost == "number" else van, k // 3, at, at + rng.choice([0, 5, 300, 900])))
+    rows = sorted(rows, key=lambda r: (r[6], r[0]))
+    rows = [(*r[:1], n // 70, *r[2:]) for n, r in enumerate(rows)]
+    log = table(spark, rows)
+    store = MessageStore(spark, fresh_path(spark, "messages"), LOG)
+    for b in (0, 1, 1, 2, 3, 4):
+        store.take(log.where(f"batch_id = {b}"), b)
+    want = {r[0] for r in rows} - {a for a, _ in brute([(*r[:2], r[2] and r[2].lower(), *r[3:]) for r in rows])}
+    assert {r.record_id for r in store.messages.read().collect()} == want and store.messages.read().count() == len(want)
+    assert {(r.van_id, r.lo, r.hi) for r in store.ranges.read().collect()} == {(r.van_id, r.lo, r.hi) for r in seen_ranges(message_rows(log), 1)[-1].collect()}
