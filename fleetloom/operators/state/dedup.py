@@ -28,35 +28,49 @@ class WindowDedup:
     def check(self, numbers: np.ndarray) -> np.ndarray:
         """The verdict on each number, in order of arrival; many at once."""
         numbers = np.asarray(numbers, np.int64)
-        out = np.empty(len(numbers), object)
+        codes = np.zeros(len(numbers), np.int8)
         at = 0
         while at < len(numbers):
             rest = numbers[at:]
-            before = np.maximum.accumulate(np.concatenate([[self.highest if self.highest is not None else rest[0] - 1], rest]))[:-1]
+            before = np.empty_like(rest)
+            before[0] = self.highest if self.highest is not None else rest[0] - 1
+            np.maximum.accumulate(rest[:-1], out=before[1:])
+            np.maximum(before[1:], before[0], out=before[1:])
             behind = before - rest
             again = np.flatnonzero(behind >= self.reset)
             n = int(again[0]) if len(again) else len(rest)
             if n:
-                self._accept(rest[:n], behind[:n], out[at : at + n])
+                self._accept(rest[:n], behind[:n], codes[at : at + n])
             at += n
             if n < len(rest):
-                out[at] = RESET
+                codes[at] = 1
                 self.highest, self.seen = int(numbers[at]), numbers[at : at + 1].copy()
                 at += 1
-        return out
-
-    def _accept(self, numbers: np.ndarray, behind: np.ndarray, out: np.ndarray) -> None:
-        old = behind >= self.window
-        _, first = np.unique(numbers, return_index=True)
-        repeated = np.ones(len(numbers), bool)
-        repeated[first] = False
-        repeated |= np.isin(numbers, self.seen)
-        out[:] = NEW
-        out[repeated] = DUPLICATE
-        out[old] = TOO_OLD
+        return _VERDICTS[codes]
+
+    def _accept(self, numbers: np.ndarray, behind: np.ndarray, codes: np.ndarray) -> None:
+        above = behind < 0  # a new highest number; these rise, so they are sorted
+        low = np.flatnonzero(~above)
+        if len(low):
+            x = numbers[low]
+            repeated = np.ones(len(x), bool)
+            repeated[np.unique(x, return_index=True)[1]] = False
+            repeated |= _among(x, numbers[above]) | _among(x, self.seen)
+            codes[low[repeated]] = 2
+            codes[low[behind[low] >= self.window]] = 3
         self.highest = int(max(numbers.max(), self.highest if self.highest is not None else numbers[0]))
-        kept = np.union1d(self.seen, numbers[~old])
-        self.seen = kept[kept > self.highest - self.window]
+        edge = self.highest - self.window
+        self.seen = np.unique(np.concatenate([self.seen[self.seen > edge], numbers[numbers > edge]]))
+
+
+_VERDICTS = np.array([NEW, RESET, DUPLICATE, TOO_OLD], dtype=object)
+
+
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
 
 
 def bloom_size(expected: int, false_rate: float) -> tuple[int, int]:
