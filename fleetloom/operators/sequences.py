@@ -65,7 +65,7 @@ def bloom_verdicts(log: DataFrame, expected: int = 100_000, false_rate: float =
 
     def step(state: BloomDedup, own: pd.DataFrame) -> pd.DataFrame:
         van = own["van_id"].iloc[0]
-        return pd.DataFrame({"record_id": own["record_id"], "van_id": own["van_id"], "repeated": [state.is_duplicate(van, n) for n in own["seq"].tolist()]})
+        return pd.DataFrame({"record_id": own["record_id"], "van_id": own["van_id"], "repeated": state.check(van, own["seq"].to_numpy())})
 
     rows = arrivals(log).select("record_id", "van_id", "seq", "at_us")
     return by_van(rows, ["at_us", "record_id"], lambda: BloomDedup(expected, false_rate), step, "record_id bigint, van_id string, repeated boolean")

@@ -109,18 +109,49 @@ class BloomDedup:
         self.now, self.before = np.zeros(self.bits, bool), np.zeros(self.bits, bool)
         self.insertions = self.rotations = 0
 
-    def _places(self, key: str) -> np.ndarray:
-        one, two = fnv1a(key.encode()), string_hash(key)
-        mixed = (one + np.arange(self.hashes, dtype=np.int64) * two + 2**31) % 2**32 - 2**31
-        return np.abs(np.fmod(mixed, self.bits))
-
-    def is_duplicate(self, producer: str, number: int) -> bool:
-        at = self._places(f"{producer}:{number}")
-        if self.now[at].all() or self.before[at].all():
-            return True
-        self.now[at] = True
-        self.insertions += 1
+    def _places(self, producer: str, numbers: np.ndarray) -> np.ndarray:
+        """The bits of each key ``producer:number``, by double hashing in 32-bit arithmetic; a row for each number."""
+        head = f"{producer}:"
+        one, two = np.full(len(numbers), fnv1a(head.encode()), np.int32), np.full(len(numbers), string_hash(head), np.int32)
+        text = numbers.astype("U")
+        digits = text.view(np.int32).reshape(len(numbers), -1)  # one column for each character, 0 past the end
+        for c in digits.T:
+            on = c != 0
+            one[on] = (one[on] ^ c[on]) * np.int32(0x01000193)
+            two[on] = two[on] * np.int32(31) + c[on]
+        steps = np.arange(self.hashes, dtype=np.int32)
+        return np.abs(np.fmod(one[:, None] + steps * two[:, None], np.int32(self.bits)).astype(np.int64))
+
+    def check(self, producer: str, numbers: np.ndarray) -> np.ndarray:
+        """Whether each number, in order of arrival, seems to have come before; many at once."""
+        numbers = np.asarray(numbers, np.int64)
+        out = np.zeros(len(numbers), bool)
+        at, step = 0, 20_000
+        while at < len(numbers):
+            at += self._some(self._places(producer, numbers[at : at + step]), out[at : at + step])
+        return out
+
+    def _some(self, places: np.ndarray, out: np.ndarray) -> int:
+        """Decide on as many rows as come before the filter is full; how many."""
+        old = self.before[places].all(axis=1)
+        row = np.flatnonzero(~old)
+        own = places[row]
+        # a bit counts as set if it is in the filter, or a row before set it
+        bits, where = np.unique(own, return_inverse=True)
+        first = np.full(len(bits), len(places))
+        np.minimum.at(first, where.ravel(), np.repeat(row, self.hashes))
+        known = (self.now[own] | (first[where.reshape(own.shape)] < row[:, None])).all(axis=1)
+        new = row[~known]
+        n = len(places) if len(new) < self.expected - self.insertions else int(new[self.expected - self.insertions - 1]) + 1
+        new = new[new < n]
+        out[:n] = True
+        out[new] = False
+        self.now[places[new].ravel()] = True
+        self.insertions += len(new)
         if self.insertions >= self.expected:
             self.before, self.now = self.now, np.zeros(self.bits, bool)
             self.insertions, self.rotations = 0, self.rotations + 1
-        return False
+        return n
+
+    def is_duplicate(self, producer: str, number: int) -> bool:
+        return bool(self.check(producer, np.array([number]))[0])

@@ -71,6 +71,19 @@ def test_bloom_sizes_hashes_and_error():
     assert sum(small.is_duplicate("v", k) for k in range(20_000)) < 800 and small.rotations >= 18
 
 
+@pytest.mark.parametrize("expected", [7, 100, 5000])
+def test_bloom_in_batches_is_the_same_as_one_by_one(expected):
+    numbers = np.random.default_rng(3).integers(-50, 900, 3000)
+    one, many = BloomDedup(expected, 0.01), BloomDedup(expected, 0.01)
+    single = [one.is_duplicate("van-1", int(n)) for n in numbers]
+    cuts = [0, 1, 2, 500, 501, 1700, 3000]
+    batched = np.concatenate([many.check("van-1", numbers[a:b]) for a, b in zip(cuts, cuts[1:])])
+    assert list(batched) == single and one.rotations == many.rotations and (one.now == many.now).all()
+    h1, h2 = fnv1a(b"van-1:-37"), string_hash("van-1:-37")
+    wrap = lambda x: (x + 2**31) % 2**32 - 2**31
+    assert list(one._places("van-1", np.array([-37]))[0]) == [abs(int(math.fmod(wrap(h1 + i * h2), one.bits))) for i in range(one.hashes)]
+
+
 def test_reorder_buffer_known_cases():
     b = ReorderBuffer(grace=3000)
     for t, n in [(1000, 3), (0, 1), (500, 2)]:
