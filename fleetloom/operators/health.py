@@ -89,6 +89,19 @@ def silent_vans(newest: DataFrame, now_ms: Column, after_s: int = 300) -> DataFr
     return newest.agg(F.count("*").alias("vans"), F.count_if(F.col("updated_epoch_ms") < now_ms - after_s * 1000).alias("silent_vans"))
 
 
+def latency_buckets(rows: DataFrame, value: str, bounds: list[float], key: str) -> DataFrame:
+    """A cumulative histogram of each key: key, le, n; the last bound is infinite. Nulls aren't counted."""
+    ends = [*sorted(bounds), float("inf")]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key).agg(*[F.count_if(F.col(value) <= b).alias(f"b{k}") for k, b in enumerate(ends)])
+    pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(ends)])
+    return counts.select(key, F.explode(pairs).alias("b")).select(key, "b.le", "b.n")
+
+
+def heard_of(rows: DataFrame, received_ms: str, now_ms: Column, within_s: int = 120) -> DataFrame:
+    """Vans that were heard of within a time, by when they were received."""
+    return rows.where(F.col(received_ms) >= now_ms - within_s * 1000)
+
+
 def histogram_quantile(buckets: DataFrame, q: float, key: str) -> DataFrame:
     """A percentile out of cumulative buckets (key, le, n): linear within its bucket, the last finite bound beyond."""
     w = Window.partitionBy(key).orderBy("le")

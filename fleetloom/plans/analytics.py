@@ -111,6 +111,19 @@ def at_risk_vans(live: DataFrame, breaches: DataFrame) -> DataFrame:
     )
 
 
+def panel(live: DataFrame) -> DataFrame:
+    """The lists of a dashboard: list (CRITICAL, WARNING, DELIVERING or IN_ZONE) and van_id, by list and van.
+
+    A van is in every list that it belongs to.
+    """
+    of = F.array_compact(
+        F.array(
+            F.when(F.col("sla_risk").isin("CRITICAL", "WARNING"), F.col("sla_risk")), F.when(F.col("status") == "DELIVERING", "DELIVERING"), F.when(F.col("in_zone"), "IN_ZONE")
+        )
+    )
+    return live.select(F.explode(of).alias("list"), "van_id").orderBy("list", "van_id")
+
+
 _FETCH = re.compile(r"\bFETCH\s+(?:FIRST|NEXT)\s+(\d+)\s+ROWS?\s+ONLY\b", re.I)
 
 
@@ -150,6 +163,7 @@ QUERIES = {
     "zone_heatmap": lambda s, d: zone_heatmap(_ZONES(s, d), _BREACHES(s, d)),
     "live_zone_risk": lambda s, d: live_zone_risk(views.live_vans(s, d), _ZONES(s, d), _BREACHES(s, d)),
     "at_risk_vans": lambda s, d: at_risk_vans(views.live_vans(s, d), _BREACHES(s, d)),
+    "panel": lambda s, d: panel(views.live_vans(s, d)),
     "free_sql": _free_sql,
     "live_vans": views.live_vans,
 }
@@ -209,6 +223,10 @@ WHERE v.in_zone""",
 SELECT v.van_id, v.status, v.sla_risk, v.slack_seconds, v.eta_seconds, v.zone_name, coalesce(h.n, 0) AS past_breaches, h.a AS past_avg_breach_seconds
 FROM live_vans v LEFT JOIN (SELECT van_id, count(*) AS n, avg(CAST(breach_seconds AS DOUBLE)) AS a FROM sla_breaches GROUP BY 1) h ON h.van_id = v.van_id
 WHERE v.sla_risk IN ('WARNING', 'CRITICAL')""",
+    "panel": _LIVE
+    + """
+SELECT sla_risk AS list, van_id FROM live_vans WHERE sla_risk IN ('CRITICAL', 'WARNING') UNION ALL
+SELECT 'DELIVERING', van_id FROM live_vans WHERE status = 'DELIVERING' UNION ALL SELECT 'IN_ZONE', van_id FROM live_vans WHERE in_zone""",
     "free_sql": "SELECT severity, count(*) AS n FROM sla_breaches WHERE breach_seconds > 60 AND cause = 'LATE_ARRIVAL' GROUP BY 1 ORDER BY n DESC LIMIT 5",
     "live_vans": _LIVE + "SELECT * FROM live_vans",
     "vans_by_risk": _LIVE

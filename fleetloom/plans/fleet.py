@@ -113,6 +113,14 @@ def ingest_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lag.groupBy("status").agg(F.count("*").alias("pings"), *[F.round(F.percentile("ms", q), 3).alias(f"p{int(q * 100)}_ms") for q in (0.5, 0.95, 0.99)])
 
 
+def lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cumulative histogram of the ingest lag by status, and out of it the 95th percentile."""
+    rows = _gps(spark, sf_dir).where("status is not null and device_timestamp is not null and ingestion_timestamp is not null")
+    lag = rows.select("status", lag_ms(F.col("device_timestamp"), F.col("ingestion_timestamp")).alias("ms"))
+    buckets = health.latency_buckets(lag, "ms", [100, 250, 500, 1000, 5000, 60_000, 3_600_000], "status")
+    return buckets.join(health.histogram_quantile(buckets, 0.95, "status").withColumnRenamed("value", "p95_ms"), "status").where("le < 1e18").select("status", "le", "n", F.round("p95_ms", 3).alias("p95_ms"))
+
+
 def eta_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far predicted arrivals were off, by severity."""
     return deliveries.prediction_errors(load(spark, sf_dir, "sla_breaches")).select("severity", "n", F.round("p50_s", 4).alias("p50_s"), F.round("p90_s", 4).alias("p90_s"))
@@ -219,7 +227,7 @@ def nation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        window_dedup, bloom_dedup, plan_selection, dedup_counters, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, eta_errors, track_lengths, route_counters,
+        window_dedup, bloom_dedup, plan_selection, dedup_counters, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, lag_histogram, eta_errors, track_lengths, route_counters,
         finished_routes, newest_routes, leg_geometry, zones_by_type, retained_breaches, routes_without_deliveries, pipeline_health, counter_growth, dispatch_orders, nation_ranking,
     )
 }

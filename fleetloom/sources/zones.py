@@ -45,3 +45,18 @@ def zone_at(points: DataFrame, zones: DataFrame, lon: str, lat: str, most_zones:
     joined = points.join(F.broadcast(listed))
     hit = F.get(F.filter("_zones", lambda z: in_zone(z["polygons"], F.col(lon), F.col(lat))), F.lit(0))
     return joined.withColumn("_hit", hit).withColumn("zone_name", F.col("_hit.name")).withColumn("speed_factor", F.coalesce("_hit.factor", F.lit(1.0))).drop("_hit", "_zones")
+
+
+def segment_factors(routes: DataFrame, zones: DataFrame, id: str = "route_id", line: str = "waypoints") -> DataFrame:
+    """The speed factor of each segment of polylines, by the zone that holds its middle: id, factors.
+
+    ``line`` is an array of ``[lat, lon]``. A line of fewer than two points has no row. A route's segments
+    are gathered to one array, as long as the route itself.
+    """
+    mid = lambda k: (F.col("a")[k] + F.col("b")[k]) / 2
+    n = F.greatest(F.size(line) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    parts = routes.select(F.col(id).alias("route"), F.posexplode(pairs).alias("pos", "pair")).select("route", "pos", "pair.a", "pair.b")
+    placed = zone_at(parts.select("route", "pos", mid(0).alias("lat"), mid(1).alias("lon")), zones, "lon", "lat")
+    listed = placed.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "speed_factor"))).alias("l"))
+    return listed.select(F.col("route").alias(id), F.transform("l", lambda s: s["speed_factor"]).alias("factors"))

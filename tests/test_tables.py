@@ -8,7 +8,7 @@ from fleetloom.operators import deliveries, dispatch, health, tables
 from fleetloom.session import fresh_path
 from fleetloom.sources import streams
 from fleetloom.sources.tables import StoredTable, first_zones, seed_zones
-from fleetloom.sources.zones import active_zones, zone_at
+from fleetloom.sources.zones import active_zones, segment_factors, zone_at
 
 T0 = datetime(2024, 1, 1, 12)
 
@@ -190,3 +190,17 @@ def test_histogram_quantile(spark):
     df = spark.createDataFrame([("a", 0.1, 10), ("a", 0.5, 90), ("a", float("inf"), 100), ("b", 1.0, 0), ("b", float("inf"), 5)], "k string, le double, n bigint")
     got = {r.k: r.value for r in health.histogram_quantile(df, 0.5, "k").collect()}
     assert abs(got["a"] - 0.3) < 1e-9 and got["b"] == 1.0
+
+
+def test_latency_buckets_and_vans_heard_of(spark):
+    df = spark.createDataFrame([("a", v) for v in (50, 100, 150, 900, None)] + [("b", 5000)], "k string, ms int")
+    got = {(r.k, r.le): r.n for r in health.latency_buckets(df, "ms", [1000, 100], "k").collect()}
+    assert got == {("a", 100.0): 2, ("a", 1000.0): 4, ("a", float("inf")): 4, ("b", 100.0): 0, ("b", 1000.0): 0, ("b", float("inf")): 1}
+    vans = spark.createDataFrame([("x", 900_000), ("y", 880_000), ("z", 879_999), ("n", None)], "van_id string, at bigint")
+    assert {r.van_id for r in health.heard_of(vans, "at", F.lit(1_000_000)).collect()} == {"x", "y"}
+
+
+def test_segments_are_slowed_by_the_zone_at_their_middle(spark):
+    lines = spark.createDataFrame([("r", [[52.348, 4.894], [52.3505, 4.894], [52.353, 4.894], [52.356, 4.894]]), ("short", [[52.0, 4.9]])], "route_id string, waypoints array<array<double>>")
+    got = {r.route_id: r.factors for r in segment_factors(lines, active_zones(first_zones(spark))).collect()}
+    assert got == {"r": [1.0, 0.6, 1.0]}
