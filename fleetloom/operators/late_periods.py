@@ -22,15 +22,15 @@ AGGREGATES = (
     "van_id string, period_start bigint, first_pings bigint, first_avg_speed double, first_max_speed double, first_min_battery int, "
     "pings bigint, avg_speed double, max_speed double, min_battery int, late_pings bigint, last_arrival_us bigint"
 )
-CUT = "van_id string, period_start bigint, cut_pings bigint"
+CHANGES = "van_id string, period_start bigint, day int, taken_pings bigint, cut_pings bigint"
 
 
 class PeriodTable:
     """A versioned table of per-van, per-period aggregates with a cut-off for lateness.
 
-    Layout under ``path``: ``raw/v=K/day=D``, ``periods/v=K``, ``touched/v=K``, ``cut/v=K``,
-    ``commits/K``. Raw events are stored by day, so that a batch re-reads only the
-    days it touches.
+    Layout under ``path``: ``raw/v=K/day=D``, ``changes/v=K`` (what a batch brought to each van's periods),
+    ``periods/v=K``, ``commits/K``. Raw events are stored by day, so that a batch re-reads
+    only the days it touches.
     """
 
     def __init__(self, spark: SparkSession, path: str, period_s: int = PERIOD_S, publish_s: int = PUBLISH_S, close_s: int = CLOSE_S):
@@ -57,6 +57,10 @@ class PeriodTable:
         paths = [f"{self.path}/{part}/v={v}" for v in versions]
         return self.spark.read.option("basePath", f"{self.path}/{part}").schema(f"{schema}, v int").parquet(*paths)
 
+    def _touched(self, versions: list[int]) -> DataFrame:
+        """Periods that the given versions changed, for any van."""
+        return self._read("changes", CHANGES, versions).where("taken_pings > 0").select("period_start", "day", "v").distinct()
+
     def _period(self) -> Column:
         return F.floor(F.col("event_us") / F.lit(self.period_s * 1_000_000)) * self.period_s
 
@@ -72,7 +76,7 @@ class PeriodTable:
         done = self.versions()
         version = (done[-1] if done else 0) + 1
         fs, _ = self._fs("raw")
-        for part in ("raw", "periods", "touched", "cut"):  # left by a writer that died before its commit
+        for part in ("raw", "changes", "periods"):  # left by a writer that died before its commit
             where = self._fs(part, f"v={version}")[1]
             if fs.exists(where):
                 fs.delete(where, True)
@@ -87,10 +91,10 @@ class PeriodTable:
         schema = f"{RAW}, day int"
         fresh = self._read("raw", schema, [version]).withColumn("period_start", self._period())
         open_ = self._late_by() <= self.close_s * 1_000_000
-        fresh.where(~open_).groupBy("van_id", "period_start").agg(F.count("*").alias("cut_pings")).write.parquet(f"{self.path}/cut/v={version}")
-        fresh.where(open_).select("period_start", "day").distinct().coalesce(1).write.parquet(f"{self.path}/touched/v={version}")
+        brought = fresh.groupBy("van_id", "period_start", "day").agg(F.count_if(open_).alias("taken_pings"), F.count_if(~open_).alias("cut_pings"))
+        brought.write.parquet(f"{self.path}/changes/v={version}")
 
-        touched = self._read("touched", "period_start bigint, day int", [version]).drop("v")
+        touched = self._touched([version])
         days = [r.day for r in touched.select("day").distinct().collect()]  # partitions to read: as many as days
         raw = self._read("raw", schema, [*done, version]).where(F.col("day").isin(days)).withColumn("period_start", self._period())
         raw = raw.where(open_).join(touched.select("period_start"), "period_start", "left_semi")
@@ -117,12 +121,13 @@ class PeriodTable:
     def current(self) -> DataFrame:
         """The newest committed version of every period."""
         versions = self.versions()
-        newest = self._read("touched", "period_start bigint, day int", versions).groupBy("period_start").agg(F.max("v").alias("v"))
+        newest = self._touched(versions).groupBy("period_start").agg(F.max("v").alias("v"))
         return self._read("periods", AGGREGATES, versions).join(newest, ["period_start", "v"], "left_semi").drop("v")
 
     def cut(self) -> DataFrame:
         """Records past the cut-off, by van and period."""
-        return self._read("cut", CUT, self.versions()).groupBy("van_id", "period_start").agg(F.sum("cut_pings").alias("cut_pings"))
+        changes = self._read("changes", CHANGES, self.versions()).where("cut_pings > 0")
+        return changes.groupBy("van_id", "period_start").agg(F.sum("cut_pings").alias("cut_pings"))
 
 
 def arrivals(messages: DataFrame) -> DataFrame:
