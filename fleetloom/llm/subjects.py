@@ -47,7 +47,8 @@ class SubjectRules:
     labelled_sentences: int = 200  # each with at most so many of its sentences, evenly spaced
     seed_rounds: int = 10
     corpus_rounds: int = 2
-    edge_share: float = 0.004  # a first or last line that so many documents share isn't body
+    edge_share: float = 0.004  # a first or last line that so many documents share isn't body,
+    edge_only: float = 0.9  # if at least this share of its places in all documents are first or last
     run_on: int = 16  # a sentence of more words has lost its stops and is cut
     cut: int = 8
 
@@ -72,21 +73,26 @@ def bare(line: str) -> str:
     return _OTHER.sub(" ", line.lower()).strip()
 
 
+def at_edge(k: int, n: int) -> bool:
+    """Whether line ``k`` of ``n`` is one of the first two or last three; a single line is body."""
+    return n > 1 and (k < 2 or k >= n - 3)
+
+
 def edge_lines(text: str | None) -> list[str]:
     """The first two and last three lines of a text of several lines, without digits and signs."""
     lines = lines_of(text or "")
-    return sorted({bare(s) for s in [*lines[:2], *lines[-3:]]}) if len(lines) > 1 else []
+    return sorted({bare(s) for k, s in enumerate(lines) if at_edge(k, len(lines))})
 
 
 def sentences_of(text: str | None, edges: frozenset[str], run_on: int = 16, cut: int = 8) -> list[str]:
     """Sentences of the body, each as lower-case words; header, greeting, signature and footer lines are left out.
 
-    What has no word is no sentence. A run of more than ``run_on`` words without a stop is cut into
+    These are the lines in ``edges``, where they stand at the edge of this text. What has no word is no sentence. A run of more than ``run_on`` words without a stop is cut into
     pieces of about ``cut`` words.
     """
     lines, out = lines_of(text or ""), []
-    for line in lines:
-        if len(lines) > 1 and bare(line) in edges:
+    for k, line in enumerate(lines):
+        if at_edge(k, len(lines)) and bare(line) in edges:
             continue
         for sentence in _STOP.split(line):
             words = _WORD.findall(sentence.lower())
@@ -120,10 +126,8 @@ class _Shipped:
         return cloudpickle.loads(self._bytes.value)
 
 
-def bodies(documents: DataFrame, rules: SubjectRules) -> DataFrame:
-    """doc_id, language and the sentences of the body. A document without one has no row."""
-    spark = documents.sparkSession
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
+def shared_edges(rows: DataFrame, rules: SubjectRules) -> frozenset[str]:
+    """Lines that many documents have at their edge and hardly any elsewhere: body sentences recur in the middle too."""
 
     def edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -132,7 +136,28 @@ def bodies(documents: DataFrame, rules: SubjectRules) -> DataFrame:
     n = rows.count()
     # a document gives five lines at most, so no more than 5 / edge_share lines pass
     shared = rows.select("text").mapInPandas(edges, "line string").groupBy("line").count().where(F.col("count") >= max(3, rules.edge_share * n))
-    known = frozenset(r.line for r in shared.select("line").collect())
+    often = frozenset(r.line for r in shared.select("line").collect())
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: dict[str, list[int]] = {}
+        for f in frames:
+            for t in f["text"]:
+                lines = lines_of(t)
+                for k, s in enumerate(map(bare, lines)):
+                    if len(lines) > 1 and s in often:
+                        own = count.setdefault(s, [0, 0])
+                        own[0] += at_edge(k, len(lines))
+                        own[1] += 1
+        yield pd.DataFrame([(s, *n) for s, n in count.items()], columns=["line", "edge", "n"])
+
+    counted = rows.select("text").mapInPandas(places, "line string, edge long, n long").groupBy("line").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n"))
+    return frozenset(r.line for r in counted.where(F.col("edge") >= rules.edge_only * F.col("n")).select("line").collect())
+
+
+def bodies(documents: DataFrame, rules: SubjectRules) -> DataFrame:
+    """doc_id, language and the sentences of the body. A document without one has no row."""
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
+    known = shared_edges(rows, rules)
     run_on, cut = rules.run_on, rules.cut
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -61,6 +61,21 @@ def test_edges_are_learned_from_all_documents(spark):
     assert words.where("s like '%hello everyone%' or s like '%in our rehearsal%'").count() == 0 and words.count() > 200
 
 
+def test_recurring_body_sentences_stay(spark):
+    body = [f"{a} {b} rolls." for a in ("tulip", "hedge", "anvil", "cello") for b in ("one", "two", "three", "four", "five")]
+    texts = []
+    for k, own in enumerate(body):
+        lines = [own, *(f"{own} line {c}." for c in "abcdef")]
+        lines.insert(k % 8, "More on this tomorrow.")  # anywhere, so sometimes at an edge
+        texts.append("\n".join(["Hello everyone,", *lines, "Sent from afar"]))
+    # a real header is body where it stands in the middle
+    texts.append("\n".join(["Hello everyone,", "b c d", "e f g", "Hello everyone,", "h i j", "k l m", "n o p", "Sent from afar"]))
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.sentences for r in bodies(df, SubjectRules()).collect()}
+    assert all(got[k].count("more on this tomorrow") == 1 and "sent from afar" not in got[k] for k in range(20))
+    assert all("hello everyone" not in got[k] for k in range(20)) and got[20].count("hello everyone") == 1
+
+
 def test_texts_are_cut_to_sentences():
     assert lines_of("<p>One &amp; two.</p><p>Three</p>\n\n a < b ") == ["One & two.", "Three", "a < b"]
     assert sentences_of("Dear all,\nIt is 12:30. Go home! Really? 17\nBye", frozenset({"dear all", "bye"})) == ["it is", "go home", "really"]
