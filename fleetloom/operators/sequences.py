@@ -149,15 +149,19 @@ def estimates(pings: DataFrame, plans: DataFrame) -> DataFrame:
     """An arrival estimate for every ping: record_id, van_id, eta_s, method, risk, slack_s.
 
     ``pings`` has record_id, van_id, route_id, ts_us, lat, lon, status, leg and speed_kmh; ``plans`` has van_id,
-    route_id, lats, lons (the polyline), vertices, deadlines (epoch seconds) and customers of the stops. A plan
+    route_id, lats, lons (the polyline), vertices, deadlines (epoch seconds) and customers of the stops. Zones
+    slow an estimate through the plans' factors, one for each segment, and the pings' zone_factor, at their
+    place; without these columns, or where they are null, nothing is slowed. A plan
     joins its van's pings as one row before them, so a long polyline isn't repeated for every
     ping. A ping without a plan is UNKNOWN.
     """
-    plan_columns = ["lats", "lons", "vertices", "deadlines", "customers"]
+    plan_columns = ["lats", "lons", "factors", "vertices", "deadlines", "customers"]
+    plans = plans if "factors" in plans.columns else plans.withColumn("factors", F.lit(None).cast("array<double>"))
+    pings = pings.withColumn("zone_factor", F.coalesce("zone_factor", F.lit(1.0)) if "zone_factor" in pings.columns else F.lit(1.0))
     lead = plans.select("van_id", "route_id", *plan_columns, F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("ts_us"))
     both = pings.withColumn("kind", F.lit(1)).unionByName(lead, allowMissingColumns=True).where("van_id is not null and ts_us is not null")
     # a plan is sorted to the start of its van, before all pings
-    columns = ["record_id", "van_id", "route_id", "ts_us", "lat", "lon", "status", "leg", "speed_kmh", "kind", *plan_columns]
+    columns = ["record_id", "van_id", "route_id", "ts_us", "lat", "lon", "status", "leg", "speed_kmh", "zone_factor", "kind", *plan_columns]
 
     def make() -> tuple[EtaTracker, dict]:
         return EtaTracker(), {}
@@ -168,11 +172,11 @@ def estimates(pings: DataFrame, plans: DataFrame) -> DataFrame:
         for r in own.itertuples(index=False):
             if r.kind == 0:
                 stops = [Stop(int(v), float(r.lats[int(v)]), float(r.lons[int(v)]), None if d is None or d != d else float(d), c) for v, d, c in zip(r.vertices, r.deadlines, r.customers)]
-                known[r.route_id] = (Route(r.lats, r.lons), stops)
+                known[r.route_id] = (Route(r.lats, r.lons, r.factors), stops)
                 continue
             if r.route_id != tracker.route_id and r.route_id in known:
                 tracker.plan(r.route_id, *known[r.route_id])
-            e = tracker.ping(r.ts_us / 1e6, r.route_id, r.lat, r.lon, r.status, -1 if r.leg != r.leg else int(r.leg), r.speed_kmh)
+            e = tracker.ping(r.ts_us / 1e6, r.route_id, r.lat, r.lon, r.status, -1 if r.leg != r.leg else int(r.leg), r.speed_kmh, r.zone_factor)
             out.append((r.record_id, r.van_id, e.eta_s, e.method, e.risk, e.slack_s))
         f = pd.DataFrame(out, columns=["record_id", "van_id", "eta_s", "method", "risk", "slack_s"])
         return f.astype({"record_id": "Int64", "slack_s": "Int64"})

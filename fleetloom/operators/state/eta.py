@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 RADIUS = 6_371_000.0
+LONGEST_S = 2**62  # the speed learned of a van that stands still goes to 0: estimates beyond a long are cut
 
 
 def haversine(lat1, lon1, lat2, lon2):
@@ -77,8 +78,8 @@ class Estimate:
 class EtaTracker:
     """Follows one van: what it learned of its free speed outlives its routes, all else doesn't.
 
-    The speed is learned from the way made between two pings of one leg, cleared of zones. Off the
-    route, the estimate is the straight line with a surcharge for detours.
+    The speed is learned from the way made between two pings of one leg, cleared of the zone half-way. Off the
+    route, the estimate is the straight line with a surcharge for detours, at the speed of the zone that holds the van.
     """
 
     off_route_m: float = 200.0
@@ -107,7 +108,7 @@ class EtaTracker:
         self.route_id, self.route, self.stops, self.last = route_id, None, [], None
         self.first_prediction, self.arrivals = {}, {}
 
-    def ping(self, time: float, route_id: str, lat: float, lon: float, status: str, leg: int, speed_kmh: float = 0.0) -> Estimate:
+    def ping(self, time: float, route_id: str, lat: float, lon: float, status: str, leg: int, speed_kmh: float = 0.0, zone_factor: float = 1.0) -> Estimate:
         if route_id != self.route_id:
             self._forget(route_id)
         under_way = status == "EN_ROUTE"
@@ -125,21 +126,21 @@ class EtaTracker:
             slack = None if stop.deadline is None else int(np.floor(stop.deadline - at))
             return Estimate(0, "NONE", "CRITICAL" if late else "NONE", slack, at)
         off, along = self.route.locate(lat, lon, self.stops[leg - 1].vertex if leg else 0, stop.vertex)
-        factor = self.route.factor_at(along)
         on_route = off <= self.off_route_m
+        factor = self.route.factor_at(along) if on_route else zone_factor
         if on_route and self.last and self.last[1] == leg and self.last[3] and self.last[2] is not None:
             dt, ds = time - self.last[0], along - self.last[2]
             if self.least_s <= dt <= self.most_s and ds >= 0:
-                seen = ds / dt / factor
+                seen = ds / dt / self.route.factor_at((along + self.last[2]) / 2)
                 self.speed = seen if self.speed is None else self.weight * seen + (1 - self.weight) * self.speed
         speed = self.speed or (speed_kmh / factor if speed_kmh > 0 else self.base) / 3.6 * self.scale
         if on_route:
             left, method = self.route.travel_seconds(along, stop.vertex, speed), "ROUTE"
         else:
             metres = float(haversine(lat, lon, stop.lat, stop.lon)) * self.detour
-            left, method = (metres / speed if speed > 0 else 0.0), "STRAIGHT_LINE"
+            left, method = (metres / (speed * factor) if speed > 0 else 0.0), "STRAIGHT_LINE"
         self.last = (time, leg, along if on_route else None, True)
-        eta = int(np.floor(left + 0.5))  # rounded before arrival and slack are derived
+        eta = int(np.floor(min(left, LONGEST_S) + 0.5))  # rounded before arrival and slack are derived
         arrival = time + eta
         self.first_prediction.setdefault(stop.customer or str(leg), arrival)
         if stop.deadline is None:

@@ -13,7 +13,7 @@ from fleetloom.plans import views
 from fleetloom.plans.problems import IN_ZONES
 from fleetloom.schemas import RISK
 from fleetloom.session import load, micros
-from fleetloom.sources.zones import parsed_zones
+from fleetloom.sources.zones import active_zones, parsed_zones, segment_factors
 
 
 def _gps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,18 @@ def sampled_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eta_by_ping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrival estimates of every ping on the route through its van's logged stops."""
+    """Arrival estimates of every ping on the route through its van's logged stops, slowed by the active zones."""
     log = _gps(spark, sf_dir)
     pings = log.where("van_id is not null and device_timestamp is not null and location is not null and status is not null").select(
         "record_id", "van_id", "route_id", micros("device_timestamp").alias("ts_us"), F.col("location.latitude").alias("lat"), F.col("location.longitude").alias("lon"),
         "status", F.col("current_stop_index").alias("leg"), "speed_kmh",
     )
-    return sequences.estimates(pings.where("lat is not null and lon is not null"), sequences.plans_from_logs(load(spark, sf_dir, "delivery_logs")))
+    plans = sequences.plans_from_logs(load(spark, sf_dir, "delivery_logs")).withColumn("plan", F.struct("van_id", "route_id"))
+    lines = plans.select("plan", F.zip_with("lats", "lons", lambda a, b: F.array(a, b)).alias("waypoints"))
+    factors = segment_factors(lines, active_zones(load(spark, sf_dir, "geofence_zones")), "plan")
+    slowed = first_zone(spark, sf_dir).select("record_id", F.col("speed_factor").alias("zone_factor"))
+    pings = pings.where("lat is not null and lon is not null").join(slowed, "record_id", "left")
+    return sequences.estimates(pings, plans.join(factors, "plan", "left"))
 
 
 def first_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
