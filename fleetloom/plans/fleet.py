@@ -185,8 +185,9 @@ def routes_without_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health over hourly windows of the log's counters."""
-    samples = health.pipeline_samples(_gps(spark, sf_dir)).withColumn("vans", F.lit(0)).withColumn("silent_vans", F.lit(0)).withColumn("disk_free", F.lit(1.0))
+    """Health over hourly windows of the log's counters, and by the vans that are silent; no table holds the free disk."""
+    log = _gps(spark, sf_dir)
+    samples = health.with_silence(health.pipeline_samples(log), log).withColumn("disk_free", F.lit(1.0))
     return health.report(samples, 3600)
 
 

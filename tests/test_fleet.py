@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
+from fleetloom.operators import health
 from fleetloom.operators.state.eta import EtaTracker, Route, Stop
 from fleetloom.plans import fleet
 
@@ -48,3 +49,19 @@ def test_estimates_of_a_van_that_stands_fit_a_long():
     for k in range(1, 150):
         e = t.ping(k, "r", 52.35, 4.85, "EN_ROUTE", 0)
     assert 0 < e.eta_s < 2**63 and -(2**63) < e.slack_s < 0
+
+
+def test_silent_vans_degrade_health(spark, tmp_path):
+    def row(van, s, status="EN_ROUTE"):
+        return (0, "e", van, "r", at(s), at(s), (52.3, 4.85), status, 0, 36.0)
+
+    rows = [row(f"v{k}", s) for k in range(10) for s in range(0, 5400, 100) if k or s < 2700]  # v0 stops at the fourth interval
+    rows += [row("v0", 4000, None), row("late", 4600)]  # an invalid ping is no sign of life; a new van is heard of, then silent
+    spark.createDataFrame(rows, PING).write.parquet(f"{tmp_path}/gps_event.parquet")
+    got = [r for r in fleet.pipeline_health(spark, str(tmp_path)).orderBy("at_s").collect()]
+    assert [r.problems for r in got] == [[], [], [], ["1 of 10 vans are silent"], ["1 of 10 vans are silent"], ["2 of 11 vans are silent"]]
+    assert [r.status for r in got[2:]] == ["OK", "DEGRADED", "DEGRADED", "DEGRADED"]
+    log = spark.read.parquet(f"{tmp_path}/gps_event.parquet")
+    short = health.with_silence(health.pipeline_samples(log, 60), log, 60, 300).where("vans > 0").orderBy("at_s").collect()
+    silent = {(r.at_s - short[0].at_s) // 60: r.silent_vans for r in short}  # v0 was last heard of after 2,600 s, silent beyond 2,900 s
+    assert all(n == 0 for k, n in silent.items() if k < 48) and silent[48] == 1 and silent[max(silent)] == 2
