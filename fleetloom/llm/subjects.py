@@ -41,7 +41,7 @@ class SubjectRules:
     rank: int = 20  # singular vectors kept for each language
     vocabulary: int = 20_000  # most frequent terms kept for each language
     least_documents: int = 3  # that a term must occur in,
-    least_share: float = 0.0015  # and of all documents: rarer words are mostly misspellings
+    least_share: float = 0.0015  # and of its language's documents: rarer words are mostly misspellings
     power_passes: int = 2
     labelled_documents: int = 5_000  # at most so many labelled documents seed the centroids,
     labelled_sentences: int = 200  # each with at most so many of its sentences, evenly spaced
@@ -175,7 +175,10 @@ def vocabulary(texts: DataFrame, rules: SubjectRules) -> dict[str, tuple[dict[st
     words = texts.select("language", F.explode(F.array_distinct(F.flatten(F.transform("sentences", lambda s: F.split(s, " "))))).alias("term"))
     counted = words.groupBy("language", "term").agg(F.count("*").alias("n"))
     total = {r.language: r.n for r in texts.groupBy("language").agg(F.count("*").alias("n")).collect()}
-    counted = counted.where(F.col("n") >= max(rules.least_documents, rules.least_share * sum(total.values())))
+    enough = F.lit(False)
+    for language, n in total.items():
+        enough |= (F.col("language") == language) & (F.col("n") >= max(rules.least_documents, rules.least_share * n))
+    counted = counted.where(enough)
     order = Window.partitionBy("language").orderBy(F.desc("n"), "term")  # words that many documents hold: few
     ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.vocabulary).collect()
     out = {}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetloom.llm.subjects import SubjectRules, bodies, edge_lines, language_of, lines_of, sentences_of, subjects_of
+from fleetloom.llm.subjects import SubjectRules, bodies, edge_lines, language_of, lines_of, sentences_of, subjects_of, vocabulary
 
 WORDS = {
     "metal": "furnace anvil rivet solder copper forge chisel ingot slag billet".split(),
@@ -76,6 +76,12 @@ def test_recurring_body_sentences_stay(spark):
     assert all("hello everyone" not in got[k] for k in range(20)) and got[20].count("hello everyone") == 1
 
 
+def test_rare_words_are_measured_against_their_language(spark):
+    rows = [("en", ["van rolls"])] * 200 + [("en", ["typo rolls"])] * 5 + [("nl", ["wagen rijdt"])] * 10 + [("nl", ["pakket rijdt"])] * 5 + [("nl", ["foutje"])] * 2
+    terms = vocabulary(spark.createDataFrame(rows, "language string, sentences array<string>"), SubjectRules(least_share=0.05))
+    assert set(terms["en"][0]) == {"van", "rolls"} and set(terms["nl"][0]) == {"wagen", "rijdt", "pakket"}
+
+
 def test_texts_are_cut_to_sentences():
     assert lines_of("<p>One &amp; two.</p><p>Three</p>\n\n a < b ") == ["One & two.", "Three", "a < b"]
     assert sentences_of("Dear all,\nIt is 12:30. Go home! Really? 17\nBye", frozenset({"dear all", "bye"})) == ["it is", "go home", "really"]
