@@ -94,3 +94,7 @@ def test_texts_are_cut_to_sentences():
 @pytest.mark.parametrize("text,given,want", [("het pakket is niet voor de buren", "en", "nl"), ("der wagen ist nicht da", None, "de"), ("the van is not here", "nl", "en"), ("xyz", "de", "de"), ("xyz", None, "en"), ("", "fr", "en")])
 def test_languages(text, given, want):
     assert language_of([text], given) == want
+
+
+def test_passes_are_not_cut():
+    assert SubjectRules().power_passes >= 3 and SubjectRules().corpus_rounds >= 3
