@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from fleetloom.llm.subjects import SubjectRules, bodies, edge_lines, language_of, lines_of, sentences_of, subjects_of, vocabulary
+from fleetloom.llm.subjects import (
+    Languages, SubjectRules, cut_blocks, edge_candidates, edge_lines, kept_edges, language_code, learn_languages, lines_of, parts_of, sentences_of, subjects_of, vocabulary,
+)
 
 WORDS = {
     "metal": "furnace anvil rivet solder copper forge chisel ingot slag billet".split(),
@@ -27,6 +29,26 @@ def corpus(n, seed):
     return rows, truth
 
 
+def blocks_of(documents, rules=SubjectRules()):
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text", language_code("lang").alias("language"))
+    languages = learn_languages(rows, rules)
+    blocks = cut_blocks(rows, edge_candidates(rows, rules), languages, rules)
+    return languages, blocks, kept_edges(blocks, rules)
+
+
+def bodies(documents, rules=SubjectRules()):
+    """doc_id -> language and sentences, out of the blocks."""
+    languages, blocks, edges = blocks_of(documents, rules)
+    out = {}
+    for b in blocks.collect():
+        for k, p in parts_of(b, np.array(edges, int), len(languages.names)):
+            ends, word_ends = np.cumsum(p.sentences), np.cumsum(p.lengths)
+            for d, n, end in zip(p.ids.tolist(), p.sentences, ends):
+                own = [" ".join(b.words[c] for c in p.codes[word_ends[i] - p.lengths[i] : word_ends[i]]) for i in range(end - n, end)]
+                out[d] = languages.names[k], own
+    return out
+
+
 @pytest.fixture(scope="module")
 def subjects(spark):
     return spark.createDataFrame([(s, f"All about {' '.join(w[:2])}") for s, w in WORDS.items()], "subject string, description string")
@@ -57,8 +79,8 @@ def test_no_labels_no_documents_no_subjects(spark, subjects):
 def test_edges_are_learned_from_all_documents(spark):
     rows, _ = corpus(40, 3)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, x string")
-    words = bodies(df, SubjectRules()).select(F.explode("sentences").alias("s"))
-    assert words.where("s like '%hello everyone%' or s like '%in our rehearsal%'").count() == 0 and words.count() > 200
+    words = [s for _, own in bodies(df).values() for s in own]
+    assert not any("hello everyone" in s or "in our rehearsal" in s for s in words) and len(words) > 200
 
 
 def test_recurring_body_sentences_stay(spark):
@@ -71,17 +93,39 @@ def test_recurring_body_sentences_stay(spark):
     # a real header is body where it stands in the middle
     texts.append("\n".join(["Hello everyone,", "b c d", "e f g", "Hello everyone,", "h i j", "k l m", "n o p", "Sent from afar"]))
     df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r.sentences for r in bodies(df, SubjectRules()).collect()}
+    got = {k: own for k, (_, own) in bodies(df).items()}
     assert all(got[k].count("more on this tomorrow") == 1 and "sent from afar" not in got[k] for k in range(20))
     assert all("hello everyone" not in got[k] for k in range(20)) and got[20].count("hello everyone") == 1
 
 
 def test_rare_words_are_measured_against_their_language(spark):
-    rows = [("en", ["van rolls"])] * 200 + [("en", ["typo rolls"])] * 5 + [("nl", ["wagen rijdt"])] * 10 + [("nl", ["pakket rijdt"])] * 5 + [("nl", ["foutje"])] * 2
-    terms = vocabulary(spark.createDataFrame(rows, "language string, sentences array<string>"), SubjectRules(least_share=0.05))
+    rows = [("en", "van rolls")] * 200 + [("en", "typo rolls")] * 5 + [("nl", "wagen rijdt")] * 10 + [("nl", "pakket rijdt")] * 5 + [("nl", "foutje")] * 2
+    df = spark.createDataFrame([(k, t, g) for k, (g, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    languages, blocks, edges = blocks_of(df)
+    terms = vocabulary(blocks, edges, languages, SubjectRules(least_share=0.05))
     assert set(terms["en"][0]) == {"van", "rolls"} and set(terms["nl"][0]) == {"wagen", "rijdt", "pakket"}
 
 
+def test_a_language_of_one_in_a_thousand_has_subjects(spark, subjects):
+    rows, truth = corpus(3000, 5)
+    rare = {"metal": "enclume rivet forge ciseau".split(), "garden": "haie tulipe verger taille".split()}
+    rng = random.Random(6)
+    for k, about in enumerate(["metal", "garden", "metal", "garden", "metal", "garden"]):
+        text = " ".join(" ".join(["le", *rng.sample(rare[about], 3), "est", "une"]) + "." for _ in range(6))
+        rows.append((5000 + k, text, "fr" if k != 2 else "en", "x"))
+        truth[5000 + k] = {about}
+    labels = [(k, s) for k in [*range(100), 5000, 5001] for s in truth[k]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, x string").repartition(4)
+    got = {r.doc_id: r.subject for r in subjects_of(df, subjects, spark.createDataFrame(labels, "doc_id long, subject string")).where("doc_id >= 5000").collect()}
+    assert got == {5000 + k: s for k, s in enumerate(["metal", "garden"] * 3)}
+
+
+def test_no_vocabulary_cap(spark):
+    rows = [(k, " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[k // 26 % 26]}{'abcdefghijklmnopqrstuvwxyz'[k % 26]}word{'xyz'[j % 3] * (j // 3 + 1)}" for j in range(60)), "en") for k in range(500) for _ in range(3)]
+    languages, blocks, edges = blocks_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(vocabulary(blocks, edges, languages, SubjectRules())["en"][0]) == 500 * 60
+
+
 def test_texts_are_cut_to_sentences():
     assert lines_of("<p>One &amp; two.</p><p>Three</p>\n\n a < b ") == ["One & two.", "Three", "a < b"]
     assert sentences_of("Dear all,\nIt is 12:30. Go home! Really? 17\nBye", frozenset({"dear all", "bye"})) == ["it is", "go home", "really"]
@@ -91,9 +135,30 @@ def test_texts_are_cut_to_sentences():
     assert edge_lines("Ref 12\nb\nc\nd\ne\nf") == ["b", "d", "e", "f", "ref"]
 
 
-@pytest.mark.parametrize("text,given,want", [("het pakket is niet voor de buren", "en", "nl"), ("der wagen ist nicht da", None, "de"), ("the van is not here", "nl", "en"), ("xyz", "de", "de"), ("xyz", None, "en"), ("", "fr", "en")])
-def test_languages(text, given, want):
-    assert language_of([text], given) == want
+SPOKEN = {
+    "en": ["the van is not here", "the road was closed for the day", "it is not known when the parcel was lost"],
+    "nl": ["het pakket is niet voor de buren", "de weg was de hele dag dicht", "het is niet bekend waar de wagen is"],
+    "de": ["der wagen ist nicht da", "die strasse war den tag gesperrt", "es ist nicht bekannt wo das paket ist"],
+    "fr": ["le camion est dans la rue", "la route est pour les colis", "les clients sont dans le magasin"],
+    "es": ["el camion esta en la calle", "la calle es para los paquetes", "los clientes son de la tienda"],
+}
+
+
+@pytest.mark.parametrize(
+    "text,given,want",
+    [("het pakket is niet voor de buren", "en", "nl"), ("der wagen ist nicht da", None, "de"), ("the van was not here", "nl", "en"), ("le camion est dans la rue", "fr", "fr"), ("la calle es para el camion", "es", "es"),
+     ("les colis sont dans le magasin", None, "fr"), ("xyz", "de", "de"), ("xyz", "xx", "en"), ("", "fr", "fr")],
+)
+def test_languages_are_learned_from_lang(spark, text, given, want):
+    rows = [(k, t, g) for k, (g, t) in enumerate((g, t) for g, own in SPOKEN.items() for t in own for _ in range(2 if g == "en" else 1))]
+    assert learn_languages(spark.createDataFrame(rows, "doc_id long, text string, language string"), SubjectRules()).of_text(text, given) == want
+
+
+def test_language_codes_and_no_languages(spark):
+    df = spark.createDataFrame([("EN",), (" en-GB",), ("en_us",), ("english",), ("",), (None,), ("deu",)], "lang string")
+    assert [r[0] for r in df.select(language_code("lang")).collect()] == ["en", "en", "en", None, None, None, "deu"]
+    assert Languages.learned({}, {}, {}).of_text("the van") == "und"
+    assert list(bodies(spark.createDataFrame([(1, "the van. it rolls", None)], "doc_id long, text string, lang string")).values()) == [("und", ["the van", "it rolls"])]
 
 
 def test_passes_are_not_cut():
