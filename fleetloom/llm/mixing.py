@@ -5,7 +5,8 @@ Varvel), block j of a source with weight w is released at (j - 1) / w and due at
 the released blocks the one due first is taken next. Up to any slot, each source has
 had its share to within less than one block.
 
-The weights are taken as integers over a common denominator H. The schedule then repeats
+The weights are integers over a common denominator H: the targets' own, where that is at most a
+million, else parts in a million (more if a target or the number of sources asks for it). The schedule then repeats
 every H slots, so only one period is worked out, on the driver (H entries, whatever the
 corpus); the slot of any block follows by arithmetic. Positions in a source's stream are running
 sums of tokens, worked out in parts of each source, so that a large source is never in one task.
@@ -15,13 +16,17 @@ from __future__ import annotations
 
 from fractions import Fraction
 from heapq import heappop, heappush
+from math import ceil, gcd, isfinite, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetloom.llm.offsets import before_part
 from fleetloom.session import staged
 
-DENOMINATOR = 1000  # weights are rounded to multiples of a thousandth
+DENOMINATOR = 1_000_000  # the longest period, if targets and number of sources don't need a longer one
 BLOCK_TOKENS = 8192
 PART_TOKENS = 20_000_000  # about as many tokens are added up in one part of a source
 
@@ -33,20 +38,26 @@ def canonical_source(col: Column | str) -> Column:
 
 
 def integer_weights(shares: dict[str, float], denominator: int = DENOMINATOR) -> tuple[dict[str, int], int]:
-    """Weights as integers that sum to H <= denominator, by largest remainder; shares needn't sum to 1."""
-    positive = {s: w for s, w in shares.items() if w and w > 0}
-    total = sum(positive.values())
-    if not positive:
+    """Weights as integers that sum to H; shares needn't sum to 1, and those that aren't positive are left out.
+
+    The shares are read as decimals and kept exactly if their common denominator is at most ``denominator``. Else they are
+    rounded, by largest remainder, to parts of H: ``denominator``, or as many as make each
+    source at least ten parts, so that no target moves by more than a twentieth of the least one.
+    """
+    exact = {s: Fraction(str(w)) for s, w in shares.items() if w and w > 0 and isfinite(w)}
+    if not exact:
         return {}, 0
-    exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * denominator for s, w in positive.items()}
-    whole = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, denominator - sum(whole.values()))]:
+    total = sum(exact.values())
+    part = {s: w / total for s, w in exact.items()}
+    period = lcm(*(w.denominator for w in part.values()))
+    if period <= denominator:
+        return {s: int(w * period) for s, w in part.items()}, period
+    period = max(denominator, ceil(10 / min(part.values())))
+    whole = {s: int(w * period) for s, w in part.items()}
+    for s in sorted(part, key=lambda s: (int(part[s] * period) - part[s] * period, s))[: period - sum(whole.values())]:
         whole[s] += 1
-    from math import gcd
-
     common = gcd(*whole.values())
-    whole = {s: n // common for s, n in whole.items()}
-    return whole, sum(whole.values())
+    return {s: n // common for s, n in whole.items()}, period // common
 
 
 def schedule(weights: dict[str, int]) -> list[str]:
@@ -69,6 +80,18 @@ def schedule(weights: dict[str, int]) -> list[str]:
     return out
 
 
+def _slots(weights: dict[str, int]) -> pa.Table:
+    """One period as a table: the source of each slot, which of the source's blocks it is, and the source's weight."""
+    names = list(weights)
+    number = {s: k for k, s in enumerate(names)}
+    slots = np.array([number[s] for s in schedule(weights)], np.int64)
+    order = np.argsort(slots, kind="stable")
+    nth = np.empty(len(slots), np.int64)
+    nth[order] = np.arange(len(slots)) - np.searchsorted(slots[order], slots[order])
+    each = np.array([weights[s] for s in names] or [0], np.int64)[slots]
+    return pa.table({"s": pa.array(np.array(names or [""], dtype=object)[slots], pa.string()), "slot_in_period": np.arange(len(slots)), "block_in_period": nth, "weight": each})
+
+
 def mixture(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", source: str = "source", tokens: str = "tokens", block_tokens: int = BLOCK_TOKENS, total: int | None = None) -> DataFrame:
     """The mixture: slot, source, position, repeat_no, key, tokens; in reading order by slot, then position.
 
@@ -87,35 +110,29 @@ def mixture(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", so
     size = {r.source: int(r.n) for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     usable = {s: g for s, g in goals.items() if size.get(s) and (g.target_share or 0) > 0 and (g.max_repeats or 0) > 0}
     weights, period = integer_weights({s: g.target_share for s, g in usable.items()})
-    schema = "source string, slot_in_period bigint, block_in_period bigint, weight bigint"
+    schema = "s string, slot_in_period bigint, block_in_period bigint, weight bigint"
     if total is None:
         total = min((size[s] * int(usable[s].max_repeats) * period // weights[s] for s in weights), default=0)
     quota = {s: min(total * weights[s] // period, size[s] * int(usable[s].max_repeats)) for s in weights}
-
-    seen: dict[str, int] = {}
-    slots = []
-    for slot, s in enumerate(schedule(weights)):
-        slots.append((s, slot, seen.get(s, 0), weights[s]))
-        seen[s] = seen.get(s, 0) + 1
-    slots = spark.createDataFrame(slots, schema)
+    slots = spark.createDataFrame(_slots(weights), schema)
+    # a source whose quota is 0 has no round
     limits = spark.createDataFrame(
-        [(s, quota[s], size[s], -(-quota[s] // size[s]), max(1, size[s] // PART_TOKENS)) for s in weights], "source string, quota bigint, size bigint, rounds bigint, parts bigint"
+        [(s, n, size[s], -(-n // size[s]), max(1, size[s] // PART_TOKENS)) for s, n in quota.items() if n > 0], "source string, quota bigint, size bigint, rounds bigint, parts bigint"
     )
     shuffled = F.xxhash64(F.col(key), F.lit("order"))
     known = staged(rows.join(F.broadcast(limits), "source").withColumn("at", shuffled).withColumn("part", F.pmod(F.shiftright("at", 8), F.col("parts"))), "mixed")
     sums = known.groupBy("source", "part").agg(F.sum("tokens").alias("n"))  # one row for each part
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("source", "part", before.alias("offset"))
+    offsets = before_part(sums, ["source"], "part", "n")
     inner = Window.partitionBy("source", "part").orderBy("at", key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = known.withColumn("inner", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).join(F.broadcast(offsets), ["source", "part"])
+    placed = known.withColumn("inner", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).join(offsets, ["source", "part"])
     placed = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rounds"))))
     position = (F.col("repeat_no") - 1) * F.col("size") + F.col("offset") + F.col("inner")
     # a document is taken if most of it lies within the quota: shares are off by at most half a document
     placed = placed.withColumn("position", position).where(F.col("position") + F.floor(F.col("tokens") / F.lit(2)) < F.col("quota"))
     block = F.floor(F.col("position") / F.lit(block_tokens))
     placed = placed.withColumn("block", block)
-    slots = slots.withColumnRenamed("source", "s")
-    placed = placed.join(F.broadcast(slots), (F.col("source") == F.col("s")) & (F.col("block_in_period") == F.pmod(F.col("block"), F.col("weight"))))
+    # a period has at most as many rows as parts of a share; adaptive execution broadcasts a short one
+    placed = placed.join(slots, (F.col("source") == F.col("s")) & (F.col("block_in_period") == F.pmod(F.col("block"), F.col("weight"))))
     slot = F.floor(F.col("block") / F.col("weight")) * F.lit(period) + F.col("slot_in_period")
     return placed.select(slot.cast("bigint").alias("slot"), "source", "position", "repeat_no", key, "tokens")
 

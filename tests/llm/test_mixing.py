@@ -20,7 +20,38 @@ def test_weights_are_whole_and_small():
     assert integer_weights({"a": 0.5, "b": 0.25, "c": 0.25}) == ({"a": 2, "b": 1, "c": 1}, 4)
     assert integer_weights({"a": 3, "b": 1}) == ({"a": 3, "b": 1}, 4) and integer_weights({"a": 0, "b": None}) == ({}, 0)
     w, period = integer_weights({"a": 1 / 3, "b": 2 / 3})
-    assert sum(w.values()) == period <= 1000
+    assert sum(w.values()) == period <= 1_000_000 and abs(w["a"] / period - 1 / 3) < 1e-6
+
+
+def test_small_shares_and_many_sources_keep_their_weight():
+    assert integer_weights({"a": 0.9997, "b": 0.0003}) == ({"a": 9997, "b": 3}, 10_000)
+    assert integer_weights({"a": 0.5, "b": float("nan"), "c": -1.0, "d": float("inf")}) == ({"a": 1}, 1)
+    w, period = integer_weights({f"s{k}": 1.0 for k in range(1500)})
+    assert period == 1500 and set(w.values()) == {1}
+    uneven = {f"s{k}": 1 + k / 7 for k in range(1500)}
+    w, period = integer_weights(uneven)
+    assert sum(w.values()) == period and all(abs(w[s] / period - x / sum(uneven.values())) < 1 / period for s, x in uneven.items())
+    w, period = integer_weights({"a": 1 - 1e-9, "b": 1e-9 / 3}, 1000)
+    assert sum(w.values()) == period and w["b"] >= 1
+
+
+def test_fifteen_hundred_sources_within_a_block():
+    weights, period = integer_weights({f"s{k}": 1 + k % 3 for k in range(1500)})
+    done, slots = Counter(), schedule(weights)
+    assert Counter(slots) == weights
+    for t, s in enumerate(slots, 1):
+        done[s] += 1
+        if t % 100 == 0:
+            assert all(abs(done[k] - t * w / period) < 1 for k, w in weights.items())
+
+
+def test_no_quota_no_rows(spark):
+    df, targets = docs(spark, {"a": (20, 100), "b": (10, 100)}), goals(spark, [("a", 0.9995, 1), ("b", 0.0005, 4)])
+    assert mixture(df, targets, total=0).count() == 0
+    m = mixture(df, targets, total=500).collect()
+    assert {r.source for r in m} == {"a"} and 400 <= sum(r.tokens for r in m) <= 600 and {r.repeat_no for r in m} == {1} and min(r.slot for r in m) == 0
+    tiny = mixture(df, targets, total=100, block_tokens=1_000_000).collect()
+    assert [(r.source, r.slot) for r in tiny] == [("a", 0)]
 
 
 def docs(spark, per_source, extra=()):
