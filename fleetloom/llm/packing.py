@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetloom.llm.offsets import before_part
 from fleetloom.operators.grouped import whole_groups
 from fleetloom.session import staged
 
@@ -136,8 +137,7 @@ def _ranked(rows: DataFrame, group: str, parts: int, *order: Column | str) -> Da
     spread = staged(rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts))), "ranked")
     # one row for each group and part
     sizes = spread.groupBy(group, "part").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select(group, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    offset = before_part(sizes, [group], "part", "rows")
     inner = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
     return spread.withColumn("inner", inner).join(offset, [group, "part"]).withColumn("rank", F.col("offset") + F.col("inner") - 1).drop("inner", "offset", "part")
 
@@ -218,8 +218,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, groups
     )
     filled = staged(filled, "filled")
     fresh = filled.where("box < 0").groupBy("part").agg((-F.min("box")).alias("made"))  # one row for each part
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = fresh.select("part", F.coalesce(F.sum("made").over(before), F.lit(0)).alias("offset"))
+    offset = before_part(fresh, [], "part", "made")
     box = F.when(F.col("box") >= 0, F.col("box")).otherwise(F.lit(first + whole - 1) + F.col("offset") - F.col("box"))
-    filled = filled.join(F.broadcast(offset), "part", "left").select(box.alias("container_id"), F.col("item").cast(kind).alias(key), "piece_no", "start", "n")
+    filled = filled.join(offset, "part", "left").select(box.alias("container_id"), F.col("item").cast(kind).alias(key), "piece_no", "start", "n")
     return placed.unionByName(full).unionByName(filled)
