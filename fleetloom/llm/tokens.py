@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = os.environ.get("FLEETLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: how this vocabulary's tokenizer cuts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG = 50_000  # characters; longer texts are encoded piece by piece, cut at blanks
+LONG = 50_000  # characters; longer texts are encoded piece by piece
+# No word of the pattern holds a blank after anything but a blank, nor looks back: a text that is cut here
+# falls into the same words.
+_BORDER = re.compile(r"(?<=\S)[ \n]")
 
 
 def encoding(vocabulary: bytes):
@@ -23,13 +28,14 @@ def encoding(vocabulary: bytes):
 
 
 def pieces_of(text: str, most: int = LONG) -> Iterator[str]:
-    """The text in pieces that join to it again, cut before a blank where there is one: no word is torn."""
+    """The text in pieces of at least ``most`` characters that join to it again and have as many tokens together.
+
+    It is cut only before a blank that follows another sign; a run without such a place stays whole.
+    """
     at = 0
-    while len(text) - at > most:
-        cut = text.rfind(" ", at + 1, at + most)
-        cut = cut if cut > at else at + most
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > most and (cut := _BORDER.search(text, at + most)):
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]
 
 
