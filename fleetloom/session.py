@@ -64,6 +64,16 @@ def staged(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read any more; ``df`` is what ``staged`` returned."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in _staged_paths if folder.endswith(p.split("://", 1)[-1].lstrip("/"))]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _staged_paths.remove(path)
+
+
 def micros(col: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp with or without zone (taken as UTC)."""
     return F.unix_micros((F.col(col) if isinstance(col, str) else col).cast("timestamp"))

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from fleetloom.session import forget_staged, fresh_path, staged
+from fleetloom.session import forget_staged, fresh_path, staged, unstage
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -29,3 +29,11 @@ def test_staged_tables_are_deleted_on_request(spark):
     assert forget_staged(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_one_staged_table_is_deleted(spark):
+    a, b = staged(spark.range(3), "a"), staged(spark.range(4), "b")
+    unstage(a)
+    with pytest.raises(Exception):
+        spark.read.parquet(a.inputFiles()[0]).count()
+    assert b.count() == 4
