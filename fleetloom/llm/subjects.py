@@ -8,8 +8,8 @@ over the labelled documents, then over all. A document is about the subjects tha
 least a given share of its sentences is assigned to.
 
 Texts are read twice: once for the lines that recur at their edges, once to cut them to words. From then on
-the corpus is blocks of some thousand documents: a block's own list of words and arrays of numbers, later arrays of
-term numbers and counts, and at last the sentences' unit vectors, each worked out once.
+the corpus is blocks of some thousand documents: a block's own list of words and arrays of numbers, then the rows of the
+document-term matrix, and at last the sentences' unit vectors, each worked out once.
 
 Languages are those that ``lang`` names; which one a text is in is learned from the words of a bounded sample of the
 documents of each, so that a document with a wrong or missing ``lang`` finds its own.
@@ -23,8 +23,9 @@ centroids, and the embedded sentences of a bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.session import staged
+from fleetloom.session import staged, unstage
 
 
 @dataclass(frozen=True)
@@ -352,34 +353,47 @@ def vocabulary(blocks: DataFrame, edges: list[int], languages: Languages, rules:
     return done
 
 
-NUMBERED = "language string, ids array<bigint>, sentences binary, lengths binary, terms binary, sizes binary, cols binary, counts binary"
+@dataclass
+class Bodies:
+    """Blocks, and what it takes to read them as documents of one language with numbers of its terms."""
 
+    blocks: DataFrame
+    edges: list[int]
+    names: list[str]  # of languages
+    terms: dict[str, tuple[dict[str, int], np.ndarray]]
 
-def numbered(blocks: DataFrame, edges: list[int], languages: Languages, terms: dict) -> DataFrame:
-    """Blocks of one language each, with numbers of terms; unknown terms are dropped, sentences aren't.
+    def each(self, work: Callable[[str, Part, np.ndarray, np.ndarray, Any], tuple], schema: str, value: Any = None) -> DataFrame:
+        """A row of ``work(language, part, sentence, term, value)`` for each block and language.
 
-    ``terms`` are those of the sentences (``lengths`` of each); ``cols`` and ``counts`` the rows of the document-term
-    matrix (``sizes`` of each).
-    """
-    shipped, names, dropped = _Shipped(blocks.sparkSession, {k: v[0] for k, v in terms.items()}), languages.names, np.array(edges, int)
+        ``sentence`` and ``term`` are the numbers of the words that are terms; unknown words are dropped, sentences aren't.
+        """
+        shipped = _Shipped(self.blocks.sparkSession, ({k: v[0] for k, v in self.terms.items()}, value))
+        names, dropped = self.names, np.array(self.edges, int)
+        columns = [c.split()[0] for c in schema.split(", ")]
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shipped.value
-        for f in frames:
-            for block in f.itertuples():
-                for k, p in parts_of(block, dropped, len(names)):
-                    own = known.get(names[k], {})
-                    number = np.array([own.get(w, -1) for w in block.words], np.int64)[p.codes]
-                    of = np.repeat(np.arange(len(p.lengths)), p.lengths)[number >= 0]
-                    number = number[number >= 0]
-                    document = np.repeat(np.arange(len(p.ids)), p.sentences)[of]
-                    pair, count = np.unique(document * max(1, len(own)) + number, return_counts=True)
-                    row, col = pair // max(1, len(own)), pair % max(1, len(own))
-                    sizes, lengths = np.bincount(row, minlength=len(p.ids)), np.bincount(of, minlength=len(p.lengths))
-                    one = (names[k], p.ids, _bytes(p.sentences, "<i4"), _bytes(lengths, "<i4"), _bytes(number, "<i4"), _bytes(sizes, "<i4"), _bytes(col, "<i4"), _bytes(count, "<i4"))
-                    yield pd.DataFrame([one], columns=["language", "ids", "sentences", "lengths", "terms", "sizes", "cols", "counts"])
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, given = shipped.value
+            for f in frames:
+                for block in f.itertuples():
+                    for k, p in parts_of(block, dropped, len(names)):
+                        own = known.get(names[k], {})
+                        number = np.array([own.get(w, -1) for w in block.words], np.int64)[p.codes]
+                        sentence = np.repeat(np.arange(len(p.lengths)), p.lengths)
+                        yield pd.DataFrame([work(names[k], p, sentence[number >= 0], number[number >= 0], given)], columns=columns)
+
+        return self.blocks.select("words", "ids", "languages", "sentences", "lengths", "lines", "codes").mapInPandas(run, schema)
 
-    return staged(blocks.select("words", "ids", "languages", "sentences", "lengths", "lines", "codes").mapInPandas(work, NUMBERED), "numbered")
+
+def _matrix_row(language: str, p: Part, sentence: np.ndarray, term: np.ndarray, _: Any) -> tuple:
+    document = np.repeat(np.arange(len(p.ids)), p.sentences)[sentence]
+    width = int(term.max(initial=0)) + 1
+    pair, count = np.unique(document * width + term, return_counts=True)
+    return language, _bytes(np.bincount(pair // width, minlength=len(p.ids)), "<i4"), _bytes(pair % width, "<i4"), _bytes(count, "<i4")
+
+
+def matrix(bodies: Bodies) -> DataFrame:
+    """Blocks of rows of each language's document-term matrix: how many terms each document has, which, and how often."""
+    return staged(bodies.each(_matrix_row, "language string, sizes binary, cols binary, counts binary"), "matrix")
 
 
 def _sum_rows(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -412,7 +426,6 @@ def singular_vectors(docs: DataFrame, terms: dict, rules: SubjectRules) -> dict[
     rng = np.random.default_rng(11)
     basis = {k: np.linalg.qr(rng.normal(size=(len(v[0]), min(len(v[0]), rules.rank + 10))))[0] for k, v in terms.items() if v[0]}
     idf = {k: v[1] for k, v in terms.items()}
-    docs = docs.select("language", "sizes", "cols", "counts")
     for last in [False] * rules.power_passes + [True]:
         shipped = _Shipped(docs.sparkSession, ({k: q.astype("f4") for k, q in basis.items()}, idf))
 
@@ -499,22 +512,15 @@ def _means(v: np.ndarray, chosen: np.ndarray, n: int, before: np.ndarray | None
     return out
 
 
-EMBEDDED = "language string, ids array<bigint>, sentences binary, vectors binary, sums binary"
+def _embedded_row(language: str, p: Part, sentence: np.ndarray, term: np.ndarray, model: SubjectModel) -> tuple:
+    v = model.embed(language, term, np.bincount(sentence, minlength=len(p.lengths)))
+    sums = _weighted(v, np.zeros(len(v), int), p.sentences, v.any(axis=1), 1)
+    return language, p.ids, _bytes(p.sentences, "<i4"), v.astype("<f2").tobytes(), sums.tobytes()
 
 
-def embedded(docs: DataFrame, model: SubjectModel) -> DataFrame:
+def embedded(bodies: Bodies, model: SubjectModel) -> DataFrame:
     """Each sentence's unit vector (in half precision), and the block's sum of them in which each document counts once."""
-    shipped = _Shipped(docs.sparkSession, model)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shipped.value
-        for f in frames:
-            for block in f.itertuples():
-                v = own.embed(block.language, np.frombuffer(block.terms, "<i4"), np.frombuffer(block.lengths, "<i4"))
-                sums = _weighted(v, np.zeros(len(v), int), np.frombuffer(block.sentences, "<i4"), v.any(axis=1), 1)
-                yield pd.DataFrame([(block.language, block.ids, block.sentences, v.astype("<f2").tobytes(), sums.tobytes())], columns=["language", "ids", "sentences", "vectors", "sums"])
-
-    return staged(docs.select("language", "ids", "sentences", "lengths", "terms").mapInPandas(work, EMBEDDED), "embedded")
+    return staged(bodies.each(_embedded_row, "language string, ids array<bigint>, sentences binary, vectors binary, sums binary", model), "embedded")
 
 
 def _weighted(v: np.ndarray, group: np.ndarray, sentences: np.ndarray, keep: np.ndarray, n: int) -> np.ndarray:
@@ -627,10 +633,13 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rules: Sub
     blocks = cut_blocks(rows, edge_candidates(rows, rules), languages, rules)
     edges = kept_edges(blocks, rules)
     terms = vocabulary(blocks, edges, languages, rules)
-    docs = numbered(blocks, edges, languages, terms)
+    read = Bodies(blocks, edges, languages.names, terms)
+    docs = matrix(read)
     names = sorted(r.subject for r in subjects.select("subject").distinct().collect() if r.subject is not None)
     model = SubjectModel(names, {k: v[1] for k, v in terms.items()}, singular_vectors(docs, terms, rules))
-    vectors = embedded(docs, model)
+    unstage(docs)
+    vectors = embedded(read, model)
+    unstage(blocks)
     for language, (s, n) in _totals(vectors.select("language", "sums"), 1).items():
         model.centre[language] = s[0] / max(1e-12, n[0])
     if not names:
