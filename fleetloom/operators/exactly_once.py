@@ -5,7 +5,8 @@ number and device time. Sequence numbers come from counters, so what a producer
 so far is nearly a contiguous range. The operator keeps, per producer, disjoint
 ranges of numbers seen; a delivered number outside all ranges is new and is accepted
 without looking at any message. Only numbers that are covered already (copies, counters
-that restarted, a missing number written as 0) need the exact keyed lookup.
+that restarted, a missing number written as 0) need the exact keyed lookup, and so do the UUIDs that
+numbers leave open: of rows whose producer's identifier is malformed, or that differing identifiers share.
 
 Ranges are cut at multiples of ``BLOCK``, so that the ranges of a busy producer lie in many
 independent groups and no group outgrows ``BLOCK`` numbers.
@@ -116,6 +117,20 @@ def _groups(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(firsts, list(keys)).select("node", "root")
 
 
+def open_uuids(rows: DataFrame) -> DataFrame:
+    """Hashes of the UUIDs that producers' numbers leave open: ``h``.
+
+    A UUID whose rows all have one and the same van, number and time needs no lookup of its own, as those rows are one message
+    already; nor does one that a single row has. What is left are UUIDs of rows with a malformed producer's identifier,
+    and any that differing identifiers share. Only hashes are compared here, combined to one row each; a chance
+    meeting of two hashes costs a lookup and decides nothing.
+    """
+    # a row without a producer's identifier is like no other
+    who = F.when(has_producer_id(), F.xxhash64("van_id", "seq", "device_us")).otherwise(F.xxhash64("node.at", "node.id", F.lit("alone")))
+    hashed = rows.where(F.col("uuid").isNotNull()).select(F.xxhash64("uuid").alias("h"), who.alias("who"))
+    return hashed.groupBy("h").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a != b").select("h")
+
+
 def duplicates(log: DataFrame, rounds: int = 3) -> DataFrame:
     """Every row that is a later copy of a message: record_id and the record_id ``kept_id`` of the row kept.
 
@@ -131,7 +146,9 @@ def duplicates(log: DataFrame, rounds: int = 3) -> DataFrame:
     rows = staged(message_rows(log), "messages")  # read several times, and much narrower than the log
     suspects = reduce(DataFrame.union, [s.select("van_id", F.explode("suspects").alias("seq")) for s in seen_ranges(rows, rounds)]).distinct()
     produced = rows.where(has_producer_id()).select("node", "van_id", "seq", "device_us").join(suspects, ["van_id", "seq"], "left_semi")
-    named = rows.where(F.col("uuid").isNotNull()).select("node", "uuid")
+    # written, so that its size is known when the join is planned: a short list is broadcast, a long one isn't
+    asked = staged(open_uuids(rows), "open-uuids").withColumnRenamed("h", "_h")
+    named = rows.where(F.col("uuid").isNotNull()).select("node", "uuid").join(asked, F.xxhash64("uuid") == F.col("_h"), "left_semi")
     members = _groups(produced, "van_id", "seq", "device_us").union(_groups(named, "uuid"))
     # A row is in at most two groups. Where their first rows differ, the groups are one message.
     labelled = staged(members.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "members")
