@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from fleetloom.session import staged
 
 SECTION = 32  # k: larger is more exact; the error falls as 1 / k
 LEAST_SECTION = 4.0
+HELD = 5_000  # sketches in one task
 
 
 class Compactor:
@@ -66,17 +69,38 @@ class Compactor:
         return low[coin::2]
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """A 64-bit number whose every bit depends on every bit of ``x`` (the finaliser of splitmix64)."""
+    x &= _ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def seed_of(*parts) -> int:
+    """A seed out of what tells a sketch from others: its key, its partition, its first values."""
+    return xxhash.xxh64_intdigest(b"\0".join(p if isinstance(p, bytes) else str(p).encode() for p in parts))
+
+
 class RelativeSketch:
     """Percentiles of a stream, exact at the top and with bounded rank error below.
 
-    NaN is not a value and is skipped. The coins come from a fixed seed, so one sequence of
-    calls always gives one sketch.
+    NaN is not a value and is skipped. The coins come from ``seed``, whose state goes on in the bytes and is mixed when
+    sketches are merged: one sequence of calls always gives one sketch. Sketches that will be
+    merged need seeds of their own, else their errors add up instead of cancelling.
     """
 
     def __init__(self, section: int = SECTION, seed: int = 1):
         self.section, self.count = section, 0
         self.levels = [Compactor(section)]
-        self._coins = np.random.default_rng(seed)
+        self.coins = _mixed(seed)
+
+    def _coin(self) -> int:
+        self.coins = (self.coins + 0x9E3779B97F4A7C15) & _ALL
+        return _mixed(self.coins) >> 63
 
     def update(self, values: np.ndarray) -> RelativeSketch:
         values = np.asarray(values, dtype=float)
@@ -91,6 +115,7 @@ class RelativeSketch:
 
     def merge(self, other: RelativeSketch) -> RelativeSketch:
         self.count += other.count
+        self.coins = _mixed(self.coins ^ (other.coins << 1 | other.coins >> 63))
         while len(self.levels) < len(other.levels):
             self.levels.append(Compactor(self.section))
         for mine, theirs in zip(self.levels, other.levels):
@@ -108,7 +133,7 @@ class RelativeSketch:
         while h < len(self.levels):
             level = self.levels[h]
             while len(level.items) >= level.capacity:
-                raised = level.compact(int(self._coins.integers(2)))
+                raised = level.compact(self._coin())
                 if not len(raised):
                     break
                 if h + 1 == len(self.levels):
@@ -132,7 +157,7 @@ class RelativeSketch:
         return float(items[order][min(at, len(items) - 1)])
 
     def to_bytes(self) -> bytes:
-        head = [self.section, self.count, len(self.levels)]
+        head = [self.section, self.count, len(self.levels), self.coins - (1 << 63)]
         meta = [[c.state, c.sections, c.compactions, len(c.items)] for c in self.levels]
         real = [[c.width, c.top] for c in self.levels]
         return b"".join(
@@ -140,12 +165,12 @@ class RelativeSketch:
         )
 
     @staticmethod
-    def from_bytes(data: bytes, seed: int = 1) -> RelativeSketch:
-        section, count, n = np.frombuffer(data, "<i8", 3)
-        meta = np.frombuffer(data, "<i8", 4 * n, 24).reshape(n, 4)
-        real = np.frombuffer(data, "<f8", 2 * n, 24 + 32 * n).reshape(n, 2)
-        sketch, at = RelativeSketch(int(section), seed), 24 + 48 * n
-        sketch.count, sketch.levels = int(count), []
+    def from_bytes(data: bytes) -> RelativeSketch:
+        section, count, n, coins = np.frombuffer(data, "<i8", 4).tolist()
+        meta = np.frombuffer(data, "<i8", 4 * n, 32).reshape(n, 4)
+        real = np.frombuffer(data, "<f8", 2 * n, 32 + 32 * n).reshape(n, 2)
+        sketch, at = RelativeSketch(section), 32 + 48 * n
+        sketch.count, sketch.levels, sketch.coins = count, [], coins + (1 << 63)
         for (state, sections, compactions, size), (width, top) in zip(meta.tolist(), real.tolist()):
             c = Compactor(width)
             c.state, c.sections, c.compactions, c.top = state, sections, compactions, top
@@ -161,17 +186,29 @@ SKETCHES = "{key} string, n bigint, sketch binary"
 def sketches(values: DataFrame, key: str, value: str, section: int = SECTION) -> DataFrame:
     """A sketch for each key and input partition: key, n, sketch.
 
-    Rows with a null key or value are skipped. A partition holds one sketch per key at a time,
-    each of logarithmic size.
+    Rows with a null key or value are skipped. A task holds at most ``HELD`` sketches, each of logarithmic size, and hands
+    them on when more keys come: a key then has several, which are merged like those of partitions.
     """
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, RelativeSketch] = {}
+        where = context.partitionId() if (context := TaskContext.get()) else 0
+
+        def handed_on() -> pd.DataFrame:
+            out = pd.DataFrame({key: list(held), "n": [s.count for s in held.values()], "sketch": [s.to_bytes() for s in held.values()]})
+            held.clear()
+            return out
+
         for frame in frames:
             for k, part in frame.groupby(key, sort=False)[value]:
-                held.setdefault(k, RelativeSketch(section)).update(part.to_numpy(float))
+                own = part.to_numpy(float)
+                if k not in held:
+                    if len(held) >= HELD:
+                        yield handed_on()
+                    held[k] = RelativeSketch(section, seed_of(k, where, own[:64].tobytes()))
+                held[k].update(own)
         if held:
-            yield pd.DataFrame({key: list(held), "n": [s.count for s in held.values()], "sketch": [s.to_bytes() for s in held.values()]})
+            yield handed_on()
 
     rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias(value))
     return rows.mapInPandas(build, SKETCHES.format(key=key))

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from fleetloom.operators.quantiles import RelativeSketch, above, merged, percentiles, sketches
+from fleetloom.operators import quantiles
+from fleetloom.operators.quantiles import RelativeSketch, above, merged, percentiles, seed_of, sketches
 
 
 @pytest.mark.parametrize("make", [lambda r, n: r.lognormal(5, 1.5, n), lambda r, n: np.arange(n, dtype=float), lambda r, n: np.arange(n, 0, -1.0), lambda r, n: r.integers(0, 5, n).astype(float)])
@@ -60,3 +61,34 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "van string, v double")
     assert merged(sketches(df, "van", "v"), "van").count() == 0
     assert above(merged(sketches(df, "van", "v"), "van"), df, "van", "v", {50: 1}).count() == 0
+
+
+def test_errors_of_many_merged_parts_cancel():
+    own, same = [], []
+    for run in range(4):
+        rng = np.random.default_rng(run)
+        parts = [rng.lognormal(5, 1, 2_000) for _ in range(256)]
+        values = np.sort(np.concatenate(parts))
+        for seeds, out in (([seed_of("van", k, p[:64].tobytes()) for k, p in enumerate(parts)], own), ([1] * len(parts), same)):
+            s = RelativeSketch(seed=0)
+            for p, seed in zip(parts, seeds):
+                s.merge(RelativeSketch.from_bytes(RelativeSketch(seed=seed).update(p).to_bytes()))
+            out.append([(s.rank(x)[0] - np.searchsorted(values, x, "right")) / len(values) for x in np.quantile(values, [0.1, 0.3, 0.5, 0.7])])
+    assert np.abs(own).max() < 0.008
+    assert np.abs(np.mean(own, axis=0)).max() < 0.003 < np.abs(np.mean(same, axis=0)).max()
+
+
+def test_coins_go_on_after_a_round_trip_and_differ_between_seeds():
+    a = RelativeSketch(seed=5).update(np.arange(3000.0))
+    b = RelativeSketch.from_bytes(a.to_bytes())
+    more = np.random.default_rng(1).normal(size=5000)
+    assert a.update(more).to_bytes() == b.update(more).to_bytes()
+    assert RelativeSketch(seed=6).update(np.arange(3000.0)).coins != RelativeSketch(seed=7).update(np.arange(3000.0)).coins
+    assert seed_of("v", 1, b"x") != seed_of("v", 2, b"x") != seed_of("v", 2, b"y")
+
+
+def test_more_keys_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "HELD", 7)
+    df = spark.createDataFrame([(f"k{k % 50}", float(k)) for k in range(1000)], "van string, v double").coalesce(1)
+    got = {r.van: r.n for r in merged(sketches(df, "van", "v"), "van").collect()}
+    assert got == {f"k{k}": 20 for k in range(50)}
