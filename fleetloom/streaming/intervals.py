@@ -21,10 +21,7 @@ def _insert(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
             start, _ = held.insert(s, e)
             touched.add(start)
     state.update((held.starts, held.ends))
-    rows = []
-    for k, (s, e) in enumerate(held.periods()):
-        if any(s <= t <= e for t in touched):
-            rows.append((key[0], s, e, held.ends[k - 1] if k else None, held.starts[k + 1] if k + 1 < len(held.starts) else None))
+    rows = sorted({(key[0], *held.around(t)) for t in touched}, key=lambda r: r[1])
     f = pd.DataFrame(rows, columns=["key", "period_start", "period_end", "before", "after"])
     yield f.astype({"before": "Int64", "after": "Int64"})
 

@@ -29,6 +29,9 @@ def test_random_maps_against_sorting():
         m = IntervalMap()
         for _, s, e in rows:
             m.insert(s, e)
+            own = m.periods()
+            assert m.gaps() == [(a[1], b[0]) for a, b in zip(own, own[1:])]  # after every insertion
+            assert all(m.around(x)[:2] == (x, y) for x, y in own)
         assert {("k", *p) for p in m.periods()} == brute(rows)
 
 
