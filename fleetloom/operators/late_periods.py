@@ -4,17 +4,19 @@ A period (an hour of device time) is published some minutes after its end and cl
 hours after its end. Each batch of arrivals is appended to the retained raw events; the
 periods it touches are recomputed entirely from the raw events, and the result replaces
 the periods' earlier versions in one step. Nothing is updated in place: a version is a
-set of files, and it counts only once its commit marker exists, so a reader sees a batch's
-corrections all at once or not at all, and a batch that failed half-way leaves no
-trace. Records past the cut-off never change a period; they are tallied apart.
+set of files in folders of its writer's own, and it counts only once its commit marker exists and names them, so a
+reader sees a batch's corrections all at once or not at all, a batch that failed half-way leaves no
+trace, and of two writers of one version one fails. Records past the cut-off never change a period; they are tallied apart.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.session import fresh_path, micros, staged
+from fleetloom.session import create_file, fresh_path, micros, read_file, staged
 
 PERIOD_S, PUBLISH_S, CLOSE_S = 3600, 300, 7200
 RAW = "van_id string, event_us bigint, arrival_us bigint, speed_kmh double, battery_pct int"
@@ -28,14 +30,15 @@ CHANGES = "van_id string, period_start bigint, day int, taken_pings bigint, cut_
 class PeriodTable:
     """A versioned table of per-van, per-period aggregates with a cut-off for lateness.
 
-    Layout under ``path``: ``raw/v=K/day=D``, ``changes/v=K`` (what a batch brought to each van's periods),
-    ``periods/v=K``, ``commits/K``. Raw events are stored by day, so that a batch re-reads
+    Layout under ``path``: ``raw/v=K/by=A/day=D``, ``changes/v=K/by=A`` (what a batch brought to each van's periods),
+    ``periods/v=K/by=A``, ``commits/K`` (which attempt A it was). Raw events are stored by day, so that a batch re-reads
     only the days it touches.
     """
 
     def __init__(self, spark: SparkSession, path: str, period_s: int = PERIOD_S, publish_s: int = PUBLISH_S, close_s: int = CLOSE_S):
         self.spark, self.path = spark, path
         self.period_s, self.publish_s, self.close_s = period_s, publish_s, close_s
+        self._attempts: dict[int, str] = {}  # of committed versions: these never change
 
     def _fs(self, *parts: str):
         jvm = self.spark.sparkContext._jvm
@@ -45,21 +48,38 @@ class PeriodTable:
     def versions(self) -> list[int]:
         """Committed versions, oldest first: one small file each, as in any table's log."""
         fs, p = self._fs("commits")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _commit(self, version: int) -> None:
-        fs, p = self._fs("commits", str(version))
-        fs.create(p, False).close()  # fails if another writer took the version
-
-    def _read(self, part: str, schema: str, versions: list[int]) -> DataFrame:
-        if not versions:
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _commit(self, version: int, attempt: str) -> None:
+        create_file(self.spark, f"{self.path}/commits/{version}", attempt)  # fails if another writer took the version
+        self._attempts[version] = attempt
+
+    def _folder(self, part: str, version: int) -> str:
+        if version not in self._attempts:
+            self._attempts[version] = read_file(self.spark, f"{self.path}/commits/{version}")
+        return f"{self.path}/{part}/v={version}/by={self._attempts[version]}"
+
+    def vacuum(self) -> int:
+        """Delete the folders of attempts that were never committed, of versions that are: how many. A writer at work has none of these."""
+        gone = 0
+        for v in self.versions():
+            for part in ("raw", "changes", "periods"):
+                fs, p = self._fs(part, f"v={v}")
+                for s in fs.listStatus(p) if fs.exists(p) else []:
+                    if not self._folder(part, v).endswith("/" + s.getPath().getName()):
+                        gone += bool(fs.delete(s.getPath(), True))
+        return gone
+
+    def _read(self, part: str, schema: str, versions: list[int], also: str | None = None) -> DataFrame:
+        paths = [*(self._folder(part, v) for v in versions), *([also] if also else [])]
+        if not paths:
             return self.spark.createDataFrame([], f"{schema}, v int")
-        paths = [f"{self.path}/{part}/v={v}" for v in versions]
         return self.spark.read.option("basePath", f"{self.path}/{part}").schema(f"{schema}, v int").parquet(*paths)
 
-    def _touched(self, versions: list[int]) -> DataFrame:
+    def _touched(self, versions: list[int], also: str | None = None) -> DataFrame:
         """Periods that the given versions changed, for any van."""
-        return self._read("changes", CHANGES, versions).where("taken_pings > 0").select("period_start", "day", "v").distinct()
+        return self._read("changes", CHANGES, versions, also).where("taken_pings > 0").select("period_start", "day", "v").distinct()
 
     def _period(self) -> Column:
         return F.floor(F.col("event_us") / F.lit(self.period_s * 1_000_000)) * self.period_s
@@ -75,31 +95,27 @@ class PeriodTable:
         """
         done = self.versions()
         version = (done[-1] if done else 0) + 1
-        fs, _ = self._fs("raw")
-        for part in ("raw", "changes", "periods"):  # left by a writer that died before its commit
-            where = self._fs(part, f"v={version}")[1]
-            if fs.exists(where):
-                fs.delete(where, True)
+        attempt = uuid.uuid4().hex
+        own = {part: f"{self.path}/{part}/v={version}/by={attempt}" for part in ("raw", "changes", "periods")}
         rows = batch.where(F.col("van_id").isNotNull() & F.col("event_us").isNotNull()).select(
             "van_id", "event_us", F.coalesce("arrival_us", "event_us").alias("arrival_us"), "speed_kmh", "battery_pct"
         )
         day = F.floor(F.col("event_us") / F.lit(86_400_000_000)).cast("int")
-        # a busy day is spread over several tasks by the record's own value, not by van
-        spread = F.pmod(F.xxhash64("van_id", "event_us"), F.lit(4))
-        rows.withColumn("day", day).repartition("day", spread).write.partitionBy("day").parquet(f"{self.path}/raw/v={version}")
+        # a partition for each day, but a busy day is cut to several and quiet ones are joined, by their real sizes
+        rows.withColumn("day", day).hint("rebalance", "day").write.partitionBy("day").parquet(own["raw"])
 
         schema = f"{RAW}, day int"
-        fresh = self._read("raw", schema, [version]).withColumn("period_start", self._period())
+        fresh = self._read("raw", schema, [], own["raw"]).withColumn("period_start", self._period())
         open_ = self._late_by() <= self.close_s * 1_000_000
         brought = fresh.groupBy("van_id", "period_start", "day").agg(F.count_if(open_).alias("taken_pings"), F.count_if(~open_).alias("cut_pings"))
-        brought.write.parquet(f"{self.path}/changes/v={version}")
+        brought.write.parquet(own["changes"])
 
-        touched = self._touched([version])
+        touched = self._touched([], own["changes"])
         days = [r.day for r in touched.select("day").distinct().collect()]  # partitions to read: as many as days
-        raw = self._read("raw", schema, [*done, version]).where(F.col("day").isin(days)).withColumn("period_start", self._period())
+        raw = self._read("raw", schema, done, own["raw"]).where(F.col("day").isin(days)).withColumn("period_start", self._period())
         raw = raw.where(open_).join(touched.select("period_start"), "period_start", "left_semi")
-        self._aggregate(raw).write.parquet(f"{self.path}/periods/v={version}")
-        self._commit(version)
+        self._aggregate(raw).write.parquet(own["periods"])
+        self._commit(version, attempt)
         return version
 
     def _aggregate(self, raw: DataFrame) -> DataFrame:

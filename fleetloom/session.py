@@ -74,6 +74,40 @@ def unstage(df: DataFrame) -> None:
             _staged_paths.remove(path)
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all: written aside, then renamed.
+
+    Raises FileExistsError if the path is taken (on a shared file system the rename itself decides between two writers).
+    """
+    jvm = spark.sparkContext._jvm
+    folder, name = path.rsplit("/", 1)
+    aside, target = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (f".{name}.{uuid.uuid4().hex}", name))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    stream = fs.create(aside, False)
+    stream.write(text.encode())
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+    except Exception as e:
+        fs.delete(aside, False)
+        if fs.exists(target):
+            raise FileExistsError(path) from e
+        raise
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def micros(col: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp with or without zone (taken as UTC)."""
     return F.unix_micros((F.col(col) if isinstance(col, str) else col).cast("timestamp"))

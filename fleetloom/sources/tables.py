@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.operators import tables as ops
+from fleetloom.session import create_file, read_file
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, timeout_s: int = 30, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
@@ -22,8 +23,9 @@ def jdbc_table(spark: SparkSession, url: str, table: str, timeout_s: int = 30, c
 class StoredTable:
     """A table whose versions are folders of Parquet files; a log entry per version names the folders that are in it.
 
-    A writer creates the next log entry, which fails if another took it: that is the switch. Readers see the
-    newest entry. Appends add a folder, rewrites replace all.
+    A writer makes the next log entry appear at once, which fails if another took it: that is the switch. Readers see the
+    newest entry. Appends add a folder, rewrites replace all. A writer that dies leaves a folder that no entry names, for
+    ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -35,19 +37,14 @@ class StoredTable:
 
     def _entries(self) -> list[int]:
         fs, p = self._fs("_log")
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(p)) if fs.exists(p) else []
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.split(".")[0]) for n in names if not n.startswith("."))  # what is still being written begins with a dot
 
     def _entry(self) -> tuple[int, dict]:
         known = self._entries()
         if not known:
             return 0, {"folders": [], "batches": {}}
-        fs, p = self._fs(f"_log/{known[-1]:020d}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return known[-1], json.loads(text)
+        return known[-1], json.loads(read_file(self.spark, f"{self.path}/_log/{known[-1]:020d}.json"))
 
     def read(self) -> DataFrame:
         folders = self._entry()[1]["folders"]
@@ -63,10 +60,8 @@ class StoredTable:
         types = self.spark.createDataFrame([], self.schema).schema
         df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types]).write.parquet(f"{self.path}/{folder}")
         batches = entry["batches"] | ({batch[0]: batch[1]} if batch else {})
-        fs, p = self._fs(f"_log/{version + 1:020d}.json")
-        stream = fs.create(p, False)
-        stream.write(json.dumps({"folders": [*(entry["folders"] if keep else []), folder], "batches": batches}).encode())
-        stream.close()
+        entry = {"folders": [*(entry["folders"] if keep else []), folder], "batches": batches}
+        create_file(self.spark, f"{self.path}/_log/{version + 1:020d}.json", json.dumps(entry))
         return True
 
     def append(self, df: DataFrame, batch: tuple[str, int] | None = None) -> bool:

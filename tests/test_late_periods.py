@@ -77,3 +77,22 @@ def test_the_result_does_not_depend_on_the_batches(spark):
 def test_an_empty_log(spark):
     log = spark.createDataFrame([], "van_id string, device_timestamp timestamp, ingestion_timestamp timestamp, speed_kmh double, battery_pct int")
     assert state(replay(log)) == {}
+
+
+def test_two_writers_of_one_version_leave_each_other_s_files(spark, monkeypatch):
+    path = fresh_path(spark, "periods-test")
+    a, b = PeriodTable(spark, path), PeriodTable(spark, path)
+    commit = PeriodTable._commit
+
+    def other_first(self, version, attempt):
+        monkeypatch.setattr(PeriodTable, "_commit", commit)
+        b.ingest(spark.createDataFrame([("v", 6, 7, 10.0, 50)], BATCH))
+        commit(self, version, attempt)
+
+    monkeypatch.setattr(PeriodTable, "_commit", other_first)
+    one = spark.createDataFrame([("v", 5, 6, 10.0, 50), ("w", 5, 6, 10.0, 50)], BATCH)
+    with pytest.raises(FileExistsError):
+        a.ingest(one)
+    assert state(b) == {("v", 0): (1, 1, 0)} == state(a)
+    assert a.ingest(one) == 2 and state(b) == {("v", 0): (2, 2, 0), ("w", 0): (1, 1, 0)}
+    assert b.vacuum() == 3 and state(PeriodTable(spark, path)) == state(a)

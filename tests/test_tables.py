@@ -80,6 +80,30 @@ def test_stored_table_versions_and_repeated_batches(spark):
     assert t.read().count() == 2 and t.vacuum() == 2 and t.read().count() == 2
 
 
+def test_a_writer_that_dies_between_creating_and_writing_an_entry(spark, monkeypatch):
+    from fleetloom import session
+    from fleetloom.sources import tables as stored
+
+    path = fresh_path(spark, "t")
+    t = StoredTable(spark, path, "id int")
+    t.append(spark.createDataFrame([(1,)], "id int"))
+    fs, p = t._fs("_log/.00000000000000000002.json.0123")
+    fs.create(p, False).close()  # what it leaves: an empty file that isn't an entry yet
+    assert [r.id for r in t.read().collect()] == [1]
+
+    def lost(spark_, path_, text):
+        session.create_file(spark_, path_, "{}")  # another writer was first
+        return session.create_file(spark_, path_, text)
+
+    monkeypatch.setattr(stored, "create_file", lambda s, p_, x: lost(s, p_.replace("0002", "0009"), x))
+    with pytest.raises(FileExistsError):
+        t.append(spark.createDataFrame([(2,)], "id int"))
+    monkeypatch.undo()
+    fs.delete(t._fs("_log/00000000000000000009.json")[1], False)
+    t.append(spark.createDataFrame([(3,)], "id int"))
+    assert sorted(r.id for r in t.read().collect()) == [1, 3] and t.vacuum() == 1
+
+
 def test_zones_of_a_new_installation(spark):
     t = StoredTable(spark, fresh_path(spark, "zones"), schemas.GEOFENCE_ZONES)
     seed_zones(t)
