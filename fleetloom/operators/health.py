@@ -115,11 +115,11 @@ def histogram_quantile(buckets: DataFrame, q: float, key: str) -> DataFrame:
 
 def pipeline_samples(log: DataFrame, every_s: int = 900) -> DataFrame:
     """Counters of a log of pings at regular times of arrival, as the pipeline would have counted them."""
-    from fleetloom.plans.views import validation_error
+    from fleetloom.sources.streams import gps_error
     from fleetloom.session import micros
 
     slot = F.floor(micros("ingestion_timestamp") / F.lit(every_s * 1_000_000)) * every_s
-    bad = validation_error().isNotNull()
+    bad = gps_error().isNotNull()
     counts = log.where("ingestion_timestamp is not null").groupBy(slot.alias("at_s")).agg(F.count("*").alias("received"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("rejected"))
     w = Window.orderBy("at_s").rowsBetween(Window.unboundedPreceding, 0)  # one row per interval
     return counts.select("at_s", *[F.sum(c).over(w).alias(c) for c in COUNTERS])
@@ -130,11 +130,11 @@ def with_silence(samples: DataFrame, log: DataFrame, every_s: int = 900, after_s
 
     A van is heard of when a valid ping of it arrives. As the counters, both are those at the end of a sample's interval.
     """
-    from fleetloom.plans.views import validation_error
+    from fleetloom.sources.streams import gps_error
     from fleetloom.session import micros
 
     slot = F.floor(micros("ingestion_timestamp") / F.lit(every_s * 1_000_000))
-    heard = log.where(F.col("ingestion_timestamp").isNotNull() & validation_error().isNull()).groupBy("van_id", slot.alias("slot")).agg(F.max(micros("ingestion_timestamp")).alias("us"))
+    heard = log.where(F.col("ingestion_timestamp").isNotNull() & gps_error().isNull()).groupBy("van_id", slot.alias("slot")).agg(F.max(micros("ingestion_timestamp")).alias("us"))
     new = heard.groupBy("van_id").agg(F.min("slot").alias("slot")).groupBy((F.col("slot") * every_s).alias("at_s")).agg(F.count("*").alias("_new"))
     until = F.floor((F.col("us") + after_s * 1_000_000) / F.lit(every_s * 1_000_000)) - 1  # the last interval at whose end the van isn't silent
     alive = heard.withColumn("until", until).where("until >= slot").select("van_id", F.explode(F.sequence("slot", "until")).alias("slot"))

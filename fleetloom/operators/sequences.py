@@ -145,6 +145,12 @@ def sampled(log: DataFrame, every_s: int = 60) -> DataFrame:
     return arrivals(log).groupBy("van_id", slot.alias("slot_s")).agg(F.max_by("record_id", F.struct("at_us", "record_id")).alias("record_id"))
 
 
+def plan_of_row(r) -> tuple[Route, list[Stop]]:
+    """A plan out of a row with lats, lons, factors, vertices, deadlines and customers."""
+    stops = [Stop(int(v), float(r.lats[int(v)]), float(r.lons[int(v)]), None if d is None or d != d else float(d), c) for v, d, c in zip(r.vertices, r.deadlines, r.customers)]
+    return Route(r.lats, r.lons, r.factors), stops
+
+
 def estimates(pings: DataFrame, plans: DataFrame) -> DataFrame:
     """An arrival estimate for every ping: record_id, van_id, eta_s, method, risk, slack_s.
 
@@ -153,7 +159,7 @@ def estimates(pings: DataFrame, plans: DataFrame) -> DataFrame:
     slow an estimate through the plans' factors, one for each segment, and the pings' zone_factor, at their
     place; without these columns, or where they are null, nothing is slowed. A plan
     joins its van's pings as one row before them, so a long polyline isn't repeated for every
-    ping. A ping without a plan is UNKNOWN.
+    ping. A ping without a plan or a place is UNKNOWN.
     """
     plan_columns = ["lats", "lons", "factors", "vertices", "deadlines", "customers"]
     plans = plans if "factors" in plans.columns else plans.withColumn("factors", F.lit(None).cast("array<double>"))
@@ -168,17 +174,12 @@ def estimates(pings: DataFrame, plans: DataFrame) -> DataFrame:
 
     def step(state: tuple[EtaTracker, dict], own: pd.DataFrame) -> pd.DataFrame:
         tracker, known = state
-        out = []
-        for r in own.itertuples(index=False):
-            if r.kind == 0:
-                stops = [Stop(int(v), float(r.lats[int(v)]), float(r.lons[int(v)]), None if d is None or d != d else float(d), c) for v, d, c in zip(r.vertices, r.deadlines, r.customers)]
-                known[r.route_id] = (Route(r.lats, r.lons, r.factors), stops)
-                continue
-            if r.route_id != tracker.route_id and r.route_id in known:
-                tracker.plan(r.route_id, *known[r.route_id])
-            e = tracker.ping(r.ts_us / 1e6, r.route_id, r.lat, r.lon, r.status, -1 if r.leg != r.leg else int(r.leg), r.speed_kmh, r.zone_factor)
-            out.append((r.record_id, r.van_id, e.eta_s, e.method, e.risk, e.slack_s))
-        f = pd.DataFrame(out, columns=["record_id", "van_id", "eta_s", "method", "risk", "slack_s"])
+        for r in own[own["kind"] == 0].itertuples(index=False):
+            known[r.route_id] = plan_of_row(r)
+        own = own[own["kind"] == 1]
+        leg, numbers = own["leg"].fillna(-1).to_numpy(np.int64), {c: own[c].to_numpy(float) for c in ("lat", "lon", "speed_kmh", "zone_factor")}
+        eta, method, risk, slack, _ = tracker.pings(own["ts_us"].to_numpy(np.int64) / 1e6, own["route_id"].to_numpy(object), numbers["lat"], numbers["lon"], own["status"].to_numpy(object), leg, numbers["speed_kmh"], numbers["zone_factor"], known.get)
+        f = pd.DataFrame({"record_id": own["record_id"].to_numpy(), "van_id": own["van_id"].to_numpy(), "eta_s": eta, "method": method, "risk": risk, "slack_s": slack})
         return f.astype({"record_id": "Int64", "slack_s": "Int64"})
 
     return by_van(both.select(columns), ["kind", "ts_us", "record_id"], make, step, "record_id bigint, van_id string, eta_s bigint, method string, risk string, slack_s bigint")

@@ -44,6 +44,35 @@ class Route:
         k = int(off.argmin())
         return float(off[k]), float(self.cum[first + k] + t[k] * (self.cum[first + k + 1] - self.cum[first + k]))
 
+    def locate_all(self, lat: np.ndarray, lon: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """``locate`` of many places between the same two vertices, a bounded number at a time."""
+        first, last = max(0, first), min(last, len(self.lat) - 1)
+        if last <= first:
+            return haversine(self.lat[first], self.lon[first], lat, lon), np.full(len(lat), self.cum[first])
+        off, along = np.empty(len(lat)), np.empty(len(lat))
+        degree, step = RADIUS * np.pi / 180, max(1, 2_000_000 // (last - first))
+        for a in range(0, len(lat), step):
+            la, lo = lat[a : a + step, None], lon[a : a + step, None]
+            x, y = (self.lon[None, first : last + 1] - lo) * degree * np.cos(np.radians(la)), (self.lat[None, first : last + 1] - la) * degree
+            dx, dy = np.diff(x, axis=1), np.diff(y, axis=1)
+            square = dx * dx + dy * dy
+            t = np.clip(np.divide(-(x[:, :-1] * dx + y[:, :-1] * dy), square, out=np.zeros(dx.shape), where=square > 0), 0, 1)
+            gap = np.hypot(x[:, :-1] + t * dx, y[:, :-1] + t * dy)
+            k = gap.argmin(axis=1)
+            at = np.arange(len(k))
+            off[a : a + step] = gap[at, k]
+            along[a : a + step] = self.cum[first + k] + t[at, k] * (self.cum[first + k + 1] - self.cum[first + k])
+        return off, along
+
+    def factors_at(self, along: np.ndarray) -> np.ndarray:
+        return self.factor[np.clip(np.searchsorted(self.cum, along, side="right") - 1, 0, len(self.factor) - 1)]
+
+    def clear_metres(self, along: np.ndarray, vertex: int) -> np.ndarray:
+        """The way from places to a vertex, each segment's divided by its factor; 0 where it is behind."""
+        weighted = np.concatenate([[0.0], np.cumsum(np.diff(self.cum) / self.factor[: len(self.cum) - 1])])
+        end = min(max(vertex, 0), len(self.cum) - 1)
+        return np.maximum(0.0, weighted[end] - np.interp(along, self.cum, weighted))
+
     def factor_at(self, along: float) -> float:
         k = int(np.searchsorted(self.cum, along, side="right")) - 1
         return float(self.factor[min(max(k, 0), len(self.factor) - 1)])
@@ -148,3 +177,76 @@ class EtaTracker:
         slack = int(np.floor(stop.deadline - arrival))
         risk = "CRITICAL" if slack < self.critical_s else "WARNING" if slack < self.warning_s else "NONE"
         return Estimate(eta, method, risk, slack, arrival)
+
+    def pings(self, time: np.ndarray, route_id: np.ndarray, lat: np.ndarray, lon: np.ndarray, status: np.ndarray, leg: np.ndarray, speed_kmh: np.ndarray, zone_factor: np.ndarray, plan_of=lambda route_id: None):
+        """``ping`` for many pings of the van, in order: arrays of eta_s, method, risk, slack_s (NaN for none) and arrival (NaN for none).
+
+        ``plan_of`` gives the plan of a route, as ``plan`` takes it, or None. ``leg`` is -1 where it isn't known. All but the
+        learned speed is worked out for a whole route at a time.
+        """
+        out = np.full(len(time), -1, np.int64), np.full(len(time), "NONE", object), np.full(len(time), "NONE", object), np.full(len(time), np.nan), np.full(len(time), np.nan)
+        cuts = np.flatnonzero(route_id[1:] != route_id[:-1]) + 1
+        for own in np.split(np.arange(len(time)), cuts) if len(time) else []:
+            name = route_id[own[0]]
+            if name != self.route_id:
+                found = plan_of(name)
+                self.plan(name, *found) if found else self._forget(name)
+            self._run(own, time[own], lat[own], lon[own], status[own], leg[own], speed_kmh[own], zone_factor[own], out)
+        return out
+
+    def _run(self, own, time, lat, lon, status, leg, speed_kmh, zone_factor, out) -> None:
+        eta, method, risk, slack, arrival = out
+        moving, serving = status == "EN_ROUTE", status == "DELIVERING"
+        known = (leg >= 0) & (leg < len(self.stops)) if self.route is not None else np.zeros(len(own), bool)
+        if self.route is None:
+            risk[own[moving | serving]] = "UNKNOWN"
+        deadline = np.array([np.nan if s.deadline is None else s.deadline for s in self.stops] or [np.nan])[np.where(known, leg, 0)]
+        who = [s.customer or str(k) for k, s in enumerate(self.stops)]
+        for k in np.flatnonzero(serving & known):
+            at = self.arrivals.setdefault(who[leg[k]], time[k])
+            eta[own[k]], arrival[own[k]] = 0, at
+            if deadline[k] == deadline[k]:
+                slack[own[k]] = np.floor(deadline[k] - at)
+                risk[own[k]] = "CRITICAL" if at > deadline[k] else "NONE"
+        # places along the route, leg by leg
+        under = moving & known
+        off, along, clear = np.full(len(own), np.nan), np.full(len(own), np.nan), np.full(len(own), np.nan)
+        for n in np.unique(leg[under]):
+            k = np.flatnonzero(under & (leg == n))
+            off[k], along[k] = self.route.locate_all(lat[k], lon[k], self.stops[n - 1].vertex if n else 0, self.stops[n].vertex)
+            clear[k] = self.route.clear_metres(along[k], self.stops[n].vertex)
+        on_route = off <= self.off_route_m
+        along = np.where(on_route, along, np.nan)
+        before_time, before_leg, before_along, before_moving = (np.concatenate([[first], rest[:-1]]) for first, rest in zip(
+            (np.nan, -2, np.nan, False) if self.last is None else (self.last[0], self.last[1], np.nan if self.last[2] is None else self.last[2], self.last[3]), (time, leg, along, moving)))
+        factor = zone_factor.astype(float)
+        learned: list[float | None] = [self.speed] * len(own)
+        if on_route.any():
+            factor[on_route] = self.route.factors_at(along[on_route])
+            dt, ds = time - before_time, along - before_along
+            taught = on_route & (before_leg == leg) & before_moving.astype(bool) & (dt >= self.least_s) & (dt <= self.most_s) & (ds >= 0)
+            where = np.flatnonzero(taught)
+            seen = ds[where] / dt[where] / self.route.factors_at((along[where] + before_along[where]) / 2)
+            now = self.speed
+            for a, b, x in zip(where, [*where[1:], len(own)], seen.tolist()):
+                now = x if now is None else self.weight * x + (1 - self.weight) * now
+                learned[a:b] = [now] * (b - a)
+            self.speed = now
+        k = np.flatnonzero(under)
+        if len(k):
+            taken = np.where(speed_kmh[k] > 0, speed_kmh[k] / factor[k], self.base) / 3.6 * self.scale
+            speed = np.array([v or t for v, t in zip((learned[i] for i in k), taken)])
+            metres = haversine(lat[k], lon[k], np.array([self.stops[n].lat for n in leg[k]]), np.array([self.stops[n].lon for n in leg[k]])) * self.detour / factor[k]
+            left = np.divide(np.where(on_route[k], clear[k], metres), speed, out=np.zeros(len(k)), where=speed > 0)
+            sure = np.isfinite(left) | np.isinf(left)  # not so for a ping without a place
+            whole = np.floor(np.minimum(np.where(sure, left, 0.0), LONGEST_S) + 0.5)
+            at = own[k[sure]]
+            eta[at], method[at], arrival[at] = whole[sure].astype(np.int64), np.where(on_route[k], "ROUTE", "STRAIGHT_LINE")[sure], (time[k] + whole)[sure]
+            slack[at] = np.floor(deadline[k[sure]] - arrival[at])
+            risk[at] = np.select([np.isnan(slack[at]), slack[at] < self.critical_s, slack[at] < self.warning_s], ["UNKNOWN", "CRITICAL", "WARNING"], "NONE")
+            risk[own[k[~sure]]] = "UNKNOWN"
+            for i, n in zip(at, leg[k[sure]]):
+                if who[n] not in self.first_prediction:
+                    self.first_prediction[who[n]] = float(arrival[i])
+        end = len(own) - 1
+        self.last = (float(time[end]), int(leg[end]), float(along[end]) if along[end] == along[end] else None, bool(moving[end]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.plans import views
+from fleetloom.plans.live_sql import LIVE
 from fleetloom.session import load
 
 # Limits of a ranking.
@@ -168,23 +169,6 @@ QUERIES = {
     "live_vans": views.live_vans,
 }
 
-_LIVE = """
-WITH p AS (
-  SELECT DISTINCT ON (van_id) * FROM gps_event WHERE van_id IS NOT NULL AND device_timestamp IS NOT NULL AND ingestion_timestamp >= device_timestamp
-  ORDER BY van_id, device_timestamp DESC, record_id DESC
-), s AS (
-  SELECT DISTINCT ON (van_id) van_id, CAST(floor((epoch_us(sla_deadline) - epoch_us(actual_arrival)) / 1e6) AS BIGINT) AS slack_seconds FROM delivery_logs
-  WHERE actual_arrival IS NOT NULL AND sla_deadline IS NOT NULL ORDER BY van_id, created_at DESC, id DESC
-), b AS (SELECT DISTINCT ON (van_id) van_id, geofence_id FROM sla_breaches ORDER BY van_id, detected_at DESC, id DESC),
-live_vans AS (
-  SELECT p.van_id, p.route_id, p.status, p.location.latitude AS lat, p.location.longitude AS lon, p.speed_kmh, p.battery_pct,
-         p.current_stop_index AS current_stop, p.total_stops, CAST(CASE WHEN p.status = 'DELIVERING' THEN 0 ELSE -1 END AS BIGINT) AS eta_seconds,
-         CASE WHEN slack_seconds IS NULL THEN 'UNKNOWN' WHEN slack_seconds < 0 THEN 'CRITICAL' WHEN slack_seconds < 60 THEN 'WARNING' ELSE 'NONE' END AS sla_risk,
-         slack_seconds, z.name IS NOT NULL AS in_zone, z.name AS zone_name, epoch_ms(p.device_timestamp) AS updated_epoch_ms
-  FROM p LEFT JOIN s ON s.van_id = p.van_id LEFT JOIN b ON b.van_id = p.van_id LEFT JOIN geofence_zones z ON z.id = b.geofence_id
-)
-"""
-
 SQL = {
     "delay_zones": """
 SELECT z.name AS zone_name, z.zone_type, z.speed_factor, count(*) AS breach_count, CAST(sum(s.breach_seconds) AS BIGINT) AS total_breach_seconds,
@@ -211,25 +195,25 @@ FROM r WHERE error_reason IS NOT NULL GROUP BY 1""",
     "zone_heatmap": """
 SELECT z.name AS zone_name, z.zone_type, z.speed_factor, count(s.breach_seconds) AS hit_count, coalesce(avg(CAST(s.breach_seconds AS DOUBLE)), 0.0) AS avg_delay_seconds
 FROM geofence_zones z LEFT JOIN sla_breaches s ON s.geofence_id = z.id WHERE z.active GROUP BY 1, 2, 3""",
-    "live_zone_risk": _LIVE
+    "live_zone_risk": LIVE
     + """
 SELECT v.van_id, v.status, v.zone_name, v.sla_risk, v.slack_seconds, z.speed_factor, coalesce(h.n, 0) AS zone_breaches, h.a AS zone_avg_breach_seconds
 FROM live_vans v JOIN geofence_zones z ON z.name = v.zone_name
 LEFT JOIN (SELECT z.name, count(*) AS n, avg(CAST(s.breach_seconds AS DOUBLE)) AS a FROM sla_breaches s JOIN geofence_zones z ON z.id = s.geofence_id GROUP BY 1) h
   ON h.name = v.zone_name
 WHERE v.in_zone""",
-    "at_risk_vans": _LIVE
+    "at_risk_vans": LIVE
     + """
 SELECT v.van_id, v.status, v.sla_risk, v.slack_seconds, v.eta_seconds, v.zone_name, coalesce(h.n, 0) AS past_breaches, h.a AS past_avg_breach_seconds
 FROM live_vans v LEFT JOIN (SELECT van_id, count(*) AS n, avg(CAST(breach_seconds AS DOUBLE)) AS a FROM sla_breaches GROUP BY 1) h ON h.van_id = v.van_id
 WHERE v.sla_risk IN ('WARNING', 'CRITICAL')""",
-    "panel": _LIVE
+    "panel": LIVE
     + """
 SELECT sla_risk AS list, van_id FROM live_vans WHERE sla_risk IN ('CRITICAL', 'WARNING') UNION ALL
 SELECT 'DELIVERING', van_id FROM live_vans WHERE status = 'DELIVERING' UNION ALL SELECT 'IN_ZONE', van_id FROM live_vans WHERE in_zone""",
     "free_sql": "SELECT severity, count(*) AS n FROM sla_breaches WHERE breach_seconds > 60 AND cause = 'LATE_ARRIVAL' GROUP BY 1 ORDER BY n DESC LIMIT 5",
-    "live_vans": _LIVE + "SELECT * FROM live_vans",
-    "vans_by_risk": _LIVE
+    "live_vans": LIVE + "SELECT * FROM live_vans",
+    "vans_by_risk": LIVE
     + """
 SELECT r.sla_risk, count(v.van_id) AS vans FROM (VALUES ('NONE'), ('WARNING'), ('CRITICAL'), ('UNKNOWN')) AS r(sla_risk) LEFT JOIN live_vans v ON v.sla_risk = r.sla_risk GROUP BY 1""",
 }

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions.geo import bearing_deg, haversine_km
 from fleetloom.functions.time import lag_ms
-from fleetloom.operators import deliveries, dispatch, health, sequences, spatial, tables
+from fleetloom.operators import deliveries, dispatch, health, sequences, tables
 from fleetloom.operators.prefix import running_max
 from fleetloom.plans import views
+from fleetloom.plans.live_sql import ESTIMATES
 from fleetloom.plans.problems import IN_ZONES
 from fleetloom.schemas import RISK
 from fleetloom.session import load, micros
-from fleetloom.sources.zones import active_zones, parsed_zones, segment_factors
+from fleetloom.sources.zones import parsed_zones
 
 
 def _gps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,26 +83,13 @@ def sampled_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eta_by_ping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrival estimates of every ping on the route through its van's logged stops, slowed by the active zones."""
-    log = _gps(spark, sf_dir)
-    pings = log.where("van_id is not null and device_timestamp is not null and location is not null and status is not null").select(
-        "record_id", "van_id", "route_id", micros("device_timestamp").alias("ts_us"), F.col("location.latitude").alias("lat"), F.col("location.longitude").alias("lon"),
-        "status", F.col("current_stop_index").alias("leg"), "speed_kmh",
-    )
-    plans = sequences.plans_from_logs(load(spark, sf_dir, "delivery_logs")).withColumn("plan", F.struct("van_id", "route_id"))
-    lines = plans.select("plan", F.zip_with("lats", "lons", lambda a, b: F.array(a, b)).alias("waypoints"))
-    factors = segment_factors(lines, active_zones(load(spark, sf_dir, "geofence_zones")), "plan")
-    slowed = first_zone(spark, sf_dir).select("record_id", F.col("speed_factor").alias("zone_factor"))
-    pings = pings.where("lat is not null and lon is not null").join(slowed, "record_id", "left")
-    return sequences.estimates(pings, plans.join(factors, "plan", "left"))
+    return views.ping_estimates(spark, sf_dir)
 
 
 def first_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each ping in any active zone the first by name, with its speed factor."""
     log = _gps(spark, sf_dir).select("record_id", F.col("location.longitude").alias("x"), F.col("location.latitude").alias("y"))
-    zones = load(spark, sf_dir, "geofence_zones").where("active")
-    pairs = spatial.regions_of_points(log, zones.select("id", "geometry"), point_id="record_id", x="x", y="y", region_id="id", geometry="geometry")
-    named = pairs.join(zones.select("id", "name", F.col("speed_factor").cast("double").alias("factor")), "id")
-    return named.groupBy("record_id").agg(F.min(F.struct("name", "id", "factor")).alias("z")).select("record_id", F.col("z.name").alias("zone_name"), F.coalesce("z.factor", F.lit(1.0)).alias("speed_factor"))
+    return views.first_zones(spark, sf_dir, log)
 
 
 def vans_by_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +245,7 @@ s AS (SELECT at_s, CAST(sum(n) OVER o AS BIGINT) AS received, CAST(sum(p) OVER o
 """
 
 SQL = {
+    "eta_by_ping": ESTIMATES + "SELECT * FROM told",
     "first_zone": IN_ZONES
     + """
 SELECT DISTINCT ON (record_id) record_id, g.name AS zone_name, CAST(coalesce(g.speed_factor, 1.0) AS DOUBLE) AS speed_factor

@@ -166,3 +166,39 @@ def test_eta_known_cases():
     assert off.method == "STRAIGHT_LINE"
     assert late.ping(0, "other", line.lat[10], 4.85, "EN_ROUTE", 0).risk == "UNKNOWN"
     assert late.ping(0, "other", line.lat[10], 4.85, "RETURNING", 0).eta_s == -1
+
+
+def test_many_pings_at_once_equal_one_by_one():
+    rng = random.Random(3)
+    for _ in range(150):
+        n, plans, rows, at, rid = rng.randrange(2, 9), {}, [], 1000.0, "a"
+        lat, lon = [52 + rng.random() * 0.02 for _ in range(n)], [4.8 + rng.random() * 0.02 for _ in range(n)]
+        for name in "ab":
+            r = Route(lat if name == "a" else lat[::-1], lon if name == "a" else lon[::-1], np.array([rng.choice([0.4, 0.5, 1.0]) for _ in range(n - 1)]))
+            vertices = sorted(rng.sample(range(n), rng.randrange(1, n + 1)))
+            plans[name] = r, [Stop(v, r.lat[v], r.lon[v], rng.choice([None, 1000.0 + rng.random() * 500]), rng.choice([None, "c", "d"])) for v in vertices]
+        for _ in range(rng.randrange(1, 60)):
+            at, rid, k, f = at + rng.choice([0, 0.1, 0.2, 5, 29, 31]), rng.choice([rid] * 8 + ["a", "b", "x", None]), rng.randrange(n - 1), rng.random()
+            place = lat[k] + f * (lat[k + 1] - lat[k]) + rng.choice([0, 0, 0.005]) * rng.random(), lon[k] + f * (lon[k + 1] - lon[k])
+            rows.append((at, rid, *place, rng.choice(["EN_ROUTE"] * 5 + ["DELIVERING", "IDLE"]), rng.choice([-1, 0, 0, 1, 1, 2, 7]), rng.choice([0.0, 20.0, math.nan]), rng.choice([1.0, 0.5])))
+        one, many, want, got, k = EtaTracker(), EtaTracker(), [], [], 0
+        for r in rows:
+            if r[1] != one.route_id and r[1] in plans:
+                one.plan(r[1], *plans[r[1]])
+            e = one.ping(*r)
+            want.append((e.eta_s, e.method, e.risk, e.slack_s))
+        while k < len(rows):
+            part = rows[k : k + rng.randrange(1, 20)]
+            k += len(part)
+            columns = [np.array([r[i] for r in part], dtype=object if i in (1, 4) else np.int64 if i == 5 else float) for i in range(8)]
+            eta, method, risk, slack, _ = many.pings(*columns, plans.get)
+            got += [(int(a), b, c, None if d != d else int(d)) for a, b, c, d in zip(eta, method, risk, slack)]
+        assert got == want and many.first_prediction == one.first_prediction and many.arrivals == one.arrivals
+
+
+def test_a_ping_without_a_place_is_unknown():
+    t = EtaTracker()
+    t.plan("r", Route([52.0, 52.1], [4.0, 4.0]), [Stop(1, 52.1, 4.0, 9e9, "c")])
+    nan = np.array([math.nan])
+    eta, method, risk, _, _ = t.pings(np.array([1.0]), np.array(["r"], object), nan, nan, np.array(["EN_ROUTE"], object), np.array([0]), nan, np.array([1.0]))
+    assert (eta[0], method[0], risk[0]) == (-1, "NONE", "UNKNOWN")

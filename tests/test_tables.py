@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -224,6 +225,23 @@ def test_latency_buckets_and_vans_heard_of(spark):
     assert {r.van_id for r in health.heard_of(vans, "at", F.lit(1_000_000)).collect()} == {"x", "y"}
 
 
+def test_zones_by_cell_equal_zones_in_a_row(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        x, y, w, h = rng.uniform(4, 5), rng.uniform(52, 53), rng.choice([1e-4, 0.01, 0.3]) * rng.uniform(0.5, 2), rng.choice([1e-4, 0.01, 0.3])
+        rows.append((f"z{k}", f"n{k % 17}", "T", rng.choice([None, "0.40", "0.75"]), f"POLYGON(({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))", True))
+    raw = spark.createDataFrame(rows, "id string, name string, zone_type string, speed_factor string, geometry string, active boolean").withColumn("speed_factor", F.col("speed_factor").cast("decimal(3,2)"))
+    points = [(k, rng.uniform(3.9, 5.1), rng.uniform(51.9, 53.1)) for k in range(500)] + [(900, None, 52.0), (901, float("nan"), 52.0), (902, 200.0, 52.0), (903, 4.5, None)]
+    points += [(1000 + k, *map(float, r[4][9:].split(",")[0].split())) for k, r in enumerate(rows)]  # corners
+    df = spark.createDataFrame(points, "k long, lon double, lat double")
+    zones = active_zones(raw)
+    few = {tuple(r) for r in zone_at(df, zones, "lon", "lat").select("k", "zone_name", "speed_factor").collect()}
+    many = {tuple(r) for r in zone_at(df, zones, "lon", "lat", most_zones=5).select("k", "zone_name", "speed_factor").collect()}
+    assert few == many and sum(r[1] is not None for r in few) > 50
+    assert {r.zone_name for r in zone_at(df, zones.where("false"), "lon", "lat", most_zones=-1).collect()} == {None}
+
+
 def test_segments_are_slowed_by_the_zone_at_their_middle(spark):
     lines = spark.createDataFrame([("r", [[52.348, 4.894], [52.3505, 4.894], [52.353, 4.894], [52.356, 4.894]]), ("short", [[52.0, 4.9]])], "route_id string, waypoints array<array<double>>")
     got = {r.route_id: r.factors for r in segment_factors(lines, active_zones(first_zones(spark))).collect()}
