@@ -27,8 +27,8 @@ class Route:
     def __post_init__(self):
         self.lat, self.lon = np.asarray(self.lat, float), np.asarray(self.lon, float)
         self.cum = np.concatenate([[0.0], np.cumsum(haversine(self.lat[:-1], self.lon[:-1], self.lat[1:], self.lon[1:]))])
-        if self.factor is None:
-            self.factor = np.ones(max(1, len(self.lat) - 1))
+        given = np.ones(0) if self.factor is None else np.asarray(self.factor, float)
+        self.factor = given if len(given) else np.ones(max(1, len(self.lat) - 1))
 
     def locate(self, lat: float, lon: float, first: int, last: int) -> tuple[float, float]:
         """Offset from, and distance along, the line between two vertices; the first of equally near segments."""

@@ -51,6 +51,31 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("van_id").agg(best.alias("r")).select("van_id", "r.*")
 
 
+def live_sink(live: StoredTable, query: str) -> Sink:
+    """Released pings with estimates (``pings.estimated_pings``) to the live table of ``schemas.LIVE_VANS``: the newest state of each van."""
+    payload = "route_id string, location struct<latitude:double,longitude:double>, speed_kmh double, battery_pct int, current_stop_index int, total_stops int, zone_name string"
+
+    def run(batch: DataFrame, number: int) -> None:
+        r = batch.where("kind = 'released'").withColumn("p", F.from_json("payload", payload))
+        rows = r.select(
+            "van_id", "p.route_id", "status", F.col("p.location.latitude").alias("lat"), F.col("p.location.longitude").alias("lon"), "p.speed_kmh", "p.battery_pct",
+            F.col("p.current_stop_index").alias("current_stop"), "p.total_stops", F.col("eta_s").alias("eta_seconds"), F.col("risk").alias("sla_risk"), F.col("slack_s").alias("slack_seconds"),
+            F.col("p.zone_name").isNotNull().alias("in_zone"), "p.zone_name", F.floor(F.col("ts_us") / 1000).alias("updated_epoch_ms"), "at_us",
+        )
+        both = live.read().withColumn("at_us", F.lit(-1).cast("bigint")).unionByName(rows)
+        best = F.max_by(F.struct(*[c for c in both.columns if c not in ("van_id", "at_us")]), F.struct("updated_epoch_ms", "at_us"))
+        live.replace(both.groupBy("van_id").agg(best.alias("r")).select("van_id", "r.*"), (query, number))  # a row per van
+
+    return run
+
+
+def predictions(estimated: DataFrame) -> DataFrame:
+    """What was predicted of arrivals, for ``deliveries.first_predictions``: van_id, route_id, stop_index, at, predicted_arrival."""
+    p = F.from_json("payload", "route_id string, current_stop_index int")
+    rows = estimated.where("kind = 'released' and status = 'EN_ROUTE' and arrival_us is not null").withColumn("p", p)
+    return rows.select("van_id", "p.route_id", F.col("p.current_stop_index").alias("stop_index"), F.timestamp_micros("ts_us").alias("at"), F.timestamp_micros("arrival_us").alias("predicted_arrival"))
+
+
 def deliveries_sink(logs: StoredTable, breaches: StoredTable, query: str) -> Sink:
     """Delivery events to delivery rows and breaches; departures close rows that earlier batches opened."""
     def run(batch: DataFrame, number: int) -> None:
