@@ -60,7 +60,7 @@ def assignments(orders: DataFrame, vans: DataFrame) -> DataFrame:
 
     An order without any option has no row.
     """
-    found = options(orders, vans)
+    found = options(orders, vans).where("cost is not null")  # null: a place isn't known
     best = F.min(F.struct("cost", "arrival_s", "van_id", "k", "extra_m", "stops_made_late", "on_time"))
     return found.groupBy("order_id").agg(best.alias("b"), F.count("*").alias("options_considered")).select(
         "order_id", "b.van_id", F.col("b.k").alias("insert_before"), (F.floor(F.col("b.extra_m") / 10 + 0.5) / 100).alias("extra_km"),

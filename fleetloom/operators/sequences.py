@@ -82,7 +82,7 @@ def accepted_plans(plans: DataFrame) -> DataFrame:
         return own[["van_id", "route_id", "version", "arrival"]].assign(accepted=taken)
 
     rows = plans.where("van_id is not null and route_id is not null").select("van_id", "route_id", F.coalesce("version", F.lit(0)).alias("version"), F.col("created_s").cast("double").alias("created_s"), "arrival")
-    return by_van(rows, ["arrival"], NewestPlan, step, "van_id string, route_id string, version int, arrival bigint, accepted boolean")
+    return by_van(rows, ["arrival", "route_id", "version"], NewestPlan, step, "van_id string, route_id string, version int, arrival bigint, accepted boolean")
 
 
 def admitted_requests(requests: DataFrame, burst: float = 3, per_minute: float = 6, all_per_minute: float = 60) -> DataFrame:

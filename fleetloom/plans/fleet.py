@@ -10,10 +10,10 @@ from fleetloom.functions.time import lag_ms
 from fleetloom.operators import deliveries, dispatch, health, sequences, tables
 from fleetloom.operators.prefix import running_max
 from fleetloom.plans import views
-from fleetloom.plans.live_sql import ESTIMATES
+from fleetloom.plans.live_sql import ESTIMATES, HAVERSINE, LIVE
 from fleetloom.plans.problems import IN_ZONES
 from fleetloom.schemas import RISK
-from fleetloom.session import load, micros
+from fleetloom.session import load, micros, staged
 from fleetloom.sources.zones import parsed_zones
 
 
@@ -32,11 +32,14 @@ def bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes as plans in order of creation: which of them replaced their van's plan."""
+    """Routes as plans in order of arrival: which of them replaced their van's plan.
+
+    A route is planned when it is created, comes again as version 1 when it starts, and once more, unchanged, when it ends.
+    """
     routes = load(spark, sf_dir, "completed_routes")
-    at = micros("created_at")
-    plans = routes.select("van_id", "route_id", F.lit(0).alias("version"), (micros("planned_start") / 1e6).alias("created_s"), at.alias("arrival"))
-    return sequences.accepted_plans(plans.where("arrival is not null")).select("van_id", "route_id", "accepted")
+    sent = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), micros(c).alias("arrival")) for v, c in ((0, "created_at"), (1, "actual_start"), (1, "actual_end"))]))
+    plans = routes.select("van_id", "route_id", (micros("planned_start") / 1e6).alias("created_s"), sent.alias("p")).select("van_id", "route_id", "created_s", "p.version", "p.arrival")
+    return sequences.accepted_plans(plans.where("arrival is not null")).select("van_id", "route_id", "version", "arrival", "accepted")
 
 
 def dedup_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +179,7 @@ def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health over hourly windows of the log's counters, and by the vans that are silent; no table holds the free disk."""
     log = _gps(spark, sf_dir)
     samples = health.with_silence(health.pipeline_samples(log), log).withColumn("disk_free", F.lit(1.0))
-    return health.report(samples, 3600)
+    return health.report(samples, 3600).withColumn("problems", F.concat_ws("; ", "problems"))
 
 
 def counter_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,14 +188,11 @@ def counter_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispatch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest van and position for an order in the middle of each zone."""
-    boxes = parsed_zones(load(spark, sf_dir, "geofence_zones").select("id", "geometry")).where("polygons is not null")
+    """The cheapest van and position for an order in the middle of each active zone, of the vans under way in the live table."""
+    boxes = parsed_zones(load(spark, sf_dir, "geofence_zones").where("active").select("id", "geometry")).where("polygons is not null")
     ring = F.get(F.get("polygons", F.lit(0)), F.lit(0))
     mid = lambda c: (F.array_min(F.transform(ring, lambda p: p[c])) + F.array_max(F.transform(ring, lambda p: p[c]))) / 2
-    active = _gps(spark, sf_dir).where("van_id is not null and status in ('EN_ROUTE', 'DELIVERING') and ingestion_timestamp >= device_timestamp and location is not null")
-    last = active.groupBy("van_id").agg(F.max_by(F.struct("route_id", "status", "location", "speed_kmh", "current_stop_index", "device_timestamp"), F.struct("device_timestamp", "record_id")).alias("p"))
-    live = last.select("van_id", "p.route_id", "p.status", F.col("p.location.latitude").alias("lat"), F.col("p.location.longitude").alias("lon"), "p.speed_kmh", F.col("p.current_stop_index").alias("current_stop"),
-                       F.floor(micros("p.device_timestamp") / F.lit(1000)).alias("updated_epoch_ms"))
+    live = staged(views.live_vans(spark, sf_dir).where("status in ('EN_ROUTE', 'DELIVERING') and lat is not null and lon is not null"), "under-way")
     now = F.col("updated_epoch_ms") / 1000
     orders = boxes.select(F.col("id").alias("order_id"), mid("y").alias("lat"), mid("x").alias("lon"))
     newest = live.agg(F.max(now).alias("now_s"))
@@ -204,7 +204,7 @@ def dispatch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "van_id", "lat", "lon", serving.alias("serving"), (F.col("current_stop") + serving.cast("int")).alias("next"), (F.when(F.col("speed_kmh") > 5, F.col("speed_kmh")).otherwise(30.0) / 3.6).alias("speed_mps"),
         F.lit(0.0).alias("delay_s"), stops.alias("stops"), F.element_at("lats", -1).alias("hub_lat"), F.element_at("lons", -1).alias("hub_lon"),
     )
-    return dispatch.assignments(orders, vans)
+    return dispatch.assignments(orders, vans).withColumn("predicted_arrival_s", F.round("predicted_arrival_s", 3))
 
 
 def nation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +244,113 @@ WITH r AS (
 s AS (SELECT at_s, CAST(sum(n) OVER o AS BIGINT) AS received, CAST(sum(p) OVER o AS BIGINT) AS processed, CAST(sum(j) OVER o AS BIGINT) AS rejected FROM c WINDOW o AS (ORDER BY at_s))
 """
 
+# The sequential operators, row after row by recursion: {order} is the order of a van's rows, {start} and {step} its state.
+_STEPS = """
+WITH RECURSIVE b AS (
+  SELECT record_id, van_id, coalesce(sequence_number, 0) AS seq, epoch_us(device_timestamp) AS ts_us, epoch_us(coalesce(ingestion_timestamp, device_timestamp)) AS at_us, status
+  FROM gps_event WHERE van_id IS NOT NULL AND device_timestamp IS NOT NULL AND record_id IS NOT NULL
+), a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY van_id ORDER BY {order}) AS rn FROM b), r AS (
+  SELECT van_id, rn, record_id, seq, {start} FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.van_id, a.rn, a.record_id, a.seq, {step} FROM r JOIN a ON a.van_id = r.van_id AND a.rn = r.rn + 1
+)"""
+
+_VERDICTS = (
+    _STEPS.format(
+        order="at_us, record_id",
+        start="seq AS top, 0 AS epoch, CAST(-1 AS BIGINT) AS behind",
+        step="CASE WHEN r.top - a.seq >= 1000000 THEN a.seq ELSE greatest(r.top, a.seq) END, r.epoch + CASE WHEN r.top - a.seq >= 1000000 THEN 1 ELSE 0 END, r.top - a.seq",
+    )
+    + """, verdicts AS (
+  SELECT record_id, CASE WHEN behind >= 1000000 THEN 'reset' WHEN behind < 0 THEN 'new' WHEN behind >= 4096 THEN 'too_old'
+    WHEN row_number() OVER (PARTITION BY van_id, epoch, seq ORDER BY rn) > 1 THEN 'duplicate' ELSE 'new' END AS verdict FROM r)
+"""
+)
+
+_HEALTH = (
+    _SAMPLES
+    + """, heard AS (
+  SELECT van_id, CAST(floor(epoch_us(ingestion_timestamp) / 900e6) AS BIGINT) AS slot, max(epoch_us(ingestion_timestamp)) AS us FROM gps_event
+  WHERE ingestion_timestamp IS NOT NULL AND event_id IS NOT NULL AND van_id IS NOT NULL AND route_id IS NOT NULL AND device_timestamp IS NOT NULL AND location.latitude IS NOT NULL
+    AND location.longitude IS NOT NULL AND status IS NOT NULL GROUP BY 1, 2
+), seen AS (SELECT s.at_s, (SELECT count(DISTINCT van_id) FROM heard h WHERE h.slot * 900 <= s.at_s) AS vans,
+  (SELECT count(DISTINCT van_id) FROM heard h WHERE h.slot * 900 <= s.at_s AND s.at_s / 900 <= floor((h.us + 300000000) / 900e6) - 1) AS alive FROM s
+), d AS (
+  SELECT s.at_s, s.at_s - b.at_s AS window_s, s.received - b.received AS n, s.processed - b.processed AS p, s.rejected - b.rejected AS j, vans, vans - alive AS silent
+  FROM s JOIN seen USING (at_s) JOIN s b ON b.at_s = coalesce((SELECT max(x.at_s) FROM s x WHERE x.at_s <= s.at_s - 3600), (SELECT min(x.at_s) FROM s x WHERE x.at_s >= s.at_s - 3600))
+), e AS (SELECT *, CASE WHEN n > 0 THEN j / n ELSE 0.0 END AS bad, CASE WHEN vans > 0 THEN silent / vans ELSE 0.0 END AS still FROM d
+), f AS (
+  SELECT *, concat_ws('; ', CASE WHEN bad > 0.2 THEN printf('rejection rate %.1f%%', CAST(bad * 100 AS DOUBLE)) END, CASE WHEN n > 0 AND p = 0 THEN 'pings arrive but none is processed' END,
+    CASE WHEN n = 0 AND window_s >= 3600 THEN 'no pings arrive' END, CASE WHEN still > 0.05 THEN printf('%d of %d vans are silent', silent, vans) END) AS problems FROM e
+)
+"""
+)
+
+_DISPATCH = (
+    LIVE
+    + """, under_way AS (SELECT * FROM live_vans WHERE status IN ('EN_ROUTE', 'DELIVERING') AND lat IS NOT NULL AND lon IS NOT NULL
+), asked AS (
+  SELECT zone_id AS order_id, (min(x1) + max(x1)) / 2 AS olon, (min(y1) + max(y1)) / 2 AS olat, (SELECT max(updated_epoch_ms) / 1000 FROM under_way) AS now_s FROM e WHERE pid = 1 AND rid = 1 GROUP BY 1
+), ready AS (
+  SELECT u.van_id, u.route_id, u.lat, u.lon, u.status = 'DELIVERING' AS serving, u.current_stop + CAST(u.status = 'DELIVERING' AS INTEGER) AS nxt, CASE WHEN u.speed_kmh > 5 THEN u.speed_kmh ELSE 30.0 END / 3.6 AS mps, p.n
+  FROM under_way u JOIN plan p USING (van_id, route_id)
+), position AS (SELECT *, unnest(range(nxt, n + 1)) AS k FROM ready WHERE nxt >= 0 AND nxt <= n
+), pair AS (
+  SELECT r.*, CASE WHEN r.k = nxt AND NOT serving THEN r.lat ELSE b.lat END AS plat, CASE WHEN r.k = nxt AND NOT serving THEN r.lon ELSE b.lon END AS plon, coalesce(c.lat, b.lat) AS qlat, coalesce(c.lon, b.lon) AS qlon,
+    b.deadline AS before_s, (SELECT count(*) FROM stop2 l WHERE l.van_id = r.van_id AND l.route_id = r.route_id AND l.k >= r.k AND l.deadline IS NOT NULL) AS later
+  FROM position r LEFT JOIN stop2 b ON b.van_id = r.van_id AND b.route_id = r.route_id AND b.k = r.k - 1 LEFT JOIN stop2 c ON c.van_id = r.van_id AND c.route_id = r.route_id AND c.k = r.k
+), way AS (
+  SELECT p.*, o.*, """
+    + f"{HAVERSINE.format(lat1='plat', lon1='plon', lat2='olat', lon2='olon')} AS there, {HAVERSINE.format(lat1='olat', lon1='olon', lat2='qlat', lon2='qlon')} AS onward, {HAVERSINE.format(lat1='plat', lon1='plon', lat2='qlat', lon2='qlon')} AS direct"
+    + """ FROM pair p CROSS JOIN asked o
+), costed AS (
+  SELECT *, 1.3 * (there + onward - direct) AS extra_m,
+    CASE WHEN k = nxt AND NOT serving THEN now_s WHEN k = nxt THEN now_s + 40 ELSE greatest(now_s, before_s) + 40 END + 1.3 * there / mps AS arrival_s FROM way
+), ranked AS (
+  SELECT *, arrival_s <= now_s + 1200 AS on_time, count(*) OVER (PARTITION BY order_id) AS options_considered,
+    row_number() OVER (PARTITION BY order_id ORDER BY extra_m / 1000 + 5.0 * later + CASE WHEN arrival_s <= now_s + 1200 THEN 0.0 ELSE 5.0 END, arrival_s, van_id, k) AS place FROM costed
+)
+SELECT order_id, van_id, CAST(k AS INTEGER) AS insert_before, floor(extra_m / 10 + 0.5) / 100 AS extra_km, round(arrival_s, 3) AS predicted_arrival_s, CAST(later AS INTEGER) AS stops_made_late, on_time, options_considered
+FROM ranked WHERE place = 1"""
+)
+
 SQL = {
+    "window_dedup": _VERDICTS + "SELECT record_id, verdict FROM verdicts",
+    "dedup_counters": _VERDICTS + "SELECT verdict, count(*) AS pings, round(count(*) * 100 / (SELECT count(*) FROM verdicts), 3) AS percent FROM verdicts GROUP BY 1",
+    "archive_sample": _STEPS.format(
+        order="ts_us, seq, record_id", start="ts_us AS last, true AS kept",
+        step="CASE WHEN a.ts_us - r.last >= 30000000 OR coalesce(a.status = 'RETURNED', false) THEN a.ts_us ELSE r.last END, a.ts_us - r.last >= 30000000 OR coalesce(a.status = 'RETURNED', false)",
+    ) + "SELECT record_id, van_id FROM r WHERE kept",
+    "throttled_updates": _STEPS.format(
+        order="at_us, record_id", start="at_us AS last, status, true AS kept",
+        step="CASE WHEN a.at_us - r.last >= 60000000 OR a.status IS DISTINCT FROM r.status THEN a.at_us ELSE r.last END, CASE WHEN a.at_us - r.last >= 60000000 OR a.status IS DISTINCT FROM r.status THEN a.status ELSE r.status END,"
+        " a.at_us - r.last >= 60000000 OR a.status IS DISTINCT FROM r.status",
+    ) + "SELECT record_id, van_id FROM r WHERE kept",
+    "plan_selection": """
+WITH RECURSIVE p AS (
+  SELECT van_id, route_id, 0 AS version, epoch_us(planned_start) AS made, epoch_us(created_at) AS arrival FROM completed_routes UNION ALL
+  SELECT van_id, route_id, 1, epoch_us(planned_start), epoch_us(actual_start) FROM completed_routes UNION ALL SELECT van_id, route_id, 1, epoch_us(planned_start), epoch_us(actual_end) FROM completed_routes
+), a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY van_id ORDER BY arrival, route_id, version) AS rn FROM p WHERE van_id IS NOT NULL AND route_id IS NOT NULL AND arrival IS NOT NULL
+), r AS (
+  SELECT van_id, rn, route_id, version, arrival, true AS accepted, route_id AS held, version AS at_version, made AS since FROM a WHERE rn = 1
+  UNION ALL
+  SELECT van_id, rn, route_id, version, arrival, NOT refused, CASE WHEN refused THEN held ELSE route_id END, CASE WHEN refused THEN at_version ELSE version END, CASE WHEN refused THEN since ELSE made END FROM (
+    SELECT a.*, r.held, r.at_version, r.since, CASE WHEN a.route_id = r.held THEN a.version <= r.at_version ELSE coalesce(a.made < r.since, false) END AS refused FROM r JOIN a ON a.van_id = r.van_id AND a.rn = r.rn + 1)
+)
+SELECT van_id, route_id, version, arrival, accepted FROM r""",
+    "lag_histogram": """
+WITH m AS (
+  SELECT status, greatest(0, floor((epoch_us(ingestion_timestamp) - epoch_us(device_timestamp)) / 1000.0)) AS ms FROM gps_event
+  WHERE status IS NOT NULL AND device_timestamp IS NOT NULL AND ingestion_timestamp IS NOT NULL
+), b AS (SELECT status, CAST(le AS DOUBLE) AS le, count(*) FILTER (ms <= le) AS n, count(*) AS whole FROM m CROSS JOIN (VALUES (100), (250), (500), (1000), (5000), (60000), (3600000)) AS v(le) GROUP BY 1, 2),
+c AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0.0) AS low, whole * 0.95 AS need FROM b WINDOW w AS (PARTITION BY status ORDER BY le)),
+q AS (SELECT status, max(low + (le - low) * (need - below) / (n - below)) AS v FROM c WHERE n >= need AND below < need GROUP BY 1)
+SELECT c.status, c.le, c.n, round(coalesce(q.v, 3600000.0), 3) AS p95_ms FROM c LEFT JOIN q USING (status)""",
+    "pipeline_health": _HEALTH
+    + """
+SELECT at_s, CASE WHEN problems <> '' THEN 'DEGRADED' WHEN window_s < 1800 THEN 'WARMING_UP' ELSE 'OK' END AS status, window_s, floor(bad * 100 * 10 + 0.5) / 10 AS rejected_pct,
+  floor(CASE WHEN window_s > 0 THEN n / window_s ELSE 0.0 END * 10 + 0.5) / 10 AS received_per_s, problems FROM f""",
+    "dispatch_orders": _DISPATCH,
     "eta_by_ping": ESTIMATES + "SELECT * FROM told",
     "first_zone": IN_ZONES
     + """
