@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions.geo import haversine_m
 from fleetloom.operators.grouped import whole_groups
+from fleetloom.operators.state.eta import haversine
 from fleetloom.session import micros
 
 METRES_PER_DEGREE = 111_195.0
 FRAGMENT = (
     "van_id string, is_stop boolean, joined boolean, t0 double, t1 double, pings bigint, dist_m double, "
-    "lat double, lon double, lat0 double, lon0 double, lat1 double, lon1 double"
+    "lat double, lon double, lat0 double, lon0 double, lat1 double, lon1 double, lead_m double"
 )
 
 
@@ -40,6 +41,7 @@ class StopRules:
     merge_gap_s: float = 180.0
     clock_ahead_s: float = 120.0  # a ping can't arrive before it was taken
     clock_behind_s: float = 7 * 86_400.0  # older than this on arrival: a wrong clock, not a delay
+    fastest_mps: float = 36.0  # a stray that needs more to be reached and left isn't part of the way
     span_s: int = 6 * 3600
     margin_s: int = 2400
 
@@ -48,7 +50,7 @@ def usable_pings(log: DataFrame, rules: StopRules = StopRules()) -> DataFrame:
     """One ping for each van and device time: van_id, us, lat, lon.
 
     Left out are pings without van, device time or a position on the globe, and those whose
-    clock can't be right. Copies of a ping count once (the first that arrived).
+    clock can't be right (``left_out`` counts them). Copies of a ping count once (the first that arrived).
     """
     at, arrived = micros("device_timestamp"), micros("ingestion_timestamp")
     lag = arrived - at
@@ -62,6 +64,18 @@ def usable_pings(log: DataFrame, rules: StopRules = StopRules()) -> DataFrame:
     )
 
 
+def left_out(log: DataFrame, rules: StopRules = StopRules()) -> DataFrame:
+    """How many pings ``usable_pings`` doesn't use, by the first reason that applies: reason, pings."""
+    at, arrived = micros("device_timestamp"), micros("ingestion_timestamp")
+    lat, lon = F.col("location.latitude"), F.col("location.longitude")
+    reason = (
+        F.when(F.col("van_id").isNull(), "no van").when(at.isNull(), "no device time")
+        .when(~F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False)), "no place on the globe")
+        .when(arrived - at < int(-rules.clock_ahead_s * 1e6), "clock ahead").when(arrived - at > int(rules.clock_behind_s * 1e6), "clock behind")
+    )
+    return log.groupBy(reason.alias("reason")).agg(F.count("*").alias("pings")).where("reason is not null")
+
+
 def _runs(change: np.ndarray) -> np.ndarray:
     """Starts of runs, given where a row differs from the one before."""
     return np.flatnonzero(np.concatenate([[True], change]))
@@ -111,6 +125,15 @@ def fragments(pings: pd.DataFrame, rules: StopRules) -> pd.DataFrame:
     group = np.repeat(np.arange(len(starts)), sizes)
     seg = np.concatenate([[0], np.cumsum(group_change | (np.diff(t) > rules.silence_s))])
     good = ~_strays(x, y, seg, rules.radius_m)
+    # the way also leads over strays that could have been driven to: at a turn the median cuts the corner
+    first = np.concatenate([[True], seg[1:] != seg[:-1]])
+    step = np.concatenate([[0.0], haversine(lat[:-1], lon[:-1], lat[1:], lon[1:])])
+    pace = np.where(first, np.inf, step / np.maximum(np.diff(t, prepend=t[:1] - 1), 1e-6))
+    on_way = np.flatnonzero(good | ((pace <= rules.fastest_mps) & (np.append(pace[1:], np.inf) <= rules.fastest_mps)))
+    leg = haversine(lat[on_way[:-1]], lon[on_way[:-1]], lat[on_way[1:]], lon[on_way[1:]])
+    way = np.zeros(len(t))
+    way[on_way] = np.concatenate([[0.0], np.cumsum(leg)]) if len(on_way) else []
+    way = way[good]
     t, x, y, lat, lon, group, span, van = (v[good] for v in (t, x, y, lat, lon, group, span, van))
     if not len(t):
         return pd.DataFrame(columns=[c.split()[0] for c in FRAGMENT.split(", ")])
@@ -150,12 +173,14 @@ def fragments(pings: pd.DataFrame, rules: StopRules) -> pd.DataFrame:
     starts, ends = starts[kept], ends[kept]
     count = ends - starts + 1
     total = lambda v: np.add.reduceat(np.append(v, 0.0), np.ravel(np.column_stack([starts, ends + 1])))[::2] if len(starts) else np.zeros(0)
+    before = np.maximum(starts - 1, 0)
+    lead = np.where((starts > 0) & (seg[before] == seg[starts]), way[starts] - way[before], np.nan)
     joined = (starts > 0) & inside[np.maximum(starts - 1, 0)] & (seg[np.maximum(starts - 1, 0)] == seg[starts])
     return pd.DataFrame(
         {
             "van_id": van[starts], "is_stop": in_stop[starts], "joined": joined, "t0": t[starts], "t1": t[ends], "pings": count,
-            "dist_m": path[ends] - path[starts], "lat": total(lat) / np.maximum(count, 1), "lon": total(lon) / np.maximum(count, 1),
-            "lat0": lat[starts], "lon0": lon[starts], "lat1": lat[ends], "lon1": lon[ends],
+            "dist_m": way[ends] - way[starts], "lat": total(lat) / np.maximum(count, 1), "lon": total(lon) / np.maximum(count, 1),
+            "lat0": lat[starts], "lon0": lon[starts], "lat1": lat[ends], "lon1": lon[ends], "lead_m": lead,
         }
     )
 
@@ -210,14 +235,14 @@ def stops(log: DataFrame, rules: StopRules = StopRules()) -> DataFrame:
 def trips(log: DataFrame, rules: StopRules = StopRules()) -> DataFrame:
     """Movement between neighbouring stops: van_id, trip_no, start_s, end_s, duration_s, distance_m, pings.
 
-    Trip k leads from the end of stop k to the start of stop k + 1. Silences are bridged by a
-    straight line. Movement before the first and after the last stop is no trip.
+    Trip k leads from the end of stop k to the start of stop k + 1. The distance is along the pings, strays that can't have been
+    driven to left out; silences are bridged by a straight line. ``pings`` counts those that aren't strays. Movement before the first and after the last stop is no trip.
     """
     order = Window.partitionBy("van_id").orderBy("t0", "t1")
     pieces = _ordered(usable_pings(log, rules), rules)
     before = F.lag(F.struct("stop", "lat1", "lon1")).over(order)
     pieces = pieces.withColumn("before", before)
-    bridge = F.coalesce(haversine_m(F.col("before.lat1"), F.col("before.lon1"), F.col("lat0"), F.col("lon0")), F.lit(0.0))
+    bridge = F.coalesce(F.nanvl("lead_m", F.lit(None)), haversine_m(F.col("before.lat1"), F.col("before.lon1"), F.col("lat0"), F.col("lon0")), F.lit(0.0))
     opens = F.col("stop").isNotNull() & ~F.col("before.stop").eqNullSafe(F.col("stop"))
     moved = (
         pieces.select(

@@ -43,12 +43,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops with start, end, duration and place."""
-    return stops.stops(load(spark, sf_dir, "gps_event"))
+    found = stops.stops(load(spark, sf_dir, "gps_event")).withColumns({c: F.round(c, 3) for c in ("start_s", "end_s", "duration_s")})
+    return found.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("lat", "lon")})  # means of few pings often lie half-way
 
 
 def p3_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips between stops with start, end, duration and distance."""
-    return stops.trips(load(spark, sf_dir, "gps_event"))
+    return stops.trips(load(spark, sf_dir, "gps_event")).withColumns({c: F.round(c, n) for c, n in (("start_s", 3), ("end_s", 3), ("duration_s", 3), ("distance_m", 2))})
+
+
+def p3_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings that stops and trips don't use, by reason."""
+    return stops.left_out(load(spark, sf_dir, "gps_event"))
 
 
 def _breach_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +128,7 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_periods, p2_found, p2_ranges, p3_found, p3_stops, p3_trips, p4_found, p4_percentiles, p4_counts_by_day,
+        p1_found, p1_periods, p2_found, p2_ranges, p3_found, p3_stops, p3_trips, p3_left_out, p4_found, p4_percentiles, p4_counts_by_day,
         p5_found, p5_near, p6_found, p6_periods,
     )
 }
@@ -198,7 +204,66 @@ h AS (SELECT record_id, zone_id, pid, rid, count(*) FILTER ((y1 > y) <> (y2 > y)
 inside AS (SELECT DISTINCT record_id, zone_id FROM (SELECT record_id, zone_id, pid FROM h GROUP BY 1, 2, 3 HAVING bool_or(odd AND rid = 1) AND NOT bool_or(odd AND rid > 1)))
 """
 
+_HOW_FAR = "2 * 6371000.0 * asin(sqrt(least(1.0, sin(radians({b}lat - {a}lat) / 2) ** 2 + cos(radians({a}lat)) * cos(radians({b}lat)) * sin(radians({b}lon - {a}lon) / 2) ** 2)))"
+_LAG = "epoch_us(ingestion_timestamp) - epoch_us(device_timestamp)"
+
+# Stops by windows, in spans of six hours with margins: strays out, each ping's window of five minutes, still windows, the steps they
+# cover, chains of steps over all spans (a step belongs to the span of its later ping), chains of chains.
+_STEP = _HOW_FAR.format(a="a", b="")
+_STOPS = f"""
+WITH u0 AS (
+  SELECT DISTINCT ON (van_id, device_timestamp) van_id, epoch_us(device_timestamp) / 1e6 AS t, location.latitude AS lat, location.longitude AS lon FROM gps_event
+  WHERE van_id IS NOT NULL AND device_timestamp IS NOT NULL AND location.latitude BETWEEN -90 AND 90 AND location.longitude BETWEEN -180 AND 180
+    AND (ingestion_timestamp IS NULL OR {_LAG} BETWEEN -120000000 AND 604800000000) ORDER BY van_id, device_timestamp, ingestion_timestamp NULLS LAST, location.latitude, location.longitude
+), u AS (SELECT *, unnest(list_distinct([floor((t - 2400) / 21600), floor(t / 21600), floor((t + 2400) / 21600)])) AS span FROM u0
+), s0 AS (
+  SELECT *, lon * 111195.0 * cos(radians(median(lat) OVER (PARTITION BY van_id, span))) AS x, lat * 111195.0 AS y, t - lag(t) OVER w > 1200 AS apart, lag(t) OVER w AS t0, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon
+  FROM u WINDOW w AS (PARTITION BY van_id, span ORDER BY t)
+), s1 AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY van_id, span ORDER BY t) AS seg, CASE WHEN apart OR t0 IS NULL THEN 'inf'::DOUBLE ELSE {_STEP} / greatest(t - t0, 1e-6) END AS pace FROM s0
+), s2 AS MATERIALIZED (
+  SELECT *, count(*) OVER w >= 3 AND sqrt((x - median(x) OVER w) ** 2 + (y - median(y) OVER w) ** 2) > 60 AS stray, lead(pace) OVER (PARTITION BY van_id, span ORDER BY t) AS next_pace
+  FROM s1 WINDOW w AS (PARTITION BY van_id, span, seg ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+), way0 AS (
+  SELECT van_id, span, t, lat, lon, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon FROM s2 WHERE NOT stray OR (pace <= 36 AND next_pace <= 36) WINDOW w AS (PARTITION BY van_id, span ORDER BY t)
+), way AS MATERIALIZED (SELECT van_id, span, t, sum(coalesce({_STEP}, 0)) OVER (PARTITION BY van_id, span ORDER BY t) AS cum FROM way0
+), g0 AS (SELECT van_id, span, t, lat, lon, x, y, lag(t) OVER w AS t0, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM s2 WHERE NOT stray WINDOW w AS (PARTITION BY van_id, span ORDER BY t)
+), g AS MATERIALIZED (
+  SELECT g0.van_id, g0.span, g0.t, lat, lon, x, y, t0, cum, cum - lag(cum) OVER w AS m, row_number() OVER w AS n, sum(CASE WHEN g0.t - t0 > 1200 THEN 1 ELSE 0 END) OVER w AS seg,
+         sum(CASE WHEN t0 IS NULL OR g0.t - t0 > 1200 THEN 0 ELSE sqrt((x - x0) ** 2 + (y - y0) ** 2) END) OVER w AS path
+  FROM g0 JOIN way ON way.van_id = g0.van_id AND way.span = g0.span AND way.t = g0.t WINDOW w AS (PARTITION BY g0.van_id, g0.span ORDER BY g0.t)
+), w0 AS (
+  SELECT a.van_id, a.span, a.n AS i, b.n AS j, b.path - a.path AS travelled, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS net
+  FROM (SELECT *, t + 300 - 1e-6 AS due FROM g) a ASOF JOIN g b ON a.van_id = b.van_id AND a.span = b.span AND a.seg = b.seg AND a.due <= b.t
+), w AS (
+  SELECT w0.van_id, w0.span, i, j, any_value(travelled) AS travelled, any_value(net) AS net, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 2 AS reach
+  FROM w0 JOIN g ON g.van_id = w0.van_id AND g.span = w0.span AND g.n BETWEEN i AND j GROUP BY 1, 2, 3, 4
+), steps AS (SELECT DISTINCT van_id, span, unnest(range(i, j)) + 1 AS n FROM w WHERE (net <= 0.6 * travelled OR travelled <= 60) AND reach <= 60
+), core AS MATERIALIZED (SELECT *, row_number() OVER w AS k, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon FROM g WHERE floor(t / 21600) = span WINDOW w AS (PARTITION BY van_id ORDER BY t)
+), runs AS (SELECT s.van_id, c.k, c.k - row_number() OVER (PARTITION BY s.van_id ORDER BY c.k) AS run FROM steps s JOIN core c ON c.van_id = s.van_id AND c.span = s.span AND c.n = s.n
+), pieces AS (SELECT van_id, min(k) - 1 AS a, max(k) AS b FROM runs GROUP BY van_id, run
+), long AS (
+  SELECT p.van_id, a, b, min(t) AS t0, max(t) AS t1, count(*) AS pings, avg(lat) AS lat, avg(lon) AS lon FROM pieces p JOIN core c ON c.van_id = p.van_id AND c.k BETWEEN a AND b GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND max(t) - min(t) >= 300
+), linked AS (SELECT *, lag(t1) OVER w AS before, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon FROM long WINDOW w AS (PARTITION BY van_id ORDER BY t0)
+), numbered AS (SELECT *, sum(CASE WHEN t0 - before <= 180 AND {_STEP} <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY van_id ORDER BY t0) AS stop_no FROM linked
+), stop AS MATERIALIZED (
+  SELECT van_id, CAST(stop_no AS BIGINT) AS stop_no, min(t0) AS start_s, max(t1) AS end_s, CAST(sum(pings) AS BIGINT) AS pings, sum(lat * pings) / sum(pings) AS lat, sum(lon * pings) / sum(pings) AS lon, min(a) AS a, max(b) AS b FROM numbered GROUP BY 1, 2
+)
+"""
+
 SQL = {
+    "p3_found": _STOPS + "SELECT van_id, CAST(floor((start_s + end_s) / 2 / 600) AS BIGINT) AS mid_slot FROM stop",
+    "p3_stops": _STOPS
+    + "SELECT van_id, stop_no, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s, round(end_s - start_s, 3) AS duration_s, pings, round(lat + 1e-10, 6) AS lat, round(lon + 1e-10, 6) AS lon FROM stop",
+    "p3_trips": _STOPS
+    + f"""
+, leg AS (SELECT van_id, k, CASE WHEN t - t0 <= 1200 THEN m ELSE {_STEP} END AS m FROM core),
+trip AS (SELECT van_id, stop_no AS trip_no, end_s AS start_s, b AS a, lead(start_s) OVER w AS end_s, lead(a) OVER w AS b FROM stop WINDOW w AS (PARTITION BY van_id ORDER BY stop_no))
+SELECT t.van_id, trip_no, round(start_s, 3) AS start_s, round(any_value(end_s), 3) AS end_s, round(any_value(end_s) - start_s, 3) AS duration_s, round(sum(m), 2) AS distance_m, count(*) - 1 AS pings
+FROM trip t JOIN leg l ON l.van_id = t.van_id AND l.k > t.a AND l.k <= t.b WHERE end_s IS NOT NULL GROUP BY t.van_id, trip_no, start_s""",
+    "p3_left_out": f"""
+SELECT CASE WHEN van_id IS NULL THEN 'no van' WHEN device_timestamp IS NULL THEN 'no device time'
+  WHEN NOT coalesce(location.latitude BETWEEN -90 AND 90 AND location.longitude BETWEEN -180 AND 180, false) THEN 'no place on the globe'
+  WHEN {_LAG} < -120000000 THEN 'clock ahead' WHEN {_LAG} > 604800000000 THEN 'clock behind' END AS reason, count(*) AS pings FROM gps_event GROUP BY 1 HAVING reason IS NOT NULL""",
     "p1_found": _ARRIVED
     + """
 SELECT DISTINCT van_id, period_start, CASE WHEN late_us > 7200000000 THEN 'cut' ELSE 'corrected' END AS outcome

@@ -59,7 +59,7 @@ def test_silent_vans_degrade_health(spark, tmp_path):
     rows += [row("v0", 4000, None), row("late", 4600)]  # an invalid ping is no sign of life; a new van is heard of, then silent
     spark.createDataFrame(rows, PING).write.parquet(f"{tmp_path}/gps_event.parquet")
     got = [r for r in fleet.pipeline_health(spark, str(tmp_path)).orderBy("at_s").collect()]
-    assert [r.problems for r in got] == [[], [], [], ["1 of 10 vans are silent"], ["1 of 10 vans are silent"], ["2 of 11 vans are silent"]]
+    assert [r.problems for r in got] == ["", "", "", "1 of 10 vans are silent", "1 of 10 vans are silent", "2 of 11 vans are silent"]
     assert [r.status for r in got[2:]] == ["OK", "DEGRADED", "DEGRADED", "DEGRADED"]
     log = spark.read.parquet(f"{tmp_path}/gps_event.parquet")
     short = health.with_silence(health.pipeline_samples(log, 60), log, 60, 300).where("vans > 0").orderBy("at_s").collect()
