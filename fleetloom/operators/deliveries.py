@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.operators.percentiles import exact_percentiles
 from fleetloom.functions.time import clamp_int, floor_seconds, severity
 from fleetloom.schemas import DELIVERY_EVENT_TYPE
 
@@ -74,4 +75,4 @@ def prediction_errors(breaches: DataFrame) -> DataFrame:
 
     off = F.abs(micros("actual_arrival") - micros("predicted_arrival")) / 1e6
     rows = breaches.where("actual_arrival is not null and predicted_arrival is not null").select("severity", off.alias("off_s"))
-    return rows.groupBy("severity").agg(F.count("*").alias("n"), F.percentile("off_s", 0.5).alias("p50_s"), F.percentile("off_s", 0.9).alias("p90_s"))
+    return exact_percentiles(rows, "severity", "off_s", {"p50_s": 0.5, "p90_s": 0.9})

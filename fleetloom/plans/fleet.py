@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions.geo import bearing_deg, haversine_km
 from fleetloom.functions.time import lag_ms
 from fleetloom.operators import deliveries, dispatch, health, sequences, tables
+from fleetloom.operators.percentiles import exact_percentiles
 from fleetloom.operators.prefix import running_max
 from fleetloom.plans import views
 from fleetloom.plans.live_sql import ESTIMATES, HAVERSINE, LIVE
@@ -106,7 +107,8 @@ def ingest_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of the ingest lag in milliseconds by status."""
     rows = _gps(spark, sf_dir).where("device_timestamp is not null and ingestion_timestamp is not null")
     lag = rows.select("status", lag_ms(F.col("device_timestamp"), F.col("ingestion_timestamp")).alias("ms"))
-    return lag.groupBy("status").agg(F.count("*").alias("pings"), *[F.round(F.percentile("ms", q), 3).alias(f"p{int(q * 100)}_ms") for q in (0.5, 0.95, 0.99)])
+    found = exact_percentiles(lag, "status", "ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}).withColumnRenamed("n", "pings")
+    return found.withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms", "p99_ms")})
 
 
 def lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +172,10 @@ def retained_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.retained(rows, "detected_at", cutoff).select("id", "van_id", "breach_seconds")
 
 
-def routes_without_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes that no delivery row refers to."""
-    return load(spark, sf_dir, "completed_routes").join(load(spark, sf_dir, "delivery_logs"), "route_id", "left_anti").select("route_id", "van_id")
+def routes_without_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes that no failed delivery refers to."""
+    failed = load(spark, sf_dir, "delivery_logs").where("delivery_status = 'FAILED'")
+    return load(spark, sf_dir, "completed_routes").join(failed, "route_id", "left_anti").select("route_id", "van_id")
 
 
 def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_dedup, bloom_dedup, plan_selection, dedup_counters, dedup_events, late_pings, archive_sample, throttled_updates, sampled_updates, eta_by_ping, first_zone, vans_by_risk, ingest_lag, lag_histogram, eta_errors, track_lengths, route_counters,
-        finished_routes, newest_routes, leg_geometry, zones_by_type, retained_breaches, routes_without_deliveries, pipeline_health, counter_growth, dispatch_orders, nation_ranking,
+        finished_routes, newest_routes, leg_geometry, zones_by_type, retained_breaches, routes_without_failures, pipeline_health, counter_growth, dispatch_orders, nation_ranking,
     )
 }
 
@@ -410,7 +413,7 @@ SELECT route_id, stop_index, round({_HAVERSINE.format(a="a", b="b")} / 1000, 6)
 FROM l WHERE b IS NOT NULL""",
     "zones_by_type": "SELECT zone_type, string_agg(name, ',' ORDER BY name) AS names FROM geofence_zones WHERE active GROUP BY 1",
     "retained_breaches": "SELECT id, van_id, breach_seconds FROM sla_breaches WHERE detected_at IS NULL OR detected_at >= (SELECT max(detected_at) FROM sla_breaches) - INTERVAL 7 DAY",
-    "routes_without_deliveries": "SELECT route_id, van_id FROM completed_routes r WHERE NOT EXISTS (SELECT 1 FROM delivery_logs l WHERE l.route_id = r.route_id)",
+    "routes_without_failures": "SELECT route_id, van_id FROM completed_routes r WHERE NOT EXISTS (SELECT 1 FROM delivery_logs l WHERE l.route_id = r.route_id AND l.delivery_status = 'FAILED')",
     "counter_growth": _SAMPLES
     + """
 SELECT s.at_s, s.at_s - b.at_s AS window_s, s.received - b.received AS d_received, s.processed - b.processed AS d_processed, s.rejected - b.rejected AS d_rejected
