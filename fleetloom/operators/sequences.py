@@ -145,10 +145,10 @@ def sampled(log: DataFrame, every_s: int = 60) -> DataFrame:
     return arrivals(log).groupBy("van_id", slot.alias("slot_s")).agg(F.max_by("record_id", F.struct("at_us", "record_id")).alias("record_id"))
 
 
-def plan_of_row(r) -> tuple[Route, list[Stop]]:
-    """A plan out of a row with lats, lons, factors, vertices, deadlines and customers."""
+def plan_of_row(r) -> tuple[Route, list[Stop], float, float]:
+    """A plan out of a row with lats, lons, factors, vertices, deadlines and customers, perhaps base_speed_kmh and time_scale."""
     stops = [Stop(int(v), float(r.lats[int(v)]), float(r.lons[int(v)]), None if d is None or d != d else float(d), c) for v, d, c in zip(r.vertices, r.deadlines, r.customers)]
-    return Route(r.lats, r.lons, r.factors), stops
+    return Route(r.lats, r.lons, r.factors), stops, getattr(r, "base_speed_kmh", None) or 36.0, getattr(r, "time_scale", None) or 1.0
 
 
 def estimates(pings: DataFrame, plans: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ class StoredTable:
             return False  # this micro-batch is in already
         folder = f"data-{uuid.uuid4().hex}"
         types = self.spark.createDataFrame([], self.schema).schema
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types]).write.parquet(f"{self.path}/{folder}")
+        df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in types]).write.parquet(f"{self.path}/{folder}")
         batches = entry["batches"] | ({batch[0]: batch[1]} if batch else {})
         entry = {"folders": [*(entry["folders"] if keep else []), folder], "batches": batches}
         create_file(self.spark, f"{self.path}/_log/{version + 1:020d}.json", json.dumps(entry))
@@ -85,6 +85,37 @@ class StoredTable:
         return len(gone)
 
 
+class KeyedTable:
+    """A table with one row for each key. A change appends the new row; readers see the newest of each key, ``compact`` keeps only these.
+
+    A batch of changes costs as much as it touches, not as the table holds. Rows with a null key are left out.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
+        self.table, self.key = StoredTable(spark, path, f"{schema}, _version bigint"), key
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        names = [c for c in rows.columns if c not in (self.key, "_version")]
+        best = F.max_by(F.struct(*names), "_version")
+        return rows.groupBy(self.key).agg(best.alias("_r")).select(*[F.col(c) if c == self.key else F.col(f"_r.{c}").alias(c) for c in rows.columns if c != "_version"])
+
+    def read(self) -> DataFrame:
+        return self._newest(self.table.read())
+
+    def held(self, keys: DataFrame) -> DataFrame:
+        """The rows of some keys; ``keys`` has the key column."""
+        return self._newest(self.table.read().join(keys.select(self.key).distinct(), self.key, "left_semi"))
+
+    def put(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Rows of new keys and changed rows, whole; one row for each key."""
+        version = self.table._entry()[0] + 1
+        columns = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in self.read().columns]
+        return self.table.append(rows.where(F.col(self.key).isNotNull()).select(*columns, F.lit(version).cast("bigint").alias("_version")), batch)
+
+    def compact(self) -> None:
+        self.table.replace(self.read().withColumn("_version", F.lit(0).cast("bigint")))
+
+
 # The zones that a new installation starts with: name, type, west, south, east, north, factor.
 FIRST_ZONES = (
     ("Vondelpark Construction", "CONSTRUCTION", 4.8650, 52.3580, 4.8750, 52.3620, "0.40"),

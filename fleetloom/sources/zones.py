@@ -34,7 +34,7 @@ def active_zones(zones: DataFrame) -> DataFrame:
 
 
 def zone_at(points: DataFrame, zones: DataFrame, lon: str, lat: str, most_zones: int = 2000) -> DataFrame:
-    """``points`` with zone_name and speed_factor of the first zone by name that holds them; null and 1 outside all.
+    """``points`` with zone_id, zone_name and speed_factor of the first zone by name that holds them; null and 1 outside all.
 
     Up to ``most_zones`` zones travel with the plan as one literal-like row. More are met by cells of their own size, each place once;
     the result is the same. A place that is null or not a number is in no zone.
@@ -45,7 +45,7 @@ def zone_at(points: DataFrame, zones: DataFrame, lon: str, lat: str, most_zones:
     listed = sized.agg(F.array_sort(F.collect_list(F.struct("name", "id", "factor", "polygons"))).alias("_zones"))
     joined = points.join(F.broadcast(listed))
     hit = F.get(F.filter("_zones", lambda z: in_zone(z["polygons"], F.col(lon), F.col(lat))), F.lit(0))
-    return joined.withColumn("_hit", hit).withColumn("zone_name", F.col("_hit.name")).withColumn("speed_factor", F.coalesce("_hit.factor", F.lit(1.0))).drop("_hit", "_zones")
+    return joined.withColumn("_hit", hit).withColumn("zone_id", F.col("_hit.id")).withColumn("zone_name", F.col("_hit.name")).withColumn("speed_factor", F.coalesce("_hit.factor", F.lit(1.0))).drop("_hit", "_zones")
 
 
 def _zone_by_cell(points: DataFrame, zones: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -66,7 +66,7 @@ def _zone_by_cell(points: DataFrame, zones: DataFrame, lon: str, lat: str) -> Da
     held = asked.join(cells, ["_level", "_cx", "_cy"]).where(in_zone(F.col("polygons"), F.col("_x"), F.col("_y")))
     first = held.groupBy("_x", "_y").agg(F.min(F.struct("name", "id", "factor")).alias("_hit"))
     joined = points.join(first, (points[lon] == first["_x"]) & (points[lat] == first["_y"]), "left").drop("_x", "_y")
-    return joined.withColumn("zone_name", F.col("_hit.name")).withColumn("speed_factor", F.coalesce("_hit.factor", F.lit(1.0))).drop("_hit")
+    return joined.withColumn("zone_id", F.col("_hit.id")).withColumn("zone_name", F.col("_hit.name")).withColumn("speed_factor", F.coalesce("_hit.factor", F.lit(1.0))).drop("_hit")
 
 
 def segment_factors(routes: DataFrame, zones: DataFrame, id: str = "route_id", line: str = "waypoints") -> DataFrame:

@@ -171,7 +171,7 @@ def keyed_pings(records: DataFrame, zones: DataFrame | None = None) -> DataFrame
 def keyed_plans(plans: DataFrame) -> DataFrame:
     """Plans (as ``sequences.estimates`` takes them, with version and created_us) as rows that the processor takes beside the pings."""
     plans = plans if "factors" in plans.columns else plans.withColumn("factors", F.lit(None).cast("array<double>"))
-    held = F.struct("route_id", "version", "lats", "lons", "factors", "vertices", "deadlines", "customers")
+    held = F.struct("route_id", "version", "lats", "lons", "factors", "vertices", "deadlines", "customers", *[c for c in ("base_speed_kmh", "time_scale") if c in plans.columns])
     return plans.select("van_id", F.col("version").cast("bigint").alias("seq"), F.col("created_us").alias("ts_us"), F.col("created_us").alias("at_us"), F.lit(PLAN).alias("status"), F.to_json(held).alias("payload"))
 
 
