@@ -170,8 +170,8 @@ def near_counts(points: DataFrame, *, point_id: str, x: str, y: str, metres: flo
 
     ``x`` is longitude, ``y`` latitude. Points at one place are worked on as one, so that copies are
     counted, not paired. Points with a null id or coordinate, or off the globe, have no
-    row and aren't counted. Distances are great-circle; pairs across the 180th meridian
-    aren't looked for.
+    row and aren't counted. Distances are great-circle, over the 180th meridian and the poles too. Whole
+    branches of a tree that lie within the distance are counted by their sums, so a dense spot isn't all pairs.
     """
     px, py = F.col(x), F.col(y)
     pts = points.where(F.col(point_id).isNotNull() & _on_globe(px, py)).select(F.col(point_id).alias("pid"), px.cast("double").alias("x"), py.cast("double").alias("y"))
@@ -184,31 +184,17 @@ def near_counts(points: DataFrame, *, point_id: str, x: str, y: str, metres: flo
         for f in frames:
             if f.empty:
                 continue
-            boxes = _reach(f["x"].to_numpy(), f["y"].to_numpy(), metres)
-            home = own.leaf(f["x"].to_numpy(), f["y"].to_numpy())
-            inner = own.boxes[home]
-            alone = (inner[:, 0] < boxes[:, 0]) & (boxes[:, 2] < inner[:, 2]) & (inner[:, 1] < boxes[:, 1]) & (boxes[:, 3] < inner[:, 3])
-            reach = [[h] if a else own.overlaps(b) for h, a, b in zip(home, alone, boxes)]
-            row = np.repeat(np.arange(len(f)), [len(r) for r in reach])
-            leaf = np.concatenate([np.asarray(r) for r in reach]).astype(int)
+            row, leaf = _leaves_in_reach(own, f["x"].to_numpy(), f["y"].to_numpy(), metres)
             ways_of = ways[leaf]
-            salt = np.concatenate([np.arange(w) for w in ways_of]) if len(ways_of) else ways_of
+            salt = np.arange(ways_of.sum()) - np.repeat(np.cumsum(ways_of) - ways_of, ways_of)
             row, leaf = np.repeat(row, ways_of), np.repeat(leaf, ways_of)
             yield f.iloc[row].assign(leaf=leaf, salt=salt)
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        ax, ay, qx, qy, qn = (v.to_numpy() for v in (p["x"], p["y"], q["x"], q["y"], q["n"]))
-        near, nearest = np.zeros(len(p), np.int64), np.full(len(p), np.inf)
-        boxes = BoxTree(_reach(qx, qy, metres))
-        for a in range(0, len(p), 2000):  # candidates of a block of points at a time
-            i, j = boxes.probe(ax[a : a + 2000], ay[a : a + 2000])
-            i = i + a
-            d = _haversine(ay[i], ax[i], qy[j], qx[j])
-            ok = d <= metres
-            i, j, d = i[ok], j[ok], d[ok]
-            np.add.at(near, i, qn[j])
-            other = d > 0
-            np.minimum.at(nearest, i[other], d[other])
+        ax, ay = p["x"].to_numpy(), p["y"].to_numpy()
+        if q.empty or p.empty:
+            return pd.DataFrame({"x": ax, "y": ay, "all_near": np.zeros(len(p), np.int64), "apart_m": None})
+        near, nearest = CountTree(q["x"].to_numpy(), q["y"].to_numpy(), q["n"].to_numpy()).around(ax, ay, metres)
         return pd.DataFrame({"x": ax, "y": ay, "all_near": near, "apart_m": np.where(np.isinf(nearest), None, nearest)})
 
     asked = _owned(places.select("x", "y"), shipped, "x double, y double").groupBy("leaf", "salt")
@@ -222,6 +208,119 @@ def near_counts(points: DataFrame, *, point_id: str, x: str, y: str, metres: flo
     )
 
 
+def _leaves_in_reach(tree: QuadTree, x: np.ndarray, y: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each point with every leaf that has a place within the distance of it: (point, leaf), each pair once."""
+    boxes, home = _reach(x, y, metres), tree.leaf(x, y)
+    inner = tree.boxes[home]
+    alone = (inner[:, 0] < boxes[:, 0]) & (boxes[:, 2] < inner[:, 2]) & (inner[:, 1] < boxes[:, 1]) & (boxes[:, 3] < inner[:, 3])
+    points, leaves = [np.flatnonzero(alone)], [home[alone]]
+    rim, step = np.flatnonzero(~alone), max(1, 2_000_000 // len(tree.boxes))
+    for a in range(0, len(rim), step):
+        own = rim[a : a + step]
+        b, t = boxes[own][:, None, :], tree.boxes[None, :, :]
+        up = (t[..., 1] <= b[..., 3]) & (b[..., 1] <= t[..., 3])
+        across = np.zeros(up.shape, bool)
+        for turn in (-360.0, 0.0, 360.0):
+            across |= (t[..., 0] <= b[..., 2] + turn) & (b[..., 0] + turn <= t[..., 2])
+        i, leaf = np.nonzero(up & across)
+        points.append(own[i])
+        leaves.append(leaf)
+    return np.concatenate(points), np.concatenate(leaves).astype(int)
+
+
+class CountTree:
+    """Weighted places in a binary tree of boxes with sums, to count what lies within a distance without looking at each place."""
+
+    LEAF = 16
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray):
+        order = np.arange(len(x))
+        nodes, waiting = [], [(0, len(x))]
+        children: list[tuple[int, int]] = []
+        while waiting:
+            later = []
+            for a, b in waiting:
+                own = order[a:b]
+                nodes.append((a, b, x[own].min(), y[own].min(), x[own].max(), y[own].max(), n[own].sum()))
+                if b - a <= self.LEAF:
+                    children.append((-1, -1))
+                    continue
+                v = x[own] if np.ptp(x[own]) > np.ptp(y[own]) else y[own]
+                order[a:b] = own[np.argpartition(v, (b - a) // 2)]
+                children.append((0, 0))
+                later += [(a, a + (b - a) // 2), (a + (b - a) // 2, b)]
+            waiting = later
+        # nodes are level by level: the children of inner nodes follow in their order
+        inner = np.array([c[0] == 0 for c in children])
+        self.left = np.where(inner, 1 + 2 * (np.cumsum(inner) - 1), -1)
+        table = np.array(nodes)
+        self.start, self.end, self.box, self.sums = table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2:6], n[order].astype(np.int64)
+        self.total = table[:, 6].astype(np.int64)
+        self.x, self.y = x[order], y[order]
+
+    def _bounds(self, x: np.ndarray, y: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest distance that a place in a node's box can have."""
+        box = self.box[node]
+        low = np.maximum(0.0, np.maximum(box[:, 0] - x, x - box[:, 2])), np.maximum(0.0, np.maximum(box[:, 1] - y, y - box[:, 3]))
+        high = np.maximum(np.abs(box[:, 0] - x), np.abs(box[:, 2] - x)), np.maximum(np.abs(box[:, 1] - y), np.abs(box[:, 3] - y))
+        across = np.minimum(low[0], np.maximum(0.0, 360.0 - high[0])), np.minimum(high[0], 180.0)
+        south, north = np.cos(np.radians(box[:, 1])), np.cos(np.radians(box[:, 3]))
+        least, most = np.minimum(south, north), np.where((box[:, 1] <= 0) & (box[:, 3] >= 0), 1.0, np.maximum(south, north))
+        here, half = np.cos(np.radians(y)), lambda d: np.sin(np.radians(d) / 2) ** 2
+        metres = lambda h: 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0)))
+        return metres(half(low[1]) + here * least * half(across[0])), metres(half(high[1]) + here * most * half(across[1]))
+
+    def around(self, x: np.ndarray, y: np.ndarray, metres: float, at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """For each point the weight of all places within the distance, and how far the nearest of those is that isn't at the point itself."""
+        near, nearest = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        for a in range(0, len(x), at_once):
+            own = slice(a, a + at_once)
+            near[own] = self._count(x[own], y[own], metres)
+            nearest[own] = self._nearest(x[own], y[own], metres)
+        return near, nearest
+
+    def _places(self, point: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.end[node] - self.start[node]
+        return np.repeat(point, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.start[node], size)
+
+    def _count(self, x: np.ndarray, y: np.ndarray, metres: float) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        point, node = np.arange(len(x)), np.zeros(len(x), int)
+        while len(point):
+            low, high = self._bounds(x[point], y[point], node)
+            whole = high <= metres * (1 - 1e-9) - 1e-6
+            np.add.at(out, point[whole], self.total[node[whole]])
+            rest = ~whole & (low <= metres * (1 + 1e-9) + 1e-6)
+            point, node = point[rest], node[rest]
+            leaf = self.left[node] < 0
+            i, j = self._places(point[leaf], node[leaf])
+            within = _haversine(y[i], x[i], self.y[j], self.x[j]) <= metres
+            np.add.at(out, i[within], self.sums[j[within]])
+            point, node = np.repeat(point[~leaf], 2), np.repeat(self.left[node[~leaf]], 2)
+            node[1::2] += 1
+        return out
+
+    def _nearest(self, x: np.ndarray, y: np.ndarray, metres: float) -> np.ndarray:
+        out = np.full(len(x), np.inf)
+        stack = [(np.arange(len(x)), np.zeros(len(x), int))]
+        while stack:  # the nearer child first, so that the bound soon is short
+            point, node = stack.pop()
+            low, _ = self._bounds(x[point], y[point], node)
+            rest = low <= np.minimum(out[point], metres) * (1 + 1e-9) + 1e-6
+            point, node = point[rest], node[rest]
+            leaf = self.left[node] < 0
+            i, j = self._places(point[leaf], node[leaf])
+            d = _haversine(y[i], x[i], self.y[j], self.x[j])
+            some = (d > 0) & (d <= metres)
+            np.minimum.at(out, i[some], d[some])
+            point, child = point[~leaf], self.left[node[~leaf]]
+            if len(point):
+                a, b = self._bounds(x[point], y[point], child)[0], self._bounds(x[point], y[point], child + 1)[0]
+                first = np.where(a <= b, child, child + 1)
+                stack += [(point, 2 * child + 1 - first), (point, first)]
+        return out
+
+
 def _reach(x: np.ndarray, y: np.ndarray, metres: float) -> np.ndarray:
     """Boxes that hold everything within a distance of each point."""
     dy = metres / 111_000.0

@@ -5,7 +5,7 @@ import pytest
 
 from fleetloom.functions.geo import in_zone
 from fleetloom.operators.geometry import BoxTree, QuadTree, in_polygon, parse_polygons
-from fleetloom.operators.spatial import _haversine, near_counts, regions_of_points
+from fleetloom.operators.spatial import CountTree, _haversine, near_counts, regions_of_points
 from fleetloom.sources.zones import parsed_zones, zone_at
 
 SQUARE = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
@@ -106,3 +106,32 @@ def test_containment_as_a_column_is_the_same(spark):
     assert got == want and want
     first = {r.k: r.zone_name for r in zone_at(p, parsed, "x", "y").collect()}
     assert all(first[k] == min((f"n{i}" for q, i in want if q == k), default=None) for k, _, _ in points)
+
+
+def test_near_points_over_the_meridian_the_poles_and_in_a_dense_spot(spark):
+    rng = np.random.default_rng(6)
+    at = [(180 - 0.0005, 10.0), (-180 + 0.0005, 10.0), (180.0, 10.0), (-180.0, 10.0), (0.0, 89.9999), (180.0, 89.9999), (90.0, 90.0), (-90.0, 89.9995), (3.0, -89.9998), (-120.0, -89.9998)]
+    at += [tuple(map(float, p)) for p in rng.normal([5, 52], [0.0002, 0.0002], (3000, 2))] + [(7.0, 50.0)] * 5
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "id long, x double, y double").repartition(3)
+    got = {r.id: (r.near, None if r.nearest_m is None else round(r.nearest_m, 5)) for r in near_counts(df, point_id="id", x="x", y="y", metres=120).collect()}
+    x, y = np.array([p[0] for p in at]), np.array([p[1] for p in at])
+    assert len(got) == len(at)
+    for k in [*range(10), *range(10, 3010, 50), 3011]:
+        same = (x == x[k]) & (y == y[k])
+        d = np.where(same, 0.0, _haversine(y[k], x[k], y, x))
+        d = np.delete(d, k)
+        d = d[d <= 120]
+        other = d[d > 0] if not (same.sum() > 1) else d
+        assert got[k][0] == len(d), k
+        assert got[k][1] == (round(float(other.min()), 5) if len(other) else None), k
+
+
+def test_a_count_tree_of_one_place_and_of_many():
+    rng = np.random.default_rng(9)
+    for n in (1, 16, 17, 1000):
+        x, y, w = rng.normal(5, 0.01, n), rng.normal(52, 0.01, n), rng.integers(1, 4, n)
+        qx, qy = rng.normal(5, 0.01, 50), rng.normal(52, 0.01, 50)
+        near, nearest = CountTree(x, y, w).around(qx, qy, 300.0, at_once=7)
+        d = _haversine(qy[:, None], qx[:, None], y[None], x[None])
+        assert (near == np.where(d <= 300, w[None], 0).sum(axis=1)).all()
+        assert np.allclose(nearest, np.where(d <= 300, d, np.inf).min(axis=1))
