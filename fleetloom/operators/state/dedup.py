@@ -107,18 +107,27 @@ class BloomDedup:
         self.expected = expected
         self.bits, self.hashes = bloom_size(expected, false_rate)
         self.now, self.before = np.zeros(self.bits, bool), np.zeros(self.bits, bool)
+        self.first = np.zeros(self.bits, np.int32)  # scratch of one call
         self.insertions = self.rotations = 0
 
     def _places(self, producer: str, numbers: np.ndarray) -> np.ndarray:
         """The bits of each key ``producer:number``, by double hashing in 32-bit arithmetic; a row for each number."""
         head = f"{producer}:"
         one, two = np.full(len(numbers), fnv1a(head.encode()), np.int32), np.full(len(numbers), string_hash(head), np.int32)
-        text = numbers.astype("U")
-        digits = text.view(np.int32).reshape(len(numbers), -1)  # one column for each character, 0 past the end
-        for c in digits.T:
-            on = c != 0
-            one[on] = (one[on] ^ c[on]) * np.int32(0x01000193)
-            two[on] = two[on] * np.int32(31) + c[on]
+        if len(numbers) and numbers.min() >= 0:
+            power = 10 ** (len(str(int(numbers.max()))) - 1)
+            while power:  # from the first digit on
+                digit = ((numbers // power) % 10 + 48).astype(np.int32)
+                on = (numbers >= power) if power > 1 else True
+                np.copyto(one, (one ^ digit) * np.int32(0x01000193), where=on)
+                np.copyto(two, two * np.int32(31) + digit, where=on)
+                power //= 10
+        else:
+            text = numbers.astype("U")
+            for c in text.view(np.int32).reshape(len(numbers), -1).T:  # one column for each character, 0 past the end
+                on = c != 0
+                one[on] = (one[on] ^ c[on]) * np.int32(0x01000193)
+                two[on] = two[on] * np.int32(31) + c[on]
         steps = np.arange(self.hashes, dtype=np.int32)
         return np.abs(np.fmod(one[:, None] + steps * two[:, None], np.int32(self.bits)).astype(np.int64))
 
@@ -136,11 +145,9 @@ class BloomDedup:
         old = self.before[places].all(axis=1)
         row = np.flatnonzero(~old)
         own = places[row]
-        # a bit counts as set if it is in the filter, or a row before set it
-        bits, where = np.unique(own, return_inverse=True)
-        first = np.full(len(bits), len(places))
-        np.minimum.at(first, where.ravel(), np.repeat(row, self.hashes))
-        known = (self.now[own] | (first[where.reshape(own.shape)] < row[:, None])).all(axis=1)
+        # a bit counts as set if it is in the filter, or a row before set it: written backwards, the first row stays
+        self.first[own[::-1].ravel()] = np.repeat(row[::-1], self.hashes)
+        known = (self.now[own] | (self.first[own] < row[:, None])).all(axis=1)
         new = row[~known]
         n = len(places) if len(new) < self.expected - self.insertions else int(new[self.expected - self.insertions - 1]) + 1
         new = new[new < n]
