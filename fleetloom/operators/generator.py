@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.operators.state.eta import Route, haversine
@@ -142,4 +142,56 @@ def fleet(spark: SparkSession, vans: int, stops: int = 8, seed: int = 1, start:
                     "latitude": p["lat"], "longitude": p["lon"], "status": p["status"], "current_stop_index": p["leg"].astype("int32"), "route_id": f"route-{k:03d}",
                 })
 
-    return spark.range(vans).mapInPandas(make, PINGS).withColumn("event_id", F.uuid())
+    return spark.range(vans).mapInPandas(make, PINGS).withColumn("event_id", event_id(F.lit(seed), "van_id", "sequence_number"))
+
+
+def event_id(*parts: Column | str) -> Column:
+    """An id in the form of a UUID that is the same for the same parts: a copy of a message has its id."""
+    d = F.md5(F.concat_ws("/", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+    cut = [F.substring(d, a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    return F.concat(cut[0], F.lit("-"), cut[1], F.lit("-4"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4])
+
+
+# Seconds at a stop; the share of stops promised tightly, and the seconds that a deadline then, and else, lies after the plan.
+DWELL_S, TIGHT, TIGHT_S, EASY_S = 40.0, 0.15, (-60.0, 90.0), (180.0, 600.0)
+
+
+def timetable(rng: np.random.Generator, line: Route, vertices: np.ndarray, start_s: float, base_kmh: float = 30.0, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Planned arrival and deadline of each stop, in epoch seconds; ``scale`` is how much faster than the clock the plan runs."""
+    way = np.diff(line.cum[vertices], prepend=0.0) / (base_kmh / 3.6)
+    planned = np.cumsum(way + np.where(np.arange(len(vertices)) > 0, DWELL_S, 0.0))
+    tight = rng.random(len(vertices)) < TIGHT
+    slack = np.where(tight, rng.uniform(*TIGHT_S, len(vertices)), rng.uniform(*EASY_S, len(vertices)))
+    return start_s + planned / scale, start_s + (planned + slack) / scale
+
+
+@dataclass
+class Driven:
+    """A van on its way: what an assignment needs to know of it."""
+
+    route_id: str
+    line: Route
+    vertices: np.ndarray
+    along_m: float = 0.0
+    next_stop: int = 0
+    ended: bool = False
+
+
+def apply_assignment(vans: dict[str, Driven], assignment: dict) -> tuple[str, str | int]:
+    """Put an assigned stop into its van's route: ``("inserted", index)``, or ``("rejected", why)``.
+
+    It comes before the stop that it was planned before, or before the next one if that is past.
+    """
+    read = [assignment.get(k) for k in ("van_id", "latitude", "longitude", "insert_before", "sla_deadline")]
+    if not isinstance(read[0], str) or not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in read[1:4]) or not read[4]:
+        return "rejected", "malformed assignment"
+    van = vans.get(read[0])
+    if van is None:
+        return "rejected", f"{read[0]} is not running"
+    if van.route_id != assignment.get("route_id"):
+        return "rejected", f"{read[0]} has moved on to another route"
+    if van.ended or van.next_stop > len(van.vertices):
+        return "rejected", f"{read[0]} can no longer take stops"
+    k = min(max(int(read[3]), van.next_stop), len(van.vertices))
+    van.line, van.vertices = with_stop(van.line, van.vertices, van.along_m, k, float(read[1]), float(read[2]))
+    return "inserted", k

@@ -131,4 +131,5 @@ def retire_routes(routes: DataFrame, logs: DataFrame, breaches: DataFrame, cutof
 def zones_version(zones: DataFrame) -> DataFrame:
     """One number that changes only if a zone does, in whatever order they are read."""
     row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "name", "zone_type", "geometry", "speed_factor", "active")])
-    return zones.agg(F.coalesce(F.bit_xor(row), F.lit(0)).alias("version"), F.count("*").alias("zones"))
+    counted = zones.groupBy(row.alias("row")).agg(F.count("*").alias("n"))  # equal rows would cancel each other out
+    return counted.agg(F.coalesce(F.bit_xor(F.xxhash64("row", "n")), F.lit(0)).alias("version"), F.coalesce(F.sum("n"), F.lit(0)).alias("zones"))

@@ -168,7 +168,9 @@ def test_estimates_over_logged_routes(spark):
 
 
 def test_generated_fleets_are_repeatable(spark):
-    one, two = fleet(spark, 4, 4, seed=3).drop("event_id"), fleet(spark, 4, 4, seed=3).drop("event_id").repartition(2)
+    one, two = fleet(spark, 4, 4, seed=3), fleet(spark, 4, 4, seed=3).repartition(2)
+    ids = one.groupBy("event_id").agg(F.countDistinct("van_id", "sequence_number").alias("n"), F.count("*").alias("c"))
+    assert ids.where("n > 1").count() == 0 and ids.where("c > 1").count() > 0 and one.where("event_id not rlike '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$'").count() == 0
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     rng = np.random.default_rng(1)
     line, vertices = route(rng, 6)
@@ -246,3 +248,23 @@ def test_stream_of_estimates_equals_the_batch_and_feeds_the_live_table(spark, lo
     newest = max(k for v, k in told if v == "v")
     assert (last["v"].eta_seconds, last["v"].sla_risk) == (told["v", newest][0], told["v", newest][2]) and last["w"].sla_risk == "UNKNOWN"
     assert predictions(got).groupBy("van_id", "route_id", "stop_index").count().count() == 5
+
+
+def test_timetables_and_assignments():
+    from fleetloom.operators.generator import Driven, apply_assignment, timetable
+
+    rng = np.random.default_rng(3)
+    line, vertices = route(rng, 400)
+    planned, due = timetable(rng, line, vertices, 1000.0, 36.0, 2.0)
+    assert np.allclose(planned[0], 1000 + line.cum[vertices[0]] / 10 / 2) and np.allclose(np.diff(planned), (np.diff(line.cum[vertices]) / 10 + 40) / 2)
+    slack = (due - planned) * 2
+    assert slack.min() >= -60 and slack.max() <= 600 and 0.08 < (slack <= 90).mean() < 0.22 and not ((slack > 90) & (slack < 180)).any()
+    line, vertices = route(rng, 5)
+    vans = {"v": Driven("r", line, vertices, 0.0, 2), "gone": Driven("r", line, vertices, ended=True)}
+    asked = {"van_id": "v", "route_id": "r", "latitude": 52.37, "longitude": 4.91, "insert_before": 1, "sla_deadline": "2024-01-01T00:00:00Z", "order_id": "o"}
+    assert apply_assignment(vans, asked | {"latitude": None}) == ("rejected", "malformed assignment")
+    assert apply_assignment(vans, asked | {"van_id": "w"}) == ("rejected", "w is not running")
+    assert apply_assignment(vans, asked | {"route_id": "x"})[1] == "v has moved on to another route"
+    assert apply_assignment(vans, asked | {"van_id": "gone"})[1] == "gone can no longer take stops"
+    assert apply_assignment(vans, asked) == ("inserted", 2) and len(vans["v"].vertices) == 6
+    assert np.allclose(vans["v"].line.lat[vans["v"].vertices[2]], 52.37)

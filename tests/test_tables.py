@@ -113,6 +113,8 @@ def test_zones_of_a_new_installation(spark):
     points = spark.createDataFrame([(1, 52.352, 4.894), (2, 52.3545, 4.894), (3, 52.352, 4.8985), (4, 52.3585, 4.894), (5, None, 1.0)], "id int, lat double, lon double")
     got = {r.id: (r.zone_name, r.speed_factor) for r in zone_at(points, active_zones(first_zones(spark)), "lon", "lat").collect()}
     assert got == {1: ("De Pijp School Zone", 0.6), 2: (None, 1.0), 3: (None, 1.0), 4: (None, 1.0), 5: (None, 1.0)}
+    twice = first_zones(spark).where("name like 'D%'")
+    assert tables.zones_version(twice.union(twice)).first() != tables.zones_version(twice.where("false")).first()
     versions = [tables.zones_version(z).first().version for z in (first_zones(spark), first_zones(spark).orderBy(F.desc("name")), first_zones(spark).where("name like 'D%'"))]
     assert versions[0] == versions[1] != versions[2]
 
