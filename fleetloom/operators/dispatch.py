@@ -7,6 +7,8 @@ remaining stops together, for each order; the best is an aggregation, not a sort
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ from fleetloom.functions.geo import haversine_m
 
 # Detour factor of straight lines, seconds at a stop, cost in km of a late stop.
 DETOUR, DWELL_S, LATE_KM = 1.3, 40.0, 5.0
+BLOCK = 1000  # requests that are sent out at once
 
 
 def options(orders: DataFrame, vans: DataFrame) -> DataFrame:
     """All insertions: order_id, van_id, k, extra_m, arrival_s, stops_made_late, on_time, cost.
 
-    ``orders`` has order_id, lat, lon, now_s and deadline_s, and is a batch of requests. ``vans`` has van_id, lat, lon, serving
+    ``orders`` has order_id, lat, lon, now_s and deadline_s, and is a block of at most some thousand requests (``assignments`` cuts longer lists). ``vans`` has van_id, lat, lon, serving
     (boolean), next (index of the next stop), speed_mps, delay_s, and stops: an array of lat, lon, planned_s and deadline_s,
     followed by hub_lat and hub_lon. A van whose next stop lies past its plan has no option.
     """
@@ -30,8 +33,8 @@ def options(orders: DataFrame, vans: DataFrame) -> DataFrame:
     before = F.when(first & ~serving, F.struct("lat", "lon")).otherwise(F.struct(stop(k - 1)["lat"].alias("lat"), stop(k - 1)["lon"].alias("lon")))
     after = F.when(k < n, F.struct(stop(k)["lat"].alias("lat"), stop(k)["lon"].alias("lon"))).otherwise(F.struct(F.col("hub_lat").alias("lat"), F.col("hub_lon").alias("lon")))
     placed = positions.select("van_id", "k", "next", "serving", "speed_mps", "delay_s", "stops", before.alias("p"), after.alias("q"), stop(k - 1)["planned_s"].alias("planned_before"))
-    # requests are few at a time and each must meet every position
-    both = placed.join(orders.select("order_id", F.col("lat").alias("olat"), F.col("lon").alias("olon"), "now_s", "deadline_s"))
+    # every request must meet every position: a block of requests is sent to where the positions are
+    both = placed.join(F.broadcast(orders.select("order_id", F.col("lat").alias("olat"), F.col("lon").alias("olon"), "now_s", "deadline_s")))
     to = haversine_m(F.col("p.lat"), F.col("p.lon"), F.col("olat"), F.col("olon"))
     on = haversine_m(F.col("olat"), F.col("olon"), F.col("q.lat"), F.col("q.lon"))
     straight = haversine_m(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon"))
@@ -60,7 +63,10 @@ def assignments(orders: DataFrame, vans: DataFrame) -> DataFrame:
 
     An order without any option has no row.
     """
-    found = options(orders, vans).where("cost is not null")  # null: a place isn't known
+    blocks = -(-orders.count() // BLOCK)
+    of = F.pmod(F.xxhash64("order_id"), F.lit(max(1, blocks)))
+    found = reduce(DataFrame.union, [options(orders.where(of == b) if blocks > 1 else orders, vans) for b in range(max(1, blocks))])
+    found = found.where("cost is not null")  # null: a place isn't known
     best = F.min(F.struct("cost", "arrival_s", "van_id", "k", "extra_m", "stops_made_late", "on_time"))
     return found.groupBy("order_id").agg(best.alias("b"), F.count("*").alias("options_considered")).select(
         "order_id", "b.van_id", F.col("b.k").alias("insert_before"), (F.floor(F.col("b.extra_m") / 10 + 0.5) / 100).alias("extra_km"),

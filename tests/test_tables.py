@@ -188,6 +188,13 @@ def test_cheapest_insertion(spark):
     assert dispatch.assignments(order, fleet(spark, van_a={"next": 4}, van_b={"next": 9})).count() == 0
 
 
+def test_requests_in_blocks_find_the_same_places(spark, monkeypatch):
+    orders = spark.createDataFrame([(f"o{k}", 52.30 + k / 2000, 4.85, 0.0, 1000.0) for k in range(40)] + [("x", None, 4.85, 0.0, 1.0)], "order_id string, lat double, lon double, now_s double, deadline_s double")
+    whole = sorted(map(str, dispatch.assignments(orders, fleet(spark)).collect()))
+    monkeypatch.setattr(dispatch, "BLOCK", 9)
+    assert len(whole) == 40 and sorted(map(str, dispatch.assignments(orders, fleet(spark)).collect())) == whole
+
+
 def samples(spark, rows):
     return spark.createDataFrame(rows, "at_s bigint, received bigint, processed bigint, rejected bigint, vans int, silent_vans int, disk_free double")
 
