@@ -29,10 +29,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.operators.spatial import Shipped
 from fleetloom.session import staged, unstage
 
 
@@ -131,17 +131,6 @@ def sentences_of(text: str | None, edges: frozenset[str], run_on: int = 16, cut:
     return [" ".join(s) for line, edge, own in Cutter(edges, run_on, cut)(text) if line < 0 or not edge for s in own]
 
 
-class _Shipped:
-    """A value sent once to each executor."""
-
-    def __init__(self, spark: SparkSession, value):
-        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-
-    @property
-    def value(self):
-        return cloudpickle.loads(self._bytes.value)
-
-
 @dataclass
 class Languages:
     """Which language a set of words is in: log likelihoods of words under each language that ``lang`` names."""
@@ -252,7 +241,7 @@ def cut_blocks(rows: DataFrame, candidates: frozenset[str], languages: Languages
     ``sentences`` counts the sentences of each document, ``lengths`` the words of each sentence, ``codes`` are the words, ``lines``
     the candidate that a sentence stands in at the edge of its document (or -1), ``places`` where the candidates stand.
     """
-    shipped = _Shipped(rows.sparkSession, languages)
+    shipped = Shipped(rows.sparkSession, languages)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, cutter = shipped.value, Cutter(candidates, rules.run_on, rules.cut)
@@ -367,7 +356,7 @@ class Bodies:
 
         ``sentence`` and ``term`` are the numbers of the words that are terms; unknown words are dropped, sentences aren't.
         """
-        shipped = _Shipped(self.blocks.sparkSession, ({k: v[0] for k, v in self.terms.items()}, value))
+        shipped = Shipped(self.blocks.sparkSession, ({k: v[0] for k, v in self.terms.items()}, value))
         names, dropped = self.names, np.array(self.edges, int)
         columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -427,7 +416,7 @@ def singular_vectors(docs: DataFrame, terms: dict, rules: SubjectRules) -> dict[
     basis = {k: np.linalg.qr(rng.normal(size=(len(v[0]), min(len(v[0]), rules.rank + 10))))[0] for k, v in terms.items() if v[0]}
     idf = {k: v[1] for k, v in terms.items()}
     for last in [False] * rules.power_passes + [True]:
-        shipped = _Shipped(docs.sparkSession, ({k: q.astype("f4") for k, q in basis.items()}, idf))
+        shipped = Shipped(docs.sparkSession, ({k: q.astype("f4") for k, q in basis.items()}, idf))
 
         def multiply(frames: Iterator[pd.DataFrame], shipped=shipped, last=last) -> Iterator[pd.DataFrame]:
             q, weights = shipped.value
@@ -560,7 +549,7 @@ def _totals(rows: DataFrame, n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]
 
 def _assigned_sums(vectors: DataFrame, model: SubjectModel, rules: SubjectRules) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Weighted sums, by subject, of all sentences of the corpus that are surely of it."""
-    shipped, least = _Shipped(vectors.sparkSession, model), rules.cosine + 0.1
+    shipped, least = Shipped(vectors.sparkSession, model), rules.cosine + 0.1
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shipped.value
@@ -580,7 +569,7 @@ def _labelled(vectors: DataFrame, labels: DataFrame, model: SubjectModel, rules:
     marked = labels.where(F.col("subject").isin(model.subjects) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("marks"))
     spoken = staged(vectors.select("language", F.explode("ids").alias("doc_id")).join(marked, "doc_id").select("language", "doc_id", "marks"), "labelled")
     chosen = {r.doc_id: r.marks for r in _about(spoken, "language", "doc_id", rules.labelled_documents).select("doc_id", "marks").collect()}
-    shipped, most = _Shipped(vectors.sparkSession, (model, chosen)), rules.labelled_sentences
+    shipped, most = Shipped(vectors.sparkSession, (model, chosen)), rules.labelled_sentences
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, wanted = shipped.value
@@ -668,7 +657,7 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rules: Sub
 
 def assign(vectors: DataFrame, model: SubjectModel, rules: SubjectRules = SubjectRules()) -> DataFrame:
     """doc_id, subject and the share of the document's sentences, for every subject that reaches the least share."""
-    shipped = _Shipped(vectors.sparkSession, model)
+    shipped = Shipped(vectors.sparkSession, model)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shipped.value
