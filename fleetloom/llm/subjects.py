@@ -165,7 +165,7 @@ class Languages:
         score = np.tile(self.prior, (len(given), 1))
         if len(self.names) > 1:
             number = np.array([self.words.get(w, -1) for w in uniques], np.int64)
-            pair = np.unique(document.astype(np.int64) * max(1, len(uniques)) + code)
+            pair = _distinct(document.astype(np.int64) * max(1, len(uniques)) + code)
             row, word = pair // max(1, len(uniques)), number[pair % max(1, len(uniques))]
             score += _sum_rows(row[word >= 0], self.weight[word[word >= 0]], len(given))
             place = {s: k for k, s in enumerate(self.names)}
@@ -324,7 +324,7 @@ def vocabulary(blocks: DataFrame, edges: list[int], languages: Languages, rules:
             for block in f.itertuples():
                 words = np.asarray(block.words, dtype=object)
                 for k, p in parts_of(block, dropped, len(names)):
-                    pair = np.unique(np.repeat(np.repeat(np.arange(len(p.ids)), p.sentences), p.lengths) * len(words) + p.codes)
+                    pair = _distinct(np.repeat(np.repeat(np.arange(len(p.ids)), p.sentences), p.lengths) * len(words) + p.codes)
                     n = np.bincount(pair % len(words), minlength=len(words))
                     yield pd.DataFrame({"language": names[k], "term": [*words[n > 0], None], "n": [*n[n > 0], len(p.ids)]})
 
@@ -385,6 +385,11 @@ def matrix(bodies: Bodies) -> DataFrame:
     return staged(bodies.each(_matrix_row, "language string, sizes binary, cols binary, counts binary"), "matrix")
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; by sorting, which is fast here as the values rise but for short stretches."""
+    return np.unique(values, return_counts=True)[0]
+
+
 def _sum_rows(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` by sorted ``key``."""
     out = np.zeros((n, values.shape[1]), values.dtype)
@@ -403,6 +408,33 @@ def _matrix(block, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, col, (value / np.maximum(norm[row], 1e-12)).astype("f4")
 
 
+TILE = 4_000_000  # entries of a dense tile
+DENSE = 0.01  # a tile with at least this share of entries is multiplied as a dense matrix: the same sums, in another order
+
+
+def _products(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, q: np.ndarray, gram: bool) -> np.ndarray:
+    """A'Aq of a sparse matrix A (``n`` rows) and a narrow one, or with ``gram`` (Aq)'Aq; some thousand rows at a time."""
+    width = len(q)
+    step = max(1, TILE // width)
+    z = np.zeros((q.shape[1] if gram else width, q.shape[1]), "f4")
+    cuts = np.searchsorted(row, np.arange(0, n + step, step))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        own, c, v, height = row[a:b] - k * step, col[a:b], value[a:b], min(step, n - k * step)
+        if b - a >= DENSE * height * width:
+            tile = np.zeros((height, width), "f4")
+            tile[own, c] = v
+            y = tile @ q
+            z += y.T @ y if gram else tile.T @ y
+            continue
+        y = _sum_rows(own, q[c] * v[:, None], height)
+        if gram:
+            z += y.T @ y
+        else:
+            order = np.argsort(c, kind="stable")
+            z += _sum_rows(c[order], y[own[order]] * v[order, None], width)
+    return z
+
+
 SLICE = 512  # terms in one slice of partial sums
 
 
@@ -426,13 +458,7 @@ def singular_vectors(docs: DataFrame, terms: dict, rules: SubjectRules) -> dict[
                     language = block.language
                     if language not in q:
                         continue
-                    row, col, value = _matrix(block, weights[language])
-                    y = _sum_rows(row, q[language][col] * value[:, None], len(block.sizes) // 4)
-                    if last:  # the small Gram matrix turns the basis into singular vectors
-                        z = y.T @ y
-                    else:
-                        order = np.argsort(col, kind="stable")
-                        z = _sum_rows(col[order], y[row[order]] * value[order, None], len(weights[language]))
+                    z = _products(*_matrix(block, weights[language]), len(block.sizes) // 4, q[language], last)
                     total[language] = total[language] + z if language in total else z.astype(float)
             rows = [(k, b, z[b * SLICE : (b + 1) * SLICE].astype("<f4").tobytes()) for k, z in total.items() for b in range(-(-len(z) // SLICE))]
             yield pd.DataFrame(rows, columns=["language", "slice", "sums"])

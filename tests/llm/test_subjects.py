@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from fleetloom.llm import subjects as subject_module
 from fleetloom.llm.subjects import (
     Languages, SubjectRules, cut_blocks, edge_candidates, edge_lines, kept_edges, language_code, learn_languages, lines_of, parts_of, sentences_of, subjects_of, vocabulary,
 )
@@ -163,3 +164,18 @@ def test_language_codes_and_no_languages(spark):
 
 def test_passes_are_not_cut():
     assert SubjectRules().power_passes >= 3 and SubjectRules().corpus_rounds >= 3
+
+
+def test_products_of_sparse_and_dense_tiles_are_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    dense = rng.random((53, 40)) * (rng.random((53, 40)) < 0.1)
+    dense[17] = 0
+    row, col = np.nonzero(dense)
+    q = rng.normal(size=(40, 5)).astype("f4")
+    for share in (0.0, 2.0):
+        for tile in (40, 400, 10**6):
+            monkeypatch.setattr(subject_module, "DENSE", share)
+            monkeypatch.setattr(subject_module, "TILE", tile)
+            args = row, col, dense[row, col].astype("f4"), 53, q
+            assert np.allclose(subject_module._products(*args, False), dense.T @ (dense @ q), atol=1e-4)
+            assert np.allclose(subject_module._products(*args, True), (dense @ q).T @ (dense @ q), atol=1e-4)
