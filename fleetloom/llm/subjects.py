@@ -498,7 +498,11 @@ class SubjectModel:
         if language not in self.vectors:
             return np.zeros((len(lengths), 1), "f4")
         own = (self.vectors[language] * self.idf[language][:, None]).astype("f4")
-        return _unit(_sum_rows(np.repeat(np.arange(len(lengths)), lengths), own[term], len(lengths)))
+        out, ends = np.zeros((len(lengths), own.shape[1]), "f4"), np.cumsum(lengths)
+        for a in range(0, len(lengths), 1000):  # so few at a time stay in the processor's cache
+            size = lengths[a : a + 1000]
+            out[a : a + 1000] = _sum_rows(np.repeat(np.arange(len(size)), size), own[term[ends[a] - lengths[a] : ends[a + len(size) - 1]]], len(size))
+        return _unit(out)
 
     def centred(self, language: str, v: np.ndarray) -> np.ndarray:
         """Unit vectors from the centre of all sentences."""
