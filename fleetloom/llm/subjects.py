@@ -100,26 +100,39 @@ class Cutter:
         self.first = {s.split(" ", 1)[0] for s in self.number}  # most lines are told apart by their first word
         self.run_on, self.cut = run_on, cut
 
-    def candidate(self, line: str) -> int:
-        """The number of the candidate that a line is; -1 for none."""
-        found = _FIRST.search(line)
-        if (found.group().lower() if found else "") not in self.first:
-            return -1
-        return self.number.get(bare(line), -1)
-
-    def __call__(self, text: str | None) -> Iterator[tuple[int, bool, list[list[str]]]]:
-        """Each line: the candidate that it is (or -1), whether it is at the edge, and its sentences, each as words."""
-        lines = lines_of(text or "")
-        for k, line in enumerate(lines):
-            sentences = []
-            for sentence in _STOP.split(line.lower()):
-                words = _WORD.findall(sentence)
-                if len(words) > self.run_on:
-                    n = round(len(words) / self.cut)
-                    sentences += [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
-                elif words:
-                    sentences.append(words)
-            yield self.candidate(line) if len(lines) > 1 else -1, at_edge(k, len(lines)), sentences
+    def cut_into(self, text: str | None, words: list[str], lengths: list[int], lines: list[int], places: dict[int, list[int]]) -> int:
+        """Append a text's words, the number of words of each sentence and the candidate at the text's edge that each stands in (or -1).
+
+        ``places`` counts where candidates stand: at an edge, and in all. Returns the number of sentences.
+        """
+        rows = lines_of(text or "")
+        last, before = len(rows) - 3, len(lengths)
+        find, first, number, run_on = _WORD.findall, _FIRST.search, self.number, self.run_on
+        for k, row in enumerate(rows):
+            row, line = row.lower(), -1
+            if len(rows) > 1 and number:
+                found = first(row)
+                if (found.group() if found else "") in self.first:
+                    line = number.get(bare(row), -1)
+                    if line >= 0:
+                        edge = k < 2 or k >= last
+                        at = places.setdefault(line, [0, 0])
+                        at[0] += edge
+                        at[1] += 1
+                        line = line if edge else -1
+            for sentence in _STOP.split(row):
+                own = find(sentence)
+                n = len(own)
+                if n > run_on:
+                    parts = round(n / self.cut)
+                    ends = [n * j // parts for j in range(parts + 1)]
+                    lengths += [v - u for u, v in zip(ends, ends[1:])]
+                    lines += [line] * parts
+                elif n:
+                    lengths.append(n)
+                    lines.append(line)
+                words += own
+        return len(lengths) - before
 
 
 def sentences_of(text: str | None, edges: frozenset[str], run_on: int = 16, cut: int = 8) -> list[str]:
@@ -128,7 +141,12 @@ def sentences_of(text: str | None, edges: frozenset[str], run_on: int = 16, cut:
     These are the lines in ``edges``, where they stand at the edge of this text. What has no word is no sentence. A run
     of more than ``run_on`` words without a stop is cut into pieces of about ``cut`` words.
     """
-    return [" ".join(s) for line, edge, own in Cutter(edges, run_on, cut)(text) if line < 0 or not edge for s in own]
+    words: list[str] = []
+    lengths: list[int] = []
+    lines: list[int] = []
+    Cutter(edges, run_on, cut).cut_into(text, words, lengths, lines, {})
+    ends = np.cumsum([0, *lengths])
+    return [" ".join(words[a:b]) for a, b, line in zip(ends, ends[1:], lines) if line < 0]
 
 
 @dataclass
@@ -259,17 +277,7 @@ def cut_blocks(rows: DataFrame, candidates: frozenset[str], languages: Languages
 
         for f in frames:
             for doc_id, text, language in zip(f["doc_id"].tolist(), f["text"], f["language"]):
-                n = 0
-                for line, edge, own in cutter(text):
-                    if line >= 0:
-                        at = places.setdefault(line, [0, 0])
-                        at[0] += edge
-                        at[1] += 1
-                    for s in own:
-                        words += s
-                        lengths.append(len(s))
-                        lines.append(line if edge else -1)
-                    n += len(own)
+                n = cutter.cut_into(text, words, lengths, lines, places)
                 ids.append(doc_id)
                 given.append(language)
                 sentences.append(n)
