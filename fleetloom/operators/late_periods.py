@@ -75,7 +75,7 @@ class PeriodTable:
         paths = [*(self._folder(part, v) for v in versions), *([also] if also else [])]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, v int")
-        return self.spark.read.option("basePath", f"{self.path}/{part}").schema(f"{schema}, v int").parquet(*paths)
+        return self.spark.read.option("basePath", f"{self.path}/{part}").schema(f"{schema}, v int").parquet(*paths).drop("by")
 
     def _touched(self, versions: list[int], also: str | None = None) -> DataFrame:
         """Periods that the given versions changed, for any van."""
