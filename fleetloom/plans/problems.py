@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aggregates of every van hour, as first published and as corrected."""
     table = late_periods.replay(once.exactly_once(load(spark, sf_dir, "gps_event")))
-    return table.current().withColumns({c: F.round(c, 6) for c in ("first_avg_speed", "avg_speed")})
+    return table.current().withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in ("first_avg_speed", "avg_speed")})  # means of few pings often lie half-way
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,9 +271,9 @@ FROM t WHERE late_us > 300000000""",
     "p1_periods": _ARRIVED
     + """
 SELECT van_id, period_start, count(*) FILTER (late_us <= 300000000) AS first_pings,
-       round(avg(speed_kmh) FILTER (late_us <= 300000000), 6) AS first_avg_speed,
+       round(avg(speed_kmh) FILTER (late_us <= 300000000) + 1e-10, 6) AS first_avg_speed,
        max(speed_kmh) FILTER (late_us <= 300000000) AS first_max_speed, min(battery_pct) FILTER (late_us <= 300000000) AS first_min_battery,
-       count(*) AS pings, round(avg(speed_kmh), 6) AS avg_speed, max(speed_kmh) AS max_speed, min(battery_pct) AS min_battery,
+       count(*) AS pings, round(avg(speed_kmh) + 1e-10, 6) AS avg_speed, max(speed_kmh) AS max_speed, min(battery_pct) AS min_battery,
        count(*) FILTER (late_us > 300000000) AS late_pings, max(at_us) AS last_arrival_us
 FROM t WHERE late_us <= 7200000000 GROUP BY 1, 2""",
     "p2_found": _MESSAGES + "SELECT record_id FROM lost",
