@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fleetloom.operators import sequences, spatial
 from fleetloom.session import load, micros, staged
 from fleetloom.sources.streams import gps_error
-from fleetloom.sources.zones import active_zones, segment_factors
 
 STORED = ("geofence_zones", "sla_breaches", "completed_routes", "delivery_logs", "gps_event")
 
@@ -41,6 +40,17 @@ def busiest_hour(log: DataFrame) -> int | None:
     return None if most is None else (most.h + 1) * 3600
 
 
+def _segment_factors(spark: SparkSession, sf_dir: str, plans: DataFrame) -> DataFrame:
+    """The speed factor of each segment of each plan, by the first active zone that holds its middle: plan, factors (as ``sources.zones.segment_factors``)."""
+    ends = F.zip_with("lats", "lons", lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon")))
+    n = F.greatest(F.size("lats") - 1, F.lit(0))
+    middles = F.zip_with(F.slice(ends, F.lit(1), n), F.slice(ends, F.lit(2), n), lambda a, b: F.struct(((a["lat"] + b["lat"]) / 2).alias("y"), ((a["lon"] + b["lon"]) / 2).alias("x")))
+    parts = plans.select("plan", F.posexplode(middles).alias("pos", "m")).select("plan", "pos", "m.x", "m.y", F.concat("plan", F.lit("#"), F.col("pos").cast("string")).alias("record_id"))
+    slow = first_zones(spark, sf_dir, parts.select("record_id", "x", "y")).select("record_id", "speed_factor")
+    listed = parts.join(slow, "record_id", "left").groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("speed_factor", F.lit(1.0)).alias("f")))).alias("l"))
+    return listed.select("plan", F.transform("l", lambda s: s["f"]).alias("factors"))  # as long as a route
+
+
 def ping_estimates(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
     """Arrival estimates of every ping on the route through its van's logged stops, slowed by the active zones."""
     log = load(spark, sf_dir, "gps_event") if log is None else log
@@ -48,9 +58,8 @@ def ping_estimates(spark: SparkSession, sf_dir: str, log: DataFrame | None = Non
         "record_id", "van_id", "route_id", micros("device_timestamp").alias("ts_us"), F.col("location.latitude").alias("lat"), F.col("location.longitude").alias("lon"),
         "status", F.col("current_stop_index").alias("leg"), "speed_kmh",
     )
-    plans = sequences.plans_from_logs(load(spark, sf_dir, "delivery_logs")).withColumn("plan", F.struct("van_id", "route_id"))
-    lines = plans.select("plan", F.zip_with("lats", "lons", lambda a, b: F.array(a, b)).alias("waypoints"))
-    factors = segment_factors(lines, active_zones(load(spark, sf_dir, "geofence_zones")), "plan")
+    plans = sequences.plans_from_logs(load(spark, sf_dir, "delivery_logs")).withColumn("plan", F.to_json(F.struct("van_id", "route_id")))
+    factors = _segment_factors(spark, sf_dir, plans)
     slowed = first_zones(spark, sf_dir, _places(log)).select("record_id", F.col("speed_factor").alias("zone_factor"))
     pings = pings.where("lat is not null and lon is not null").join(slowed, "record_id", "left")
     return sequences.estimates(pings, plans.join(factors, "plan", "left"))
